@@ -118,3 +118,126 @@ flows AS (
   SELECT o_orderkey AS flow_id,
     {_flow_select()}
   FROM orders {join} ag ON k = o_orderkey)"""
+
+
+def _values(columns, source_columns, default):
+    return ", ".join(
+        f"{c}::DOUBLE" if c in source_columns else default for c in columns if c in source_columns or default
+    )
+
+
+def packet_entropy(columns, present=None):
+    present = columns if present is None else present
+    values = _values(columns, present, "0::DOUBLE")
+    byte = "CASE WHEN abs(v) < 2147483648 THEN ((trunc(v) % 256) + 256) % 256 ELSE 0 END"
+    kept = f"list_filter([{values}], lambda v: v IS NOT NULL AND NOT isnan(v))"
+    return f"coalesce(list_aggregate(list_transform({kept}, lambda v: {byte}), 'entropy'), 0)"
+
+
+def timing_variance(columns):
+    """Needs a subquery: returns (column list for the inner select, outer expression)."""
+    values = _values(columns, columns, "")
+    inner = f"list_sort(list_filter([{values}], lambda v: v IS NOT NULL AND NOT isnan(v))) AS tv_s"
+    gaps = (
+        "list_transform(range(1, len(tv_s)), lambda i:"
+        " CASE WHEN tv_s[i + 1] = tv_s[i] THEN 1e-9 ELSE tv_s[i + 1] - tv_s[i] END) AS tv_g"
+    )
+    outer = (
+        "CASE WHEN len(tv_s) < 3 THEN 0 ELSE"
+        " list_aggregate(tv_g, 'stddev_samp') / list_aggregate(tv_g, 'avg') END"
+    )
+    return inner, gaps, outer
+
+
+def noise_ctes(source, target, keep="*"):
+    """CTEs from a flow table to its flip probability parts and entropy (``target``)."""
+    v = lambda c: f"greatest(0, CASE WHEN {c} IS NULL OR isnan({c}::DOUBLE) THEN 0 ELSE {c} END)::DOUBLE"
+    mean = lambda a: f"({v('SRC_TO_DST_' + a)} + {v('DST_TO_SRC_' + a)}) / 2"
+    part = "CASE WHEN {0} > 1e-15 THEN -({0}) * log2({0}) ELSE 0 END"
+    ent = lambda g: "(" + part.format(f"((1 - {g}) / 2)") + " + " + part.format(f"((1 + {g}) / 2)") + ")"
+    return f"""{target}_a AS (SELECT {keep},
+    {v('IN_BYTES')} AS z_in, {v('IN_BYTES')} + {v('OUT_BYTES')} AS z_total,
+    {v('RETRANSMITTED_IN_BYTES')} + {v('RETRANSMITTED_OUT_BYTES')} AS z_lost,
+    ({v('RETRANSMITTED_IN_PKTS')} / greatest(1, {v('IN_PKTS')})
+      + {v('RETRANSMITTED_OUT_PKTS')} / greatest(1, {v('OUT_PKTS')})) / 2 AS p_retrans,
+    0.1::DOUBLE * least(1, {mean('IAT_STDDEV')} / 1000) AS p_iat,
+    {mean('IAT_MAX')} AS z_max, {mean('IAT_AVG')} AS z_avg, {mean('IAT_MIN')} AS z_min,
+    {mean('SECOND_BYTES')} AS z_rate FROM {source}),
+{target}_b AS (SELECT *,
+    CASE WHEN z_total > 0 THEN z_in / z_total ELSE 0.5::DOUBLE END AS q,
+    CASE WHEN z_total > 0 THEN z_lost / z_total ELSE 0 END AS p_bytes,
+    CASE WHEN z_avg > 0 THEN
+        CASE WHEN z_max / z_avg > 1 THEN least(0.25::DOUBLE, (z_max / z_avg - 1) / 10) ELSE 0 END
+      WHEN z_max > 0 THEN least(0.25::DOUBLE, z_max / 10000) ELSE 0 END AS p_timing_iat,
+    CASE WHEN z_max > 0 THEN least(0.05::DOUBLE, (z_max - z_min) / z_max * 0.1::DOUBLE)
+      ELSE 0 END AS p_timing_range,
+    CASE WHEN z_rate > 0 THEN least(0.05::DOUBLE, greatest(0, (1000 - z_rate) / 10000))
+      ELSE 0.05::DOUBLE END AS p_timing_speed
+  FROM {target}_a),
+{target}_c AS (SELECT *, least(0.3::DOUBLE, p_timing_iat + p_timing_speed + p_timing_range) AS p_timing
+  FROM {target}_b),
+{target}_d AS (SELECT *, greatest(0.001::DOUBLE, least(1, greatest(0, 0.5::DOUBLE * p_retrans
+    + 0.2::DOUBLE * p_iat + 0.2::DOUBLE * p_bytes + 0.1::DOUBLE * p_timing))) AS p FROM {target}_c),
+{target}_e AS (SELECT *, (2 * q - 1) ** 2 AS z_d, 4 * q * (1 - q) AS z_o, (1 - 2 * p) ** 2 AS z_f
+  FROM {target}_d),
+{target}_f AS (SELECT *, sqrt(z_f * z_d + z_o) AS g_bit, sqrt(z_d + z_f * z_o) AS g_phase FROM {target}_e),
+{target} AS (SELECT *, ({ent('g_bit')} + {ent('g_phase')}) / 2 AS quantum_noise_simulation
+  FROM {target}_f)"""
+
+
+def feature_ctes(source, target):
+    """CTEs that add the three engineered features to a flow table."""
+    from netloom.schema import BYTES_FEATURES, TIMING_FEATURES
+
+    inner, gaps, outer = timing_variance(TIMING_FEATURES)
+    return f"""{target}_1 AS (SELECT *, {packet_entropy(BYTES_FEATURES)} AS packet_entropy, {inner}
+  FROM {source}),
+{target}_2 AS (SELECT *, {gaps} FROM {target}_1),
+{target}_3 AS (SELECT *, {outer} AS timing_variance FROM {target}_2),
+{noise_ctes(target + '_3', target)}"""
+
+
+def split_cte(source, target, key="flow_id", label="Label", seed=42):
+    """CTE that adds the 60/20/20 ``split`` by label."""
+    rank = (
+        f"row_number() OVER (PARTITION BY {label} ORDER BY {u(seed, 'split', key + '::VARCHAR')}, {key}) - 1"
+    )
+    return f"""{target}_n AS (SELECT *, {rank} AS sp_r, count(*) OVER (PARTITION BY {label}) AS sp_n
+  FROM {source}),
+{target}_h AS (SELECT *, ceil(sp_n * 0.4::DOUBLE)::BIGINT AS sp_h FROM {target}_n),
+{target} AS (SELECT * EXCLUDE (sp_r, sp_n, sp_h), CASE WHEN sp_r < sp_n - sp_h THEN 'train'
+    WHEN sp_r < sp_n - ceil(sp_h * 0.5::DOUBLE)::BIGINT THEN 'val' ELSE 'test' END AS split
+  FROM {target}_h)"""
+
+
+def scale_cte(source, target, features, where="TRUE"):
+    """CTEs that standardise ``features`` with the statistics of the rows in ``where``."""
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in features)
+    scaled = ", ".join(
+        f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS {c}" for c in features
+    )
+    return f"""{target}_s AS (SELECT {stats} FROM {source} WHERE {where}),
+{target} AS (SELECT {source}.* REPLACE ({scaled}) FROM {source}, {target}_s)"""
+
+
+def smote_ctes(source, target, key, vec, label, k, ratio, seed, distance="list_distance(a.v, b.v)"):
+    """CTEs for the synthetic rows ``(n, z)`` of a table with vector ``vec`` and 0/1 classes.
+
+    ``source`` must hold the columns key, vec and label; ``target`` gets n and z.
+    """
+    pool_u = u(seed, "smote.pool", f"{key}::VARCHAR")
+    return f"""{target}_c AS (SELECT {label} AS l, count(*) AS n FROM {source} GROUP BY 1 ORDER BY n, l),
+{target}_k AS (SELECT min(n) AS n_min, max(n) AS n_maj, arg_min(l, n * 10 + l) AS l FROM {target}_c),
+{target}_p AS (SELECT {key} AS id, {vec} AS v, row_number() OVER (ORDER BY {pool_u}, {key}) - 1 AS idx
+  FROM {source}, {target}_k WHERE {label} = l),
+{target}_d AS (SELECT a.id, b.id AS nid, row_number() OVER (PARTITION BY a.id
+    ORDER BY {distance}, b.id) AS r FROM {target}_p a JOIN {target}_p b ON a.id <> b.id
+  QUALIFY r <= {k}),
+{target}_w AS (SELECT range AS n FROM range((SELECT trunc((n_maj - n_min) * {ratio}::DOUBLE)::BIGINT FROM {target}_k))),
+{target}_x AS (SELECT n, floor({u(seed, 'smote.row', 'n::VARCHAR')} * n_min)::BIGINT AS idx,
+    floor({u(seed, 'smote.neighbour', 'n::VARCHAR')} * {k})::BIGINT + 1 AS r,
+    {u(seed, 'smote.alpha', 'n::VARCHAR')} AS alpha FROM {target}_w, {target}_k),
+{target} AS (SELECT n, p.v AS x, o.v AS y, alpha,
+    list_transform(list_zip(p.v, o.v), lambda t: t[1] + alpha * (t[2] - t[1])) AS z
+  FROM {target}_x w JOIN {target}_p p ON p.idx = w.idx
+  JOIN {target}_d d ON d.id = p.id AND d.r = w.r JOIN {target}_p o ON o.id = d.nid)"""
