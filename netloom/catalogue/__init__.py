@@ -1,8 +1,8 @@
 """All registered queries and their SQL oracles."""
 
-from netloom.catalogue import flow_queries
+from netloom.catalogue import flow_queries, join_queries, table_queries
 
-_MODULES = [flow_queries]
+_MODULES = [flow_queries, join_queries, table_queries]
 
 
 def queries() -> dict:

@@ -31,7 +31,8 @@ def query(oracle=None):
 
 
 def rounded(c, digits=6):
-    return F.round(c, digits) + F.lit(0.0)
+    value = F.col(c) if isinstance(c, str) else c
+    return F.round(value + F.lit(sql.nudge(digits)), digits) + F.lit(0.0)
 
 
 FLOWS = "WITH " + flow_ctes()

@@ -11,8 +11,13 @@ def u(seed, tag, row_id):
     )
 
 
+def nudge(digits):
+    """A shift far below the last kept digit, so that exact halves round alike in both engines."""
+    return float(f"1.3e-{digits + 3}")
+
+
 def r6(expr, digits=6):
-    return f"round({expr}, {digits}) + 0.0"
+    return f"round({expr} + {nudge(digits)!r}, {digits}) + 0.0"
 
 
 def _pick(values, key="o_orderkey"):
@@ -229,7 +234,7 @@ def smote_ctes(source, target, key, vec, label, k, ratio, seed, distance="list_d
     return f"""{target}_c AS (SELECT {label} AS l, count(*) AS n FROM {source} GROUP BY 1 ORDER BY n, l),
 {target}_k AS (SELECT min(n) AS n_min, max(n) AS n_maj, arg_min(l, n * 10 + l) AS l FROM {target}_c),
 {target}_p AS (SELECT {key} AS id, {vec} AS v, row_number() OVER (ORDER BY {pool_u}, {key}) - 1 AS idx
-  FROM {source}, {target}_k WHERE {label} = l),
+  FROM {source}, {target}_k WHERE {source}.{label} = {target}_k.l),
 {target}_d AS (SELECT a.id, b.id AS nid, row_number() OVER (PARTITION BY a.id
     ORDER BY {distance}, b.id) AS r FROM {target}_p a JOIN {target}_p b ON a.id <> b.id
   QUALIFY r <= {k}),

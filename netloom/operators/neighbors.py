@@ -113,8 +113,11 @@ def _block_join(left: DataFrame, right: DataFrame, pivots: int, block_rows: int,
     block = lambda tag, count: F.pmod(F.xxhash64(F.lit(tag), F.col("id")), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     a = a.select("id", "vec", "cell", block("left", "lb").alias("lb"), every("rb").alias("rb"))
-    b = b.select("id", "vec", F.col("target").alias("cell"), "lb", block("right", "rb").alias("rb"))
-    b = b.select("id", "vec", "cell", every("lb").alias("lb"), "rb")
+    b = b.select(
+        F.col("id").alias("other"), F.col("vec").alias("ovec"), F.col("target").alias("cell"), "lb",
+        block("right", "rb").alias("rb"),
+    )
+    b = b.select("other", "ovec", "cell", every("lb").alias("lb"), "rb")
     keys = ["cell", "lb", "rb"]
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -122,7 +125,7 @@ def _block_join(left: DataFrame, right: DataFrame, pivots: int, block_rows: int,
             parts = ([], [], [])
         else:
             parts = kernel(
-                matrix(x["vec"]), matrix(y["vec"]), x["id"].to_numpy(), y["id"].to_numpy()
+                matrix(x["vec"]), matrix(y["ovec"]), x["id"].to_numpy(), y["other"].to_numpy()
             )
         return pa.table(
             {
