@@ -8,6 +8,7 @@ from netloom.catalogue import sql
 from netloom.catalogue.flow_queries import _DIRTY, _THREE, FLOWS, _dirty_flows, rounded
 from netloom.catalogue.sql import r6, u
 from netloom.functions import channels as ch
+from netloom.functions.instants import micros
 from netloom.functions.features import add_noise_components, quantum_noise_simulation
 from netloom.operators import clean, evaluate, series, states
 from netloom.operators.profile import value_counts
@@ -48,8 +49,8 @@ SELECT {keys}, events, {_MEAN}, {_SPREAD} FROM s"""
 
 
 def _events(spark, sf_dir):
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").withColumn("us", micros)
+    events = table(spark, sf_dir, "events")
+    return events.withColumn("us", micros(events, "ts"))
 
 
 def _gaps(spark, sf_dir, keys):
@@ -421,10 +422,7 @@ SELECT epoch_us(window_start) AS window_us, event_type, events, {_SPREAD} FROM s
 
 
 def _window_columns(df):
-    start = F.unix_micros(F.col("window_start").cast("timestamp"))
-    return df.select(
-        start.alias("window_us"), "event_type", "events", rounded("gap_std").alias("gap_std"), rounded("gap_cv").alias("gap_cv")
-    )
+    return df.withColumns({c: rounded(c) for c in ("gap_std", "gap_cv")})
 
 
 @query(_windows_sql(False))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.features import add_engineered_features, let
+from netloom.functions.instants import micros
 from netloom.operators.scale import apply_scaler
 from netloom.operators.series import ZERO_GAP
 from netloom.plans.sizing import scratch_path
@@ -31,8 +32,8 @@ def interarrival_windows(events: DataFrame, keys: list, ts_col: str, window: str
     watermark has passed it. Times are collected per pane, where their distinct
     microseconds bound them; a window merges the moments of its panes.
     """
-    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    rows = events.select(*keys, F.col(ts_col).alias("_ts"), micros.alias("_us"))
+    us = micros(events, ts_col)
+    rows = events.select(*keys, F.timestamp_micros(us).alias("_ts"), us.alias("_us"))
     if events.isStreaming:
         rows = rows.withWatermark("_ts", delay)
     panes = rows.groupBy(F.window("_ts", pane), *keys).agg(
@@ -89,7 +90,7 @@ def interarrival_windows(events: DataFrame, keys: list, ts_col: str, window: str
         return let(total / F.greatest(F.col("events") - 1, F.lit(1)), lambda m: deviation(g, m))
 
     return grouped.withColumn("_out", let(groups, result)).select(
-        F.col("_window.start").alias("window_start"),
+        F.unix_micros("_window.start").alias("window_us"),
         *keys,
         "events",
         F.col("_out.std").alias("gap_std"),
