@@ -10,7 +10,7 @@ from netloom.functions.safety import INFINITY
 from netloom.operators import clean, profile, split
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
 from netloom.operators.scale import fit_scaler, scale
-from netloom.plans.sizing import scratch_path
+from netloom.plans.sizing import durable, scratch_path
 from netloom.schema import (
     ATTACK, BYTES_FEATURES, FLOW_SCHEMA, ID_COLS, LABEL, MODEL_FEATURES, TIMING_FEATURES,
 )
@@ -35,6 +35,11 @@ def rounded(c, digits=6):
     return F.round(value + F.lit(sql.nudge(digits)), digits) + F.lit(0.0)
 
 
+def stored_flows(spark, sf_dir):
+    """The derived flow table, written once for operators that pass over it several times."""
+    return durable(flows(spark, sf_dir), "flows")
+
+
 FLOWS = "WITH " + flow_ctes()
 _DOUBLES = [f.name for f in FLOW_SCHEMA.fields if f.dataType.simpleString() == "double"]
 
@@ -332,25 +337,29 @@ def _histogram(df, bins, by=None):
 
 @query(f"{FLOWS}, {_histogram_sql(MODEL_FEATURES, 10, 'flows')}")
 def histogram_10(spark, sf_dir):
-    return _histogram(flows(spark, sf_dir), 10)
+    return _histogram(stored_flows(spark, sf_dir), 10)
 
 
 @query(f"{FLOWS}, {sql.split_cte('flows', 'sp')}, {_histogram_sql(MODEL_FEATURES, 30, 'sp', 'split')}")
 def histogram_30_by_split(spark, sf_dir):
-    return _histogram(split.stratified_split(flows(spark, sf_dir), "flow_id"), 30, "split")
+    return _histogram(split.stratified_split(stored_flows(spark, sf_dir), "flow_id"), 30, "split")
 
 
 # --- Splitting and scaling --------------------------------------------------
 
 @query(f"{FLOWS}, {sql.split_cte('flows', 'sp')} SELECT flow_id, Label, split FROM sp")
 def stratified_split_rows(spark, sf_dir):
-    return split.stratified_split(flows(spark, sf_dir).select("flow_id", LABEL), "flow_id")
+    return split.stratified_split(
+        durable(flows(spark, sf_dir).select("flow_id", LABEL), "labels"), "flow_id"
+    )
 
 
 @query(f"""{FLOWS}, {sql.split_cte('flows', 'sp')}
 SELECT Label, split, count(*) AS n FROM sp GROUP BY Label, split""")
 def stratified_split_counts(spark, sf_dir):
-    df = split.stratified_split(flows(spark, sf_dir).select("flow_id", LABEL), "flow_id")
+    df = split.stratified_split(
+        durable(flows(spark, sf_dir).select("flow_id", LABEL), "labels"), "flow_id"
+    )
     return df.groupBy(LABEL, "split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -370,7 +379,7 @@ def seeded_shuffle(spark, sf_dir):
     f"""SELECT '{c}' AS feature, {r6(f'avg({c})', 3)} AS mean, {r6(f'stddev_pop({c})', 3)} AS std
     FROM sp WHERE split = 'train'""" for c in MODEL_FEATURES))
 def scaler_stats(spark, sf_dir):
-    stats = fit_scaler(split.stratified_split(flows(spark, sf_dir), "flow_id"), MODEL_FEATURES, "split")
+    stats = fit_scaler(split.stratified_split(stored_flows(spark, sf_dir), "flow_id"), MODEL_FEATURES, "split")
     return stats.select("feature", rounded("mean", 3).alias("mean"), rounded("std", 3).alias("std"))
 
 
@@ -380,7 +389,7 @@ _SCALED = f"""{FLOWS}, {sql.split_cte('flows', 'sp')},
 
 @query(f"{_SCALED} SELECT flow_id, Label, split, {', '.join(f'{r6(c)} AS {c}' for c in MODEL_FEATURES)} FROM sc")
 def scale_all_splits(spark, sf_dir):
-    df = scale(split.stratified_split(flows(spark, sf_dir), "flow_id"), MODEL_FEATURES)
+    df = scale(split.stratified_split(stored_flows(spark, sf_dir), "flow_id"), MODEL_FEATURES)
     return df.select("flow_id", LABEL, "split", *[rounded(c).alias(c) for c in MODEL_FEATURES])
 
 
@@ -391,5 +400,5 @@ _THREE_SQL = ", ".join(f"{r6(c)} AS {c}" for c in _THREE)
 @query(f"{_SCALED}, {sql.feature_ctes('sc', 'ft')} SELECT flow_id, split, {_THREE_SQL} FROM ft")
 def features_on_scaled(spark, sf_dir):
     """The engineered features computed from standardised columns."""
-    df = scale(split.stratified_split(flows(spark, sf_dir), "flow_id"), MODEL_FEATURES)
+    df = scale(split.stratified_split(stored_flows(spark, sf_dir), "flow_id"), MODEL_FEATURES)
     return ft.add_engineered_features(df).select("flow_id", "split", *[rounded(c).alias(c) for c in _THREE])

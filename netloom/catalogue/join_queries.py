@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from netloom.catalogue import sql
-from netloom.catalogue.flow_queries import _DIRTY, _SCALED, _THREE, _THREE_SQL, FLOWS, _dirty_flows, rounded
+from netloom.catalogue.flow_queries import _DIRTY, _SCALED, _THREE, _THREE_SQL, FLOWS, _dirty_flows, rounded, stored_flows
 from netloom.catalogue.sql import r6
-from netloom.functions.features import add_engineered_features
 from netloom.operators import neighbors, resample
 from netloom.plans import workflows
 from netloom.schema import FLOW_SCHEMA, ID_COLS, LABEL, MODEL_FEATURES
-from netloom.sources.tables import flows, table
+from netloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -217,7 +216,7 @@ _TAIL_SQL = ", ".join(f"{r6(c)} AS {c}" for c in _TAIL)
 SELECT flow_id, Label, split, {_TAIL_SQL}, {_THREE_SQL} FROM ft""")
 def engineer_flows(spark, sf_dir):
     """Split, standardise, then add the engineered features from the standardised columns."""
-    df = workflows.engineer(flows(spark, sf_dir), "flow_id")
+    df = workflows.engineer(stored_flows(spark, sf_dir), "flow_id")
     return df.select("flow_id", LABEL, "split", *[rounded(c).alias(c) for c in [*_TAIL, *_THREE]])
 
 
@@ -226,5 +225,5 @@ def engineer_flows(spark, sf_dir):
 SELECT flow_id, Label, split, {_TAIL_SQL}, {_THREE_SQL} FROM sc""")
 def engineer_flows_raw(spark, sf_dir):
     """The same with features from the original columns."""
-    df = workflows.engineer(flows(spark, sf_dir), "flow_id", features_on="raw")
+    df = workflows.engineer(stored_flows(spark, sf_dir), "flow_id", features_on="raw")
     return df.select("flow_id", LABEL, "split", *[rounded(c).alias(c) for c in [*_TAIL, *_THREE]])

@@ -7,31 +7,40 @@ _DIGITS = 13
 _RANGE = float(16**_DIGITS)
 
 
-def uniform(seed, tag: str, row_id) -> Column:
-    """Uniform double in [0, 1): leading 52 bits of ``md5('seed:tag:id')``."""
-    key = F.concat(F.lit(f"{seed}:{tag}:"), F.col(row_id) if isinstance(row_id, str) else row_id)
+def _number(key: Column) -> Column:
     digits = F.substring(F.md5(key), 1, _DIGITS)
     return F.conv(digits, 16, 10).cast("bigint") / F.lit(_RANGE)
 
 
-def exponential(seed, tag: str, row_id, mean: float) -> Column:
+def uniform(seed, tag: str, row_id) -> Column:
+    """Uniform double in [0, 1): leading 52 bits of ``md5('seed:tag:id')``."""
+    row_id = F.col(row_id) if isinstance(row_id, str) else row_id
+    return _number(F.concat(F.lit(f"{seed}:{tag}:"), row_id.cast("string")))
+
+
+def uniforms(seed, tags: list, row_id) -> Column:
+    """Array of the uniforms of many tags, in one short expression."""
+    row_id = (F.col(row_id) if isinstance(row_id, str) else row_id).cast("string")
+    prefixes = F.array(*[F.lit(f"{seed}:{tag}:") for tag in tags])
+    return F.transform(prefixes, lambda prefix: _number(F.concat(prefix, row_id)))
+
+
+def exponential(u: Column, mean: float) -> Column:
     """Exponential draw with the given mean."""
-    return F.lit(-float(mean)) * F.log1p(-uniform(seed, tag, row_id))
+    return F.lit(-float(mean)) * F.log1p(-u)
 
 
-def gaussian(seed, tag: str, row_id) -> Column:
-    """Standard normal draw (Box-Muller over two seeded uniforms)."""
-    radius = F.sqrt(F.lit(-2.0) * F.log1p(-uniform(seed, tag + ".r", row_id)))
-    return radius * F.cos(F.lit(6.283185307179586) * uniform(seed, tag + ".a", row_id))
+def gaussian(u: Column, v: Column) -> Column:
+    """Standard normal draw from two uniforms (Box-Muller)."""
+    return F.sqrt(F.lit(-2.0) * F.log1p(-u)) * F.cos(F.lit(6.283185307179586) * v)
 
 
-def integer(seed, tag: str, row_id, low: int, high: int) -> Column:
+def integer(u: Column, low: int, high: int) -> Column:
     """Uniform integer in ``low .. high - 1``."""
-    u = uniform(seed, tag, row_id)
     return F.lit(low).cast("bigint") + F.floor(u * F.lit(float(high - low))).cast("bigint")
 
 
-def choice(seed, tag: str, row_id, values: list) -> Column:
+def choice(u: Column, values: list) -> Column:
     """One of ``values``, each equally likely."""
     options = F.array(*[F.lit(v) for v in values])
-    return F.get(options, integer(seed, tag, row_id, 0, len(values)).cast("int"))
+    return F.get(options, integer(u, 0, len(values)).cast("int"))

@@ -93,40 +93,44 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
         c for c in numeric_columns(df) if c not in ID_COLS and c not in (LABEL, ATTACK, by)
     ]
     keys = [by] if by else []
-    bounds = [F.min(valid(c)).alias(f"lo{i}") for i, c in enumerate(columns)]
-    bounds += [F.max(valid(c)).alias(f"hi{i}") for i, c in enumerate(columns)]
-    pick = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
-        for i, c in enumerate(columns)
-    ]
-    flat = F.col("lo") == F.col("hi")
-    ranges = (
-        df.groupBy(*keys).agg(*bounds)
-        .select(*keys, F.inline(F.array(*pick)))
-        .filter("lo IS NOT NULL")
-        .select(
-            *keys, "feature",
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        )
+    ranges = df.groupBy(*keys).agg(
+        F.array(*[F.min(valid(c)) for c in columns]).alias("lo"),
+        F.array(*[F.max(valid(c)) for c in columns]).alias("hi"),
     )
-    long = df.select(
+    flat = lambda low, high, shift: F.when(low == high, low + shift)
+    ranges = ranges.select(
         *keys,
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("feature"), valid(c).alias("v")) for c in columns])
-        ),
-    ).filter("v IS NOT NULL")
-    on = keys + ["feature"]
-    slot = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
+        F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, -0.5), a)).alias("lo"),
+        F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, 0.5), b)).alias("hi"),
+    )
+    # One small array of bin numbers per row; only (column, bin) pairs are counted.
+    rows = df.select(*keys, F.array(*[valid(c) for c in columns]).alias("v"))
+    placed = join_small(rows, ranges, keys) if keys else rows.withColumns(
+        {c: ranges.select(c).scalar() for c in ("lo", "hi")}
+    )
+    slot = F.transform(
+        "v",
+        lambda v, i: F.least(
+            F.floor((v - F.get("lo", i)) / (F.get("hi", i) - F.get("lo", i)) * bins) + 1, F.lit(bins)
+        ).cast("int"),
+    )
     counted = (
-        join_small(long, ranges, on)
-        .groupBy(*on, F.least(slot, F.lit(bins)).cast("int").alias("bin"))
+        placed.select(*keys, F.posexplode(slot).alias("column", "bin"))
+        .groupBy(*keys, "column", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    names = F.array(*[F.lit(c) for c in columns])
+    zipped = F.arrays_zip(names.alias("feature"), F.col("lo"), F.col("hi"))
+    grid = (
+        ranges.select(*keys, F.posexplode(zipped).alias("column", "z"))
+        .select(*keys, "column", "z.feature", "z.lo", "z.hi")
+        .filter("lo IS NOT NULL")
+        .withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    )
     step = (F.col("hi") - F.col("lo")) / bins
-    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    return grid.join(counted, on + ["bin"], "left").select(
-        *on,
+    return grid.join(counted, [*keys, "column", "bin"], "left").select(
+        *keys,
+        "feature",
         "bin",
         (F.col("lo") + step * (F.col("bin") - 1)).alias("bin_low"),
         (F.col("lo") + step * F.col("bin")).alias("bin_high"),
