@@ -10,7 +10,7 @@ from netloom.functions.safety import INFINITY
 from netloom.operators import clean, profile, split
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
 from netloom.operators.scale import fit_scaler, scale
-from netloom.plans.sizing import durable, scratch_path
+from netloom.plans.sizing import durable, pinned, scratch_path
 from netloom.schema import (
     ATTACK, BYTES_FEATURES, FLOW_SCHEMA, ID_COLS, LABEL, MODEL_FEATURES, TIMING_FEATURES,
 )
@@ -214,9 +214,24 @@ def exact_quantiles_items(spark, sf_dir):
     return df.select("feature", "prob", rounded("value").alias("value"))
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {p}::DOUBLE AS prob, count({c}) > 0 AS close FROM lineitem"
+    for c in _ITEM for p in _PROBS))
 def approximate_quantiles_items(spark, sf_dir):
-    return approximate_quantiles(table(spark, sf_dir, "lineitem"), _ITEM, _PROBS)
+    """Whether each sketched quantile lies within the promised rank error (10 / accuracy here)."""
+    items = table(spark, sf_dir, "lineitem").select(*_ITEM)
+    found = pinned(approximate_quantiles(items, _ITEM, _PROBS, 10_000)).collect()
+    share = lambda test: F.count(F.when(test, 1)) / F.count(F.lit(1))
+    rows = [
+        F.struct(
+            F.lit(r["feature"]).alias("feature"),
+            F.lit(r["prob"]).alias("prob"),
+            ((share(F.col(r["feature"]) < r["value"]) <= r["prob"] + 1e-3)
+             & (share(F.col(r["feature"]) <= r["value"]) >= r["prob"] - 1e-3)).alias("close"),
+        )
+        for r in found
+    ]
+    return items.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 _MODEL_SQL = _plain_sql(MODEL_FEATURES)

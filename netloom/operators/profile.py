@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from netloom.functions.safety import valid
 from netloom.operators.clean import columns_of_type
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
-from netloom.plans.sizing import join_small, small_rows
+from netloom.plans.sizing import join_small, pinned, small_rows
 from netloom.schema import ATTACK, ID_COLS, LABEL
 
 _NUMBERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType)
@@ -73,13 +73,13 @@ def class_balance(df: DataFrame, label_col: str = LABEL) -> DataFrame:
         F.min(F.struct(label_col, "n")).getField("n").alias("first_n"),
         F.min(F.struct("n", label_col)).getField(label_col).alias("minority"),
     )
-    cell = lambda name: summary.select(name).scalar()
-    return counts.select(
+    whole = summary.select(F.struct("total", "first_n", "minority")).scalar()
+    return counts.withColumn("_whole", whole).select(
         label_col,
         "n",
-        (F.col("n") / cell("first_n")).alias("ratio"),
-        (F.col("n") / cell("total")).alias("share"),
-        (F.col(label_col) == cell("minority")).alias("is_minority"),
+        (F.col("n") / F.col("_whole.first_n")).alias("ratio"),
+        (F.col("n") / F.col("_whole.total")).alias("share"),
+        (F.col(label_col) == F.col("_whole.minority")).alias("is_minority"),
     )
 
 
@@ -92,22 +92,23 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
     columns = columns or [
         c for c in numeric_columns(df) if c not in ID_COLS and c not in (LABEL, ATTACK, by)
     ]
-    keys = [by] if by else []
+    keys = [by] if by else ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(0))
     ranges = df.groupBy(*keys).agg(
         F.array(*[F.min(valid(c)) for c in columns]).alias("lo"),
         F.array(*[F.max(valid(c)) for c in columns]).alias("hi"),
     )
     flat = lambda low, high, shift: F.when(low == high, low + shift)
-    ranges = ranges.select(
-        *keys,
-        F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, -0.5), a)).alias("lo"),
-        F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, 0.5), b)).alias("hi"),
+    ranges = pinned(
+        ranges.select(
+            *keys,
+            F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, -0.5), a)).alias("lo"),
+            F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, 0.5), b)).alias("hi"),
+        )
     )
     # One small array of bin numbers per row; only (column, bin) pairs are counted.
     rows = df.select(*keys, F.array(*[valid(c) for c in columns]).alias("v"))
-    placed = join_small(rows, ranges, keys) if keys else rows.withColumns(
-        {c: ranges.select(c).scalar() for c in ("lo", "hi")}
-    )
+    placed = join_small(rows, ranges, keys)
     slot = F.transform(
         "v",
         lambda v, i: F.least(
@@ -129,7 +130,7 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
     )
     step = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counted, [*keys, "column", "bin"], "left").select(
-        *keys,
+        *([by] if by else []),
         "feature",
         "bin",
         (F.col("lo") + step * (F.col("bin") - 1)).alias("bin_low"),

@@ -10,21 +10,28 @@ from pyspark.sql import types as T
 ZERO_GAP = 1e-9
 
 
-def previous_value(df: DataFrame, keys: list, order_col: str, value_col: str, width, out: str):
-    """``lag(value)`` per key in ``order_col`` order, computed inside ranges of ``order_col``.
+def consecutive(df: DataFrame, keys: list, order_col: str, value_col: str, width) -> DataFrame:
+    """Neighbouring values per key in ``order_col`` order: ``(keys, before, after)``.
 
-    A range covers ``width`` units. The first row of a range takes the last value of
-    the key's previous range, so a hot key is spread over its ranges.
+    Rows are ordered inside ranges of ``width`` units; the seams between a key's
+    ranges come from one row per range. So a hot key is spread over its ranges.
+    ``order_col`` must be unique per key.
     """
-    rows = df.withColumn("_range", F.floor(F.col(order_col) / F.lit(width)).cast("bigint"))
-    cut = [*keys, "_range"]
-    last = rows.groupBy(*cut).agg(F.max_by(value_col, order_col).alias("_last"))
-    earlier = last.withColumn(
-        "_earlier", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range"))
-    ).drop("_last")
-    inside = F.lag(value_col).over(Window.partitionBy(*cut).orderBy(order_col))
-    joined = rows.withColumn("_inside", inside).join(earlier, cut, "left")
-    return joined.withColumn(out, F.coalesce("_inside", "_earlier")).drop("_range", "_inside", "_earlier")
+    rows = df.select(
+        *keys,
+        F.col(order_col).alias("_at"),
+        F.col(value_col).alias("after"),
+        F.floor(F.col(order_col) / F.lit(width)).cast("bigint").alias("_range"),
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at")
+    pairs = rows.withColumn("before", F.lag("after").over(inside))
+    ends = rows.groupBy(*keys, "_range").agg(
+        F.min_by("after", "_at").alias("after"), F.max_by("after", "_at").alias("_last")
+    )
+    along = Window.partitionBy(*keys).orderBy("_range")
+    seams = ends.withColumn("before", F.lag("_last").over(along))
+    both = pairs.select(*keys, "before", "after").unionByName(seams.select(*keys, "before", "after"))
+    return both.filter("before IS NOT NULL")
 
 
 def interarrival(df: DataFrame, keys: list, ts_col: str, unit: float = 1.0, width=3_600_000_000,
@@ -33,17 +40,24 @@ def interarrival(df: DataFrame, keys: list, ts_col: str, unit: float = 1.0, widt
 
     ``ts_col`` is numeric; gaps are divided by ``unit``. Equal times are 1e-9 apart.
     One gap gives 0; a key with one row gives NULL, or an error with ``strict``.
-    Rows are first combined per (key, time), which also settles equal times.
+    Equal times are combined before anything is ordered.
     """
-    slots = df.groupBy(*keys, F.col(ts_col).alias("_ts")).agg(F.count(F.lit(1)).alias("_rows"))
-    gaps = previous_value(slots, keys, "_ts", "_ts", width, "_before").withColumn(
-        "_gap", (F.col("_ts") - F.col("_before")) / F.lit(float(unit))
+    times = df.select(*keys, F.col(ts_col).alias("_ts")).distinct()
+    gaps = consecutive(times, keys, "_ts", "_ts", width).select(
+        *keys,
+        ((F.col("after") - F.col("before")) / F.lit(float(unit))).alias("_gap"),
+        F.lit(0).cast("bigint").alias("_rows"),
     )
-    sums = gaps.groupBy(*keys).agg(
-        F.sum("_rows").alias("events"),
-        F.count("_gap").alias("_n"),
-        F.avg("_gap").alias("_avg"),
-        F.var_pop("_gap").alias("_var"),
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sums = (
+        gaps.unionByName(sizes.select(*keys, F.lit(None).cast("double").alias("_gap"), "_rows"))
+        .groupBy(*keys)
+        .agg(
+            F.sum("_rows").alias("events"),
+            F.count("_gap").alias("_n"),
+            F.avg("_gap").alias("_avg"),
+            F.var_pop("_gap").alias("_var"),
+        )
     )
     # Join the moments of the proper gaps with those of the equal-time gaps.
     m = F.col("events") - 1
@@ -64,9 +78,10 @@ def interarrival(df: DataFrame, keys: list, ts_col: str, unit: float = 1.0, widt
 
 def in_time_order(df: DataFrame, keys: list, order_col: str, ts_col: str, width=1_000_000) -> DataFrame:
     """Per key, whether ``ts_col`` never decreases in ``order_col`` order: ``(keys, in_order)``."""
-    rows = previous_value(df.select(*keys, order_col, ts_col), keys, order_col, ts_col, width, "_before")
-    ordered = F.coalesce(F.col("_before") <= F.col(ts_col), F.lit(True))
-    return rows.groupBy(*keys).agg(F.min(ordered).alias("in_order"))
+    pairs = consecutive(df, keys, order_col, ts_col, width)
+    tests = pairs.select(*keys, (F.col("before") <= F.col("after")).alias("ok"))
+    present = df.select(*keys, F.lit(True).alias("ok"))
+    return tests.unionByName(present).groupBy(*keys).agg(F.min("ok").alias("in_order"))
 
 
 def _payload(column) -> tuple:

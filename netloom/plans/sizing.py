@@ -49,6 +49,12 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS):
     return None if len(rows) > limit else rows
 
 
+def pinned(df: DataFrame, limit: int = SMALL_ROWS, name: str = "pinned") -> DataFrame:
+    """``df`` computed once for several uses: local rows if it is small, else a written table."""
+    rows = small_rows(df, limit)
+    return durable(df, name) if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list, how: str = "inner",
                limit: int = SMALL_ROWS) -> DataFrame:
     """Join on null-safe equality of ``on``; broadcast ``small`` only if it is small.
