@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from netloom.catalogue import sql
 from netloom.catalogue.flow_queries import _DIRTY, _SCALED, _THREE, _THREE_SQL, FLOWS, _dirty_flows, rounded, stored_flows
 from netloom.catalogue.sql import r6
-from netloom.operators import neighbors, resample
+from netloom.operators import classify, neighbors, resample
+from netloom.operators.evaluate import roc_auc
 from netloom.plans import workflows
+from netloom.plans.sizing import durable
 from netloom.schema import FLOW_SCHEMA, ID_COLS, LABEL, MODEL_FEATURES
 from netloom.sources.tables import table
 
@@ -227,3 +229,14 @@ def engineer_flows_raw(spark, sf_dir):
     """The same with features from the original columns."""
     df = workflows.engineer(stored_flows(spark, sf_dir), "flow_id", features_on="raw")
     return df.select("flow_id", LABEL, "split", *[rounded(c).alias(c) for c in [*_TAIL, *_THREE]])
+
+
+@query()
+def classifier_auc(spark, sf_dir):
+    """Train on the training rows of the engineered table, evaluate on the test rows."""
+    table_ = durable(workflows.engineer(stored_flows(spark, sf_dir), "flow_id"), "engineered")
+    features = [*MODEL_FEATURES, *_THREE]
+    model = classify.train(table_, features, rounds=5, split_col="split")
+    scored = classify.score(table_.filter("split = 'test'"), model, features)
+    result = roc_auc(scored.withColumn("s", F.get("scores", F.lit(1))), LABEL, "s")
+    return result.withColumn("auc", F.round("auc", 3))
