@@ -9,7 +9,7 @@ from netloom.operators import classify, neighbors, resample
 from netloom.operators.evaluate import roc_auc
 from netloom.plans import workflows
 from netloom.plans.sizing import durable
-from netloom.schema import FLOW_SCHEMA, ID_COLS, LABEL, MODEL_FEATURES
+from netloom.schema import LABEL, MODEL_FEATURES
 from netloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}

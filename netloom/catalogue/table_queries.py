@@ -280,9 +280,15 @@ def _generated_sql(seed=42, base=DEFAULT_BASE_MS):
     total = "(w0 + w1 + w2 + w3 + w4)"
     for i, size in enumerate(["UP_TO_128", "128_TO_256", "256_TO_512", "512_TO_1024", "1024_TO_1514"]):
         last[f"NUM_PKTS_{size}_BYTES"] = f"trunc((IN_PKTS + OUT_PKTS) * (w{i} / {total}))::BIGINT"
-    shown = ", ".join(
-        f"{r6(last.get(n, n), 3) if n.endswith('SECOND_BYTES') else last.get(n, n)} AS {n}" for n in FLOW_SCHEMA.names
-    )
+    whole_numbers = [f.name for f in FLOW_SCHEMA.fields if f.dataType.simpleString() == "bigint"]
+
+    def cell(n):
+        value = last.get(n, n)
+        if n in whole_numbers:
+            return f"({value})::BIGINT"
+        return r6(value, 3) if n.endswith("SECOND_BYTES") else value
+
+    shown = ", ".join(f"{cell(n)} AS {n}" for n in FLOW_SCHEMA.names)
     return f"""WITH a AS (SELECT o_orderkey, {', '.join(f'{e} AS {n}' for n, e in first.items())} FROM orders),
 b AS (SELECT *, {base} - (sum(gap) OVER (ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS st,
   {span('du')} AS di, {span('dv')} AS dx FROM a)

@@ -28,19 +28,6 @@ def valid(c) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def read_non_negative(df, name: str, default: float = 0.0) -> Column:
-    """Column floored at 0; ``default`` where the value or the whole column is missing."""
-    if name not in df.columns:
-        return F.lit(default)
-    value = valid(name)
-    return F.when(value.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0.0), value))
-
-
-def as_byte(c) -> Column:
-    """Double to unsigned byte: truncate toward zero and wrap; from 2^31 on the result is 0.
-
-    Missing values give -1, so that the result is never NULL.
-    """
-    value = valid(c)
-    wide = F.when(F.abs(value) < F.lit(2147483648.0), value).otherwise(F.lit(0.0))
-    return F.when(value.isNull(), F.lit(-1)).otherwise(F.pmod(wide.cast("int"), F.lit(256)))
+def valid_in(df, name: str) -> Column:
+    """``valid`` of a table's column; whole numbers need no NaN test."""
+    return valid(name) if dict(df.dtypes)[name] in ("double", "float") else as_double(name)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.functions.safety import valid
+from netloom.functions.safety import valid_in
 from netloom.operators.clean import columns_of_type
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
 from netloom.plans.sizing import join_small, pinned, small_rows
@@ -23,7 +23,7 @@ def describe(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     columns = columns or numeric_columns(df)
     stats = []
     for i, c in enumerate(columns):
-        v = valid(c)
+        v = valid_in(df, c)
         stats += [
             F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
             F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"),
@@ -95,8 +95,8 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
     keys = [by] if by else ["_all"]
     df = df if by else df.withColumn("_all", F.lit(0))
     ranges = df.groupBy(*keys).agg(
-        F.array(*[F.min(valid(c)) for c in columns]).alias("lo"),
-        F.array(*[F.max(valid(c)) for c in columns]).alias("hi"),
+        F.array(*[F.min(valid_in(df, c)) for c in columns]).alias("lo"),
+        F.array(*[F.max(valid_in(df, c)) for c in columns]).alias("hi"),
     )
     flat = lambda low, high, shift: F.when(low == high, low + shift)
     ranges = pinned(
@@ -107,7 +107,7 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
         )
     )
     # One small array of bin numbers per row; only (column, bin) pairs are counted.
-    rows = df.select(*keys, F.array(*[valid(c) for c in columns]).alias("v"))
+    rows = df.select(*keys, F.array(*[valid_in(df, c) for c in columns]).alias("v"))
     placed = join_small(rows, ranges, keys)
     slot = F.transform(
         "v",

@@ -4,15 +4,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import channels as ch
+from netloom.plans.sizing import small_rows
+
+MAX_GRID = 10_000
 
 
 def channel_sweep(states: DataFrame, id_col: str, p_values=None, names=ch.CHANNELS, base: float = 2) -> DataFrame:
     """One row per state, channel and p: fidelity, purity, entropy and the noisy state.
 
     ``states`` has the population ``q`` and, optionally, the coherence ``c`` (that
-    of the pure state by default). The grid is a checked list that each row unfolds
-    by itself, so nothing is shuffled.
+    of the pure state by default). ``p_values`` is a list, or a table with a column
+    ``p`` of at most ``MAX_GRID`` rows; each state unfolds it by itself, so nothing
+    is shuffled.
     """
+    if isinstance(p_values, DataFrame):
+        rows = small_rows(p_values.select(F.col("p").cast("double")), MAX_GRID)
+        if rows is None:
+            raise ValueError(f"more than {MAX_GRID} values of p")
+        p_values = [r["p"] for r in rows]
     grid = ch.check_grid(ch.DEFAULT_GRID if p_values is None else p_values)
     c = F.col("c") if "c" in states.columns else ch.pure_coherence(F.col("q"))
     rows = states.select(F.col(id_col), F.col("q").cast("double").alias("q"), c.cast("double").alias("c"))

@@ -10,7 +10,7 @@ from netloom.plans.sizing import join_small
 from netloom.schema import ATTACK_CLASSES, FLOW_SCHEMA
 
 DEFAULT_BASE_MS = 1_700_000_000_000
-_RANGE = 65_536
+_RANGE = 8_192
 
 
 def poisson_cdf(rate: float) -> list:

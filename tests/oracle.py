@@ -28,6 +28,19 @@ def _cell(value):
     return str(value)
 
 
+_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"
+}
+
+
+def type_differences(df, sql, con):
+    """Columns whose types differ between the two sides."""
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    want = {row[0]: _TYPES.get(row[1], row[1]) for row in described}
+    got = dict(df.dtypes)
+    return {c: (got.get(c), want.get(c)) for c in set(got) | set(want) if got.get(c) != want.get(c)}
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)

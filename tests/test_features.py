@@ -175,6 +175,8 @@ def test_fixed_states(spark):
         assert (r["fidelity"], r["purity"], r["entropy"]) == pytest.approx((1, 1, 0))
     with pytest.raises(ValueError):
         channel_sweep(default_state(spark.range(1)), "id", [0.5, 1.2])
+    grid = spark.createDataFrame([(0.1,), (0.4,)], "p double")
+    assert channel_sweep(default_state(spark.range(3)), "id", grid).count() == 12
 
 
 def test_maximally_mixed(spark):

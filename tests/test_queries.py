@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tests.oracle import differences, duck
+from tests.oracle import differences, duck, type_differences
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -18,6 +18,7 @@ def con():
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:
+        assert type_differences(df, ORACLES[name], con) == {}
         assert differences(df, ORACLES[name], con) == []
     else:
         assert df.count() > 0
