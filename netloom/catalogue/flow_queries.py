@@ -60,9 +60,8 @@ SELECT Label, count(*) AS flows, {r6('avg(quantum_noise_simulation)')} AS avg_no
   {r6('max(quantum_noise_simulation)')} AS max_noise FROM nz GROUP BY Label""")
 def flow_noise_by_label(spark, sf_dir):
     """Do attack flows carry more channel noise?"""
-    noisy = flows(spark, sf_dir).select(
-        LABEL, ft.quantum_noise_simulation(flows(spark, sf_dir)).alias("noise")
-    )
+    df = flows(spark, sf_dir)
+    noisy = df.select(LABEL, ft.quantum_noise_simulation(df).alias("noise"))
     return noisy.groupBy(LABEL).agg(
         F.count(F.lit(1)).alias("flows"),
         rounded(F.avg("noise")).alias("avg_noise"),

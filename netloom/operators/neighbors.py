@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from netloom.functions.blocks import exact, matrix, nearest, within
 from netloom.functions.distance import TRIANGLE, check_metric, distance
 from netloom.functions.seeded import uniform
-from netloom.plans.sizing import durable, join_small
+from netloom.plans.sizing import durable, join_small, pinned
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
+MAX_HOT_GROUPS = 10_000
 _SLACK = 1 + 1e-9
 
 
@@ -177,6 +178,7 @@ def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id"
     others = kept.filter(F.col("copy") <= k + 1)
     centres = _pivots(others.select("id", "vec"), count) if count > 1 else np.zeros((1, 1))
     cells = _cells(others, centres, metric, p)
+    cells = durable(cells, "cells") if count > 1 else cells
     reach = _neighbour_reach(cells, centres, k + 1, metric, p) if count > 1 else None
     asking = cells.filter(F.col("copy") == 1).select("id", "vec", "cell")
     offered = _targets(others.select("id", "vec"), centres, reach, metric, p)
@@ -195,7 +197,8 @@ def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id"
     answers = others.select("id", "head").join(lists, "head").select("id", "near")
     surplus = kept.filter(F.col("copy") == k + 2).select("vec", "head", F.col("id").alias("since"))
     if surplus.limit(1).count():
-        more = join_small(base, surplus.join(lists, "head").drop("head"), ["vec"])
+        hot = durable(surplus.join(lists, "head").drop("head"), "hot-copies")
+        more = join_small(base, hot, ["vec"], limit=MAX_HOT_GROUPS)
         answers = answers.unionByName(more.filter("id >= since").select("id", "near"))
     mine = F.slice(F.filter("near", lambda c: c.other != F.col("id")), 1, k)
     return answers.select("id", F.posexplode(mine).alias("pos", "hit")).select(
@@ -243,18 +246,20 @@ def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", id_col
     count = _pivot_count(groups.count(), block_rows, metric, pivots) or 1
     centres = _pivots(rows, count) if count > 1 else np.zeros((1, 1))
     cells = _cells(rows, centres, metric, p)
+    cells = durable(cells, "cells") if count > 1 else cells
     reach = (_radii(cells, count) + radius) * _SLACK if count > 1 else None
     found = _block_join(
         cells.select("id", "vec", "cell"), _targets(rows, centres, reach, metric, p), count, block_rows,
         lambda a, b, x, y: within(a, b, x, y, radius, metric, p), _SCHEMA,
     )
-    size = lambda name, out: groups.select(F.col("id").alias(name), F.col("copies").alias(out))
-    pairs = (
-        found.withColumnsRenamed({"id": "id_a", "other": "id_b"})
-        .join(size("id_a", "copies_a"), "id_a")
-        .join(size("id_b", "copies_b"), "id_b")
-        .select("id_a", "id_b", "distance", "copies_a", "copies_b")
-    )
+    pairs = found.withColumnsRenamed({"id": "id_a", "other": "id_b"})
+    # Only repeated vectors need a lookup; there are often few of them.
+    repeated = pinned(groups.filter("copies > 1").select("id", "copies"), name="repeated")
+    for side in ("a", "b"):
+        sizes = repeated.select(F.col("id").alias(f"id_{side}"), F.col("copies").alias("_copies"))
+        pairs = join_small(pairs, sizes, [f"id_{side}"], "left")
+        pairs = pairs.withColumn(f"copies_{side}", F.coalesce("_copies", F.lit(1))).drop("_copies")
+    pairs = pairs.select("id_a", "id_b", "distance", "copies_a", "copies_b")
     same = groups.filter("copies > 1").select(
         F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("distance"),
         F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"),

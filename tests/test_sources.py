@@ -11,6 +11,7 @@ from netloom.operators.scale import fit_scaler
 from netloom.plans import sizing, workflows
 from netloom.schema import ATTACK_CLASSES, FLOW_SCHEMA, ID_COLS, MODEL_FEATURES
 from netloom.sources import flow_files, generate
+from netloom.sources.tables import flow_counters
 from netloom.streaming import flow_stream
 
 
@@ -187,6 +188,31 @@ def test_workflows(spark, made):
         workflows.engineer(made, "id", features_on="both")
 
 
+def test_hot_flow(spark):
+    """One flow holds a third of all packets."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    flow = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 200, n))
+    times, sizes = rng.integers(0, 400, n), rng.integers(30, 1500, n)
+    inbound, lost = rng.random(n) < 0.5, rng.random(n) < 0.1
+    rows = [
+        (int(f), bool(i), int(t), int(z), bool(r), 1)
+        for f, i, t, z, r in zip(flow, inbound, times, sizes, lost)
+    ]
+    schema = "flow_id bigint, inbound boolean, t bigint, length bigint, retransmitted boolean, peer bigint"
+    got = {r["flow_id"]: r for r in flow_counters(spark.createDataFrame(rows, schema).repartition(8)).collect()}
+    assert len(got) == len(set(flow))
+    for key, r in got.items():
+        for side, tag in ((True, "in"), (False, "out")):
+            mine = (flow == key) & (inbound == side)
+            gaps = np.diff(np.sort(times[mine]))
+            assert r[f"{tag}_pkts"] == mine.sum() and r[f"{tag}_bytes"] == sizes[mine].sum()
+            assert r[f"{tag}_re_pkts"] == (mine & lost).sum()
+            assert r[f"{tag}_gap_min"] == (gaps.min() if len(gaps) else 0)
+            assert r[f"{tag}_gap_max"] == (gaps.max() if len(gaps) else 0)
+            assert r[f"{tag}_gap_squares"] == (gaps**2).sum()
+
+
 def test_join_small_falls_back(spark):
     big = spark.range(100).withColumn("k", F.when(F.col("id") < 90, F.col("id") % 7))
     small = spark.createDataFrame([(i, i * 10) for i in range(7)] + [(None, -1)], "k bigint, v bigint")
