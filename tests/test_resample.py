@@ -58,7 +58,10 @@ def test_hot_copies_in_the_minority(spark):
     df = classes(spark, {0: 200, 1: 40})
     same_row = (F.col("Label") == 1) & (F.col("id") % 2 == 0)
     df = df.withColumns({c: F.when(same_row, 1.5).otherwise(F.col(c)) for c in FEATURES})
-    assert smote(df, "id", FEATURES, k=5).filter("is_synthetic").count() == 160
+    plain = smote(df, "id", FEATURES, k=5)
+    hubs = smote(df, "id", FEATURES, k=5, hot_draws=15)
+    assert plain.filter("is_synthetic").count() == 160
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hubs.collect()))
 
 
 def test_invalid_input(spark):
