@@ -78,3 +78,42 @@ def with_unique_id(df: DataFrame, id_col: str, columns: list, name: str) -> tupl
         return df, id_col
     numbered = df.select(*columns, F.monotonically_increasing_id().alias("__row"))
     return durable(numbered, name), "__row"
+
+
+def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = ()) -> DataFrame:
+    """``df`` with columns computed from a text column, a slice of rows at a time.
+
+    ``make()`` runs once per task and returns a function from the slice's texts (an Arrow
+    string array without nulls), and the values of the columns ``more``, to one Arrow array
+    per field. Fields named like a column of ``df`` replace it.
+    """
+    added = df.sparkSession.createDataFrame([], fields).schema
+    kept = [c for c in df.columns if c not in added.names]
+    inner = {c: f"c{i}" for i, c in enumerate(kept)}
+    given = df.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], F.col(f"`{text_col}`").alias("text"),
+                      *[F.col(f"`{c}`").alias(f"more{i}") for i, c in enumerate(more)])
+    schema = given.select(*inner.values()).schema
+    for field in added:
+        schema = schema.add(f"n_{field.name}", field.dataType)
+
+    def run(batches):
+        fn = make()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                values = fn(plain_strings(batch["text"]), *[batch[f"more{i}"] for i in range(len(more))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch[n] for n in inner.values()] + list(values), names=schema.names)
+
+    out = given.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items()],
+                      *[F.col(f"n_{f.name}").alias(f.name) for f in added])
+
+
+def renamed(df: DataFrame) -> tuple:
+    """(``df`` with columns c0, c1, ..., a function that selects them back under their names).
+
+    For work that adds columns: their names cannot clash with those of ``df``.
+    """
+    names = df.columns
+    inner = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return inner, lambda out: out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
