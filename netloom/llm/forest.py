@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.common import gather, map_texts, table, text_bytes, with_unique_id
-from netloom.llm.graph import components, grouped, in_blocks, small, stars, whole_groups
+from netloom.llm.graph import components, grouped, in_blocks, small, star_edges, stars, whole_groups
 from netloom.plans.sizing import durable
 
 WORDS = 5
@@ -31,7 +31,7 @@ RECALL = 0.9999
 SKETCH = 64
 # Signatures of texts at SIMILARITY agree in this share of the sketch but for one pair in 10^8.
 SKETCH_LEAST = 0.5
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 # Shingles of a loose group that one task compares with one another.
 BLOCK_SHINGLES = 300_000
 # A column of a group's shingle table with more rows goes into a matrix product.
@@ -182,8 +182,8 @@ def _sets(words: int):
 
 
 def _alike(batches):
-    """Edges between rows of a trie node whose sketches agree; any two alike rows are connected by them."""
-    for t, starts in whole_groups(batches, "key", limit=40_000):
+    """Edges that connect rows of a trie node whose sketches agree: one per row and table at most."""
+    for t, starts in whole_groups(batches, "key"):
         reps = t["rep"].to_numpy()
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
         sizes = np.diff(starts)
@@ -200,8 +200,8 @@ def _alike(batches):
             if n > RARE:
                 found.append(reps[a:b][_led(sketch[a:b])])
         if found:
-            pairs = np.unique(np.sort(np.concatenate(found, 1), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            pairs = star_edges(*np.concatenate(found, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
 
 
 def _led(sketch: np.ndarray) -> np.ndarray:
@@ -284,8 +284,7 @@ def _verified(similarity: float):
                 links[a:b] += linked @ copies[a:b]
                 top = stars(linked)
                 edges.append(np.stack([reps[a:b], reps[a:b][top]]))
-            pairs = np.concatenate(edges, 1)
-            pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+            pairs = np.stack(star_edges(*np.concatenate(edges, 1)))
             some = np.flatnonzero(links)
             rep = np.concatenate([reps[some], pairs[0]])
             other = pa.array(np.concatenate([np.zeros(len(some), dtype=np.int64), pairs[1]]), mask=np.arange(len(rep)) < len(some))

@@ -104,6 +104,25 @@ def _portions(table, starts, weight, limit):
             first = k
 
 
+def star_edges(a: np.ndarray, b: np.ndarray) -> tuple:
+    """Edges from every node of an edge list to the smallest node it is connected to in that list."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            some = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[some], nodes[label[some]]
+        label = new
+
+
 def stars(linked: np.ndarray) -> np.ndarray:
     """Per row of a symmetric boolean matrix the smallest row it is connected to."""
     n = len(linked)
