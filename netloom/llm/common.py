@@ -31,6 +31,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list:
     return [t or "" for t in batch[column].to_pylist()]
 
 
+def portions(texts: pa.Array, limit: int):
+    """Pieces of a text array with about ``limit`` bytes, whose arrays stay small."""
+    cut = np.flatnonzero(np.diff(np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64)) // limit)) + 1
+    edges = [0, *cut.tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
 def plain_strings(column: pa.Array) -> pa.Array:
     """A text column with null as the empty string."""
     return pc.fill_null(column.cast(pa.string()), "")

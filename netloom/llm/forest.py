@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import gather, map_texts, table, text_bytes, with_unique_id
+from netloom.llm.common import map_texts, portions, table, text_bytes, with_unique_id
 from netloom.llm.graph import components, grouped, in_blocks, small, star_edges, stars, whole_groups
 from netloom.plans.sizing import durable
 
@@ -36,7 +36,7 @@ BLOCK_ROWS = 4096
 BLOCK_SHINGLES = 300_000
 # A column of a group's shingle table with more rows goes into a matrix product.
 RARE = 32
-_SLICE_WORDS = 200_000
+_SLICE_BYTES = 1 << 20
 _ODD = r"[^\x00-\x7F\p{L}\p{N}\p{M}]"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _BASE = 0x100000001B3
@@ -124,22 +124,13 @@ def signatures(values: np.ndarray, runs: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def _portions(texts: pa.Array):
-    """Pieces of a text array with a bounded number of bytes, so that arrays stay in the caches."""
-    cut = np.flatnonzero(np.diff(np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64)) // (6 * _SLICE_WORDS))) + 1
-    edges = [0, *cut.tolist(), len(texts)]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield texts.slice(a, b - a)
-
-
 def _digests(words: int, use: list):
     functions = sum(use) if sum(use) >= SKETCH else SKETCH
 
     def make():
         def of(texts):
             keys, sketches, classes = [], [], []
-            for part in _portions(texts):
+            for part in portions(texts, _SLICE_BYTES):
                 hashes, counts = word_hashes(part)
                 values, runs = shingles(hashes, counts, words)
                 mins = signatures(values, runs, functions)
@@ -168,7 +159,7 @@ def _sets(words: int):
     def make():
         def of(texts):
             rows = []
-            for part in _portions(texts):
+            for part in portions(texts, _SLICE_BYTES):
                 values, runs = shingles(*word_hashes(part), words)
                 rows += [np.unique(v).view(np.int64) for v in np.split(values, np.cumsum(runs)[:-1])]
             lengths = np.array([len(r) for r in rows], dtype=np.int32)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from netloom.llm.common import map_texts, renamed, table, text_bytes
+from netloom.llm.common import map_texts, portions, renamed, table, text_bytes
 
 BUCKET_BITS = 16
 DIM = 16
@@ -27,6 +27,8 @@ PER_LANGUAGE = 500
 CALIBRATION = 5
 REJECTED = 0.002
 NO_LANGUAGE = "und"
+# Bytes of text whose subwords are in memory at once.
+SLICE_BYTES = 1 << 20
 _SPACE = 32
 
 
@@ -83,7 +85,8 @@ class LanguageModel:
 
     def predict(self, texts: pa.Array) -> tuple:
         """(language, score, rejected) per text."""
-        scores = _softmax(self.logits(texts) / self.temperature)
+        logits = [self.logits(part) for part in portions(texts, SLICE_BYTES)]
+        scores = _softmax(np.concatenate(logits) / self.temperature)
         best, score = scores.argmax(1), scores.max(1)
         bare = ~np.asarray(pc.match_substring_regex(texts, r"\p{L}"))
         names = np.array([*self.languages, NO_LANGUAGE], dtype=object)
@@ -147,12 +150,13 @@ def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
 
 def _features():
     def of(texts):
-        buckets, counts = subwords(texts)
         ids, numbers = [], []
-        for part in np.split(buckets, np.cumsum(counts)[:-1]):
-            distinct, count = np.unique(part, return_counts=True)
-            ids.append(distinct.astype(np.int32))
-            numbers.append(count.astype(np.int32))
+        for some in portions(texts, SLICE_BYTES):
+            buckets, counts = subwords(some)
+            for part in np.split(buckets, np.cumsum(counts)[:-1]):
+                distinct, count = np.unique(part, return_counts=True)
+                ids.append(distinct.astype(np.int32))
+                numbers.append(count.astype(np.int32))
         return pa.array(ids, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))
 
     return of
@@ -196,7 +200,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
 
     def make():
         def of(texts):
-            if shared.value is None:
+            if shared.value is None or not len(texts):
                 n = len(texts)
                 return pa.array([NO_LANGUAGE] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.ones(n, dtype=bool))
             lang, score, rejected = shared.value.predict(texts)

@@ -23,6 +23,8 @@ from netloom.llm.common import gather, list_array, plain_strings, runs, slices,
 MARK = "▁"
 # A character that is no piece costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
+# Chunks kept for later texts.
+CACHED = 300_000
 # Chunks up to this length are segmented many at a time.
 WIDE = 64
 _CHUNKS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -67,9 +69,10 @@ class DoubleArray:
             steps = np.array(sorted(children[node]), dtype=np.int64)
             at = first
             while True:
-                if at + len(self.points) + 2 >= len(used):
-                    self._grow(2 * len(used))
-                    used = np.concatenate([used, np.zeros(len(used), dtype=bool)])
+                room = at + 4096 + len(self.points) + 2
+                if room > len(used):
+                    self._grow(2 * room)
+                    used = np.concatenate([used, np.zeros(2 * room - len(used), dtype=bool)])
                 free = np.flatnonzero(~used[at : at + 4096]) + at
                 begins = free[free >= steps[0]] - steps[0]
                 fits = begins[~used[begins[:, None] + steps[None, :]].any(1)] if len(steps) < 64 else [
@@ -294,7 +297,7 @@ class Unigram:
 
     def _cached(self) -> ChunkCache:
         if self.cache is None:
-            self.cache = ChunkCache(self._encode_distinct)
+            self.cache = ChunkCache(self._encode_distinct, CACHED)
         return self.cache
 
     def encode_batch(self, texts: list) -> tuple:
