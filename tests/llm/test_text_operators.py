@@ -249,7 +249,7 @@ def test_mix_reaches_targets(spark):
     for source, part in out.groupby(out["source"].where(out["source"].notna(), "<null>")):
         source = None if source == "<null>" else source
         assert abs(part["target"].iloc[0] - want[source]) < 1e-6
-        assert part["taken"].sum() == round(want[source]) and (part["taken"] <= 2 * part["size"]).all()
+        assert part["taken"].sum() == math.floor(want[source] + 0.5) and (part["taken"] <= 2 * part["size"]).all()
         assert part["source_size"].iloc[0] == sizes[source]
     again = mixing.mix(table.repartition(7)).toPandas().sort_values("doc_id")
     assert (again["taken"].to_numpy() == out.sort_values("doc_id")["taken"].to_numpy()).all()
@@ -310,7 +310,7 @@ def test_pieces_round_trip(spark, pieces):
     for i, t in enumerate(texts):
         assert out[i]["exact"] and pieces.decode(out[i]["ids"]) == (t or "")
         assert out[i]["n_pieces"] == len(out[i]["ids"])
-    assert out[0]["ids"] == [] and out[4]["n_byte_pieces"] > 0
+    assert out[0]["ids"] == [] and out[3]["n_byte_pieces"] >= 6  # two markers of the text itself
 
 
 def test_double_array_holds_exactly_its_pieces():
