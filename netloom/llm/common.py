@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from netloom.plans.sizing import durable
 
 # Texts are taken from an Arrow batch in slices of about this many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,7 @@ def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = ())
                 values = fn(plain_strings(batch["text"]), *[batch[f"more{i}"] for i in range(len(more))])
                 yield pa.RecordBatch.from_arrays(
                     [batch[n] for n in inner.values()] + list(values), names=schema.names)
+            pa.default_memory_pool().release_unused()  # workers live on; give back what a batch took
 
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in inner.items()],

@@ -219,7 +219,7 @@ def _verified(similarity: float):
 
     def run(batches):
         weight = lambda t: pc.list_value_length(t["set"]).to_numpy()
-        for t, starts in whole_groups(batches, "comp", weight, 4 * BLOCK_SHINGLES):
+        for t, starts in whole_groups(batches, "comp", weight, BLOCK_SHINGLES):
             reps, copies, side = (t[c].to_numpy() for c in ("rep", "copies", "side"))
             cross = t["bi"].to_numpy() != t["bj"].to_numpy()
             sets = t["set"].combine_chunks() if isinstance(t["set"], pa.ChunkedArray) else t["set"]

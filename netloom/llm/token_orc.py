@@ -128,7 +128,7 @@ def _encoder(path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache, part, start = word_encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 8 << 20):
                 counts, ids = encode_texts(cache, plain_strings(batch["text"]))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
                 counts = counts + 1
