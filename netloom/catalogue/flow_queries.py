@@ -238,7 +238,7 @@ _MODEL_SQL = _plain_sql(MODEL_FEATURES)
 
 @query(f"{FLOWS} SELECT flow_id, {_MODEL_SQL}, Label FROM flows")
 def project_model_columns(spark, sf_dir):
-    df = clean.project_model_columns(flows(spark, sf_dir), partitions=20)
+    df = clean.project_model_columns(flows(spark, sf_dir))
     return clean.label_last(clean.canonical_order(df)).select("flow_id", *_plain(MODEL_FEATURES), LABEL)
 
 
@@ -278,6 +278,26 @@ def csv_roundtrip(spark, sf_dir):
     return flow_files.load_flows(spark, path, "csv").select(*_plain(FLOW_SCHEMA.names))
 
 
+@query(f"{FLOWS} SELECT flow_id, {_ALL_SQL} FROM flows")
+def csv_by_name(spark, sf_dir):
+    """A CSV file with an id column and all columns in reverse order."""
+    path = scratch_path(spark, "flows-csv")
+    df = flows(spark, sf_dir)
+    flow_files.save_table(df.select(*reversed(df.columns)), path, "csv")
+    back = flow_files.load_flows(spark, path, "csv")
+    return back.select(F.col("flow_id").cast(dict(df.dtypes)["flow_id"]).alias("flow_id"), *_plain(FLOW_SCHEMA.names))
+
+
+_SHORT = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY md5(concat_ws(chr(31), {', '.join(f'{c}::VARCHAR' for c in _SHORT)}))) AS row_id,
+  {', '.join(_SHORT)} FROM lineitem""")
+def flow_row_ids(spark, sf_dir):
+    """Ids for a table without one and with many equal rows."""
+    return flow_files.with_row_id(table(spark, sf_dir, "lineitem").select(*_SHORT), "row_id")
+
+
 @query(f"{FLOWS} SELECT {_ALL_SQL} FROM flows")
 def parquet_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "flows-parquet")

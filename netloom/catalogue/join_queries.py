@@ -185,6 +185,27 @@ def smote_skip_multiclass(spark, sf_dir):
     return kept.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT CASE WHEN label = 0 THEN 0 ELSE 1 END AS label, FALSE AS is_synthetic, count(*) AS n
+FROM embeddings GROUP BY ALL""")
+def smote_skip_missing(spark, sf_dir):
+    """A feature is missing in minority rows: the table comes back as it was."""
+    df = _zero_or_rest(spark, sf_dir)
+    df = df.withColumn(_DIM_NAMES[0], F.when(F.col("label") != 0, F.col(_DIM_NAMES[0])))
+    kept = resample.smote(df, "vec_id", _DIM_NAMES, "label", on_invalid="skip")
+    return kept.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT count(*) AS n, 2 * count(*) FILTER (WHERE label <> 0) - count(*) AS gap FROM embeddings),
+o AS (SELECT *, trunc(gap * 0.25)::BIGINT AS first FROM c)
+SELECT n + first + trunc((gap - first) * 0.5)::BIGINT AS rows, n + first + trunc((gap - first) * 0.5)::BIGINT AS ids FROM o""")
+def rebalance_twice(spark, sf_dir):
+    """A second run on a rebalanced table gives new ids."""
+    once = resample.smote(_zero_or_rest(spark, sf_dir), "vec_id", _DIM_NAMES, "label", ratio=0.25)
+    once = durable(once.drop("is_synthetic"), "once")
+    twice = resample.smote(once, "vec_id", _DIM_NAMES, "label", ratio=0.5)
+    return twice.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"))
+
+
 # --- Workflows --------------------------------------------------------------
 
 _CAPPED = ["L7_PROTO", "SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES"]

@@ -93,6 +93,18 @@ def entropy_by_source(spark, sf_dir):
     return df.withColumn("entropy", rounded("entropy"))
 
 
+_BARE = "(SELECT source, CASE WHEN source = 'src1' THEN '' WHEN source <> 'src2' THEN text END AS text FROM documents)"
+
+
+@query(f"""SELECT source, coalesce(bytes, 0) AS bytes, entropy FROM (SELECT DISTINCT source FROM documents)
+LEFT JOIN ({_bytes_sql("source", _BARE, "text")}) USING (source)""")
+def entropy_by_source_with_empty(spark, sf_dir):
+    """One source with empty texts only, one with missing texts only."""
+    text = F.when(F.col("source") == "src1", "").when(F.col("source") != "src2", F.col("text"))
+    df = series.byte_entropy_by(table(spark, sf_dir, "documents").withColumn("text", text), ["source"], "text")
+    return df.withColumn("entropy", rounded("entropy"))
+
+
 @query(_bytes_sql("role", "conversations", "text"))
 def entropy_by_role(spark, sf_dir):
     df = series.byte_entropy_by(table(spark, sf_dir, "conversations"), ["role"], "text")
@@ -140,6 +152,15 @@ def channel_sweep_bit(spark, sf_dir):
     return _sweep(_states(spark, sf_dir), ["bit"])
 
 
+@query(_sweep_sql("bit"))
+def channel_sweep_grid_table(spark, sf_dir):
+    """The grid of p comes from a table."""
+    grid = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 11 / 10).alias("p")).distinct()
+    rows = states.channel_sweep(_states(spark, sf_dir), "flow_id", grid, ["bit"])
+    floats = ["q", "c", "fidelity_sq", "purity", "entropy", "r00", "r01", "r11"]
+    return rows.withColumns({c: rounded(c) for c in floats}).withColumn("fidelity", rounded("fidelity", 5))
+
+
 @query(_sweep_sql("phase"))
 def channel_sweep_phase(spark, sf_dir):
     return _sweep(_states(spark, sf_dir), ["phase"])

@@ -53,6 +53,13 @@ def _strips(rows: int, other: int, width: int, metric: str):
     return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
 
 
+def _exact_pairs(a, b, i, j, metric, p):
+    """Distances of the pairs (i, j), a bounded number of values at a time."""
+    step = max(1, 2_000_000 // max(a.shape[1], 1))
+    parts = [exact(a[i[s : s + step]], b[j[s : s + step]], metric, p) for s in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def nearest(a, b, a_ids, b_ids, k: int, metric: str, p: float):
     """For every row of ``a`` its ``k`` nearest rows of ``b``, by (distance, id)."""
     found = []
@@ -61,7 +68,7 @@ def nearest(a, b, a_ids, b_ids, k: int, metric: str, p: float):
         low, high = bounded(a[strip], b, metric, p)
         reach = np.partition(high, k - 1, axis=1)[:, k - 1 : k]
         i, j = np.nonzero(low <= reach)
-        d = exact(a[strip][i], b[j], metric, p)
+        d = _exact_pairs(a[strip], b, i, j, metric, p)
         order = np.lexsort((b_ids[j], d, i))
         i, j, d = i[order], j[order], d[order]
         start = np.searchsorted(i, i, side="left")
@@ -77,7 +84,7 @@ def within(a, b, a_ids, b_ids, radius: float, metric: str, p: float):
     for strip in _strips(len(a), len(b), a.shape[1], metric):
         low, _ = bounded(a[strip], b, metric, p)
         i, j = np.nonzero((low <= limit) & (a_ids[strip][:, None] < b_ids[None, :]))
-        d = exact(a[strip][i], b[j], metric, p)
+        d = _exact_pairs(a[strip], b, i, j, metric, p)
         keep = d <= radius
         found.append((a_ids[strip][i[keep]], b_ids[j[keep]], d[keep]))
     return tuple(np.concatenate(part) for part in zip(*found))

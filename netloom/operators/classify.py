@@ -1,4 +1,7 @@
-"""Documented-only: a binary or multi-class classifier on the engineered table."""
+"""Documented-only: a binary or multi-class classifier on the engineered table.
+
+A missing feature is an error, in training and in scoring: no row is left out silently.
+"""
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +13,7 @@ from netloom.schema import LABEL
 
 
 def _assembled(df: DataFrame, features: list) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_vector", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=features, outputCol="_vector", handleInvalid="error").transform(df)
 
 
 def train(df: DataFrame, features: list, label_col: str = LABEL, rounds: int = 20, split_col=None):

@@ -27,13 +27,15 @@ _SLACK = 1 + 1e-9
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    return df.select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")
-    )
+    """Ids and vectors. One missing or non-finite value fails the job: it would spoil its whole block."""
+    vec = F.col(vec_col).cast("array<double>")
+    fine = F.coalesce(F.forall(vec, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    broken = F.raise_error(F.lit("a vector is missing or holds missing or non-finite values")).cast("array<double>")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.when(fine, vec).otherwise(broken).alias("vec"))
 
 
 def _pivots(rows: DataFrame, count: int) -> np.ndarray:
-    """A seeded sample of at most MAX_PIVOTS vectors."""
+    """A seeded sample of vectors."""
     picked = rows.orderBy(uniform(0, "pivot", "id"), "id").limit(count).collect()
     return np.array([r["vec"] for r in picked], dtype=float)
 
@@ -71,7 +73,7 @@ def _targets(rows: DataFrame, pivots, reach, metric, p) -> DataFrame:
 
 def _cell_sizes(rows: DataFrame, column: str, pivots: int) -> np.ndarray:
     sizes = np.zeros(pivots, dtype=np.int64)
-    for r in rows.groupBy(column).count().collect():  # at most MAX_PIVOTS rows
+    for r in rows.groupBy(column).count().collect():  # one row per pivot
         sizes[r[0]] = r["count"]
     return sizes
 
@@ -93,7 +95,7 @@ def _neighbour_reach(cells: DataFrame, pivots, k: int, metric, p) -> np.ndarray:
     rows = (
         cells.select("cell", "off", F.row_number().over(closest).alias("n"))
         .filter(F.col("n") <= k)
-        .collect()  # at most MAX_PIVOTS * k numbers
+        .collect()  # k numbers per pivot
     )
     owner = np.array([r["cell"] for r in rows])
     off = np.array([r["off"] for r in rows])
@@ -141,7 +143,7 @@ def _block_join(left: DataFrame, right: DataFrame, pivots: int, block_rows: int,
 
 def _pivot_count(rows: int, block_rows: int, metric: str, pivots) -> int:
     if pivots:
-        return min(pivots, MAX_PIVOTS, rows)
+        return min(pivots, rows)
     if rows <= block_rows or metric not in TRIANGLE:
         return 1
     return min(MAX_PIVOTS, math.ceil(math.sqrt(rows)))

@@ -7,11 +7,10 @@ from pyspark.sql import types as T
 from netloom.functions.safety import valid_in
 from netloom.operators.clean import columns_of_type
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
-from netloom.plans.sizing import join_small, pinned, small_rows
+from netloom.plans.sizing import join_small, pinned
 from netloom.schema import ATTACK, ID_COLS, LABEL
 
 _NUMBERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType)
-MAX_CLASSES = 10_000
 
 
 def numeric_columns(df: DataFrame) -> list:
@@ -57,12 +56,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).count().orderBy(F.desc("count"), column)
 
 
-def class_counts(df: DataFrame, label_col: str = LABEL) -> list:
-    """``[(label, rows)]``, smallest class first, ties by label. Fails on very many classes."""
-    rows = small_rows(df.groupBy(label_col).count(), MAX_CLASSES)
-    if rows is None:
-        raise ValueError(f"{label_col} has more than {MAX_CLASSES} distinct values")
-    return sorted(((r[0], r["count"]) for r in rows), key=lambda r: (r[1], r[0]))
+def class_counts(df: DataFrame, label_col: str = LABEL, first: int = 3) -> list:
+    """``[(label, rows)]`` of the ``first`` smallest classes, ties by label, NULL before all labels.
+
+    However many classes there are, only these rows reach the driver.
+    """
+    counts = df.groupBy(label_col).count()
+    return [(r[0], r["count"]) for r in counts.orderBy("count", label_col).limit(first).collect()]
 
 
 def class_balance(df: DataFrame, label_col: str = LABEL) -> DataFrame:

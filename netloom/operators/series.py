@@ -145,10 +145,15 @@ def byte_counts(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
 
 
 def byte_entropy_by(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
-    """Entropy in bits of all bytes of a key's payloads: ``(keys, bytes, entropy)``."""
+    """Entropy in bits of all bytes of a key's payloads: ``(keys, bytes, entropy)``.
+
+    A key whose payloads are all empty or NULL has 0 bytes and no entropy.
+    """
     counts = byte_counts(df, keys, payload_col)
+    present = df.select(*keys).distinct().withColumns({"byte": F.lit(None).cast("int"), "n": F.lit(None).cast("bigint")})
     n = F.col("n").cast("double")
-    return counts.groupBy(*keys).agg(
-        F.sum("n").alias("bytes"),
-        F.greatest(F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n), F.lit(0.0)).alias("entropy"),
+    entropy = F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
+    return counts.unionByName(present).groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"),
+        F.when(F.sum(n) > 0, F.greatest(entropy, F.lit(0.0))).alias("entropy"),
     )

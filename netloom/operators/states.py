@@ -1,12 +1,29 @@
 """Noise-channel metrics for a table of states over a grid of flip probabilities."""
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import channels as ch
-from netloom.plans.sizing import small_rows
+from netloom.plans.sizing import durable
+
+
+# Values of p in one row of a stored grid.
+GRID_PART = 1000
+
 
-MAX_GRID = 10_000
+def _grid_parts(p_values: DataFrame) -> DataFrame:
+    """(part, grid): the values in lists of at most about GRID_PART."""
+    values = durable(p_values.select(F.col("p").cast("double").alias("p")), "grid")
+    size, bad = values.agg(F.count(F.lit(1)), F.count(F.when(F.coalesce(F.col("p").between(0, 1), F.lit(False)), None).otherwise(1))).first()
+    if bad or not size:
+        raise ValueError("every p must lie in [0, 1]")
+    parts = math.ceil(size / GRID_PART)
+    place = F.pmod(F.row_number().over(Window.partitionBy("block").orderBy("p")), F.lit(parts))
+    dealt = values.withColumn("block", F.pmod(F.xxhash64("p"), F.lit(parts))).withColumn("part", place.cast("int") if parts > 1 else F.lit(0))
+    lists = durable(dealt.groupBy("part").agg(F.collect_list("p").alias("grid")), "grid-parts")
+    return lists.withColumn("part", (F.row_number().over(Window.orderBy("part")) - 1).cast("int"))  # one row per GRID_PART values
 
 
 def channel_sweep(states: DataFrame, id_col: str, p_values=None, names=ch.CHANNELS, base: float = 2) -> DataFrame:
@@ -14,18 +31,21 @@ def channel_sweep(states: DataFrame, id_col: str, p_values=None, names=ch.CHANNE
 
     ``states`` has the population ``q`` and, optionally, the coherence ``c`` (that
     of the pure state by default). ``p_values`` is a list, or a table with a column
-    ``p`` of at most ``MAX_GRID`` rows; each state unfolds it by itself, so nothing
-    is shuffled.
+    ``p`` of any length. A state unfolds a list by itself; a table is cut into parts of
+    ``GRID_PART`` values, and a state unfolds one part after another.
     """
     if isinstance(p_values, DataFrame):
-        rows = small_rows(p_values.select(F.col("p").cast("double")), MAX_GRID)
-        if rows is None:
-            raise ValueError(f"more than {MAX_GRID} values of p")
-        p_values = [r["p"] for r in rows]
-    grid = ch.check_grid(ch.DEFAULT_GRID if p_values is None else p_values)
+        parts = _grid_parts(p_values)
+    else:
+        parts = None
+        grid = ch.check_grid(ch.DEFAULT_GRID if p_values is None else p_values)
     c = F.col("c") if "c" in states.columns else ch.pure_coherence(F.col("q"))
     rows = states.select(F.col(id_col), F.col("q").cast("double").alias("q"), c.cast("double").alias("c"))
-    rows = rows.withColumn("p", F.explode(F.array(*[F.lit(p) for p in grid])))
+    if parts is None:
+        rows = rows.withColumn("p", F.explode(F.array(*[F.lit(p) for p in grid])))
+    else:
+        numbers = F.explode(F.sequence(F.lit(0), F.lit(parts.count() - 1)))
+        rows = rows.withColumn("part", numbers).join(parts, "part").withColumn("p", F.explode("grid"))
     q, c, p = F.col("q"), F.col("c"), F.col("p")
     each = [
         F.struct(

@@ -1,5 +1,6 @@
 """Size checks before broadcasting, and lineage cuts that survive executor loss."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,11 @@ SMALL_ROWS = 200_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    On a cluster the setting is required. It may name a ``file:`` folder if that is mounted
+    on all machines.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
@@ -19,7 +24,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="netloom-checkpoint-")
     context.setCheckpointDir(root)
