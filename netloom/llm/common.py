@@ -89,17 +89,20 @@ def with_unique_id(df: DataFrame, id_col: str, columns: list, name: str) -> tupl
     return durable(numbered, name), "__row"
 
 
-def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = ()) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = (), keep: list | None = None) -> DataFrame:
     """``df`` with columns computed from a text column, a slice of rows at a time.
 
     ``make()`` runs once per task and returns a function from the slice's texts (an Arrow
     string array without nulls), and the values of the columns ``more``, to one Arrow array
-    per field. Fields named like a column of ``df`` replace it.
+    per field. Fields named like a column of ``df`` replace it; ``keep`` names the columns
+    of ``df`` that go through (all by default).
     """
     added = df.sparkSession.createDataFrame([], fields).schema
-    kept = [c for c in df.columns if c not in added.names]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in added.names]
     inner = {c: f"c{i}" for i, c in enumerate(kept)}
-    given = df.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], F.col(f"`{text_col}`").alias("text"),
+    text = inner.get(text_col, "text")  # a text that goes through is sent once
+    given = df.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()],
+                      *([] if text_col in inner else [F.col(f"`{text_col}`").alias(text)]),
                       *[F.col(f"`{c}`").alias(f"more{i}") for i, c in enumerate(more)])
     schema = given.select(*inner.values()).schema
     for field in added:
@@ -108,8 +111,8 @@ def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = ())
     def run(batches):
         fn = make()
         for whole in batches:
-            for batch in slices(whole, "text"):
-                values = fn(plain_strings(batch["text"]), *[batch[f"more{i}"] for i in range(len(more))])
+            for batch in slices(whole, text):
+                values = fn(plain_strings(batch[text]), *[batch[f"more{i}"] for i in range(len(more))])
                 yield pa.RecordBatch.from_arrays(
                     [batch[n] for n in inner.values()] + list(values), names=schema.names)
             pa.default_memory_pool().release_unused()  # workers live on; give back what a batch took

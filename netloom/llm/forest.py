@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base, row_id = with_unique_id(docs, id_col, list(dict.fromkeys([id_col, text_col])), "near")
     own = base.select(F.col(row_id).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = durable(map_texts(own, "text", "class binary, keys array<long>, sketch binary",
-                             _digests(words, depths(similarity=similarity, recall=recall))).drop("text"), "signatures")
+                             _digests(words, depths(similarity=similarity, recall=recall)), keep=["id"]), "signatures")
     worded = rows.filter("class IS NOT NULL")
     kinds = durable(worded.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = rows.join(kinds.select(F.col("rep").alias("id")), "id", "left_semi")
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = durable(components(loose).withColumnRenamed("component", "comp"), "loose")
     wanted = groups.join(kinds, F.col("rep") == F.col("node")).select("comp", "rep", "copies")
     texts = own.join(small(groups.select(F.col("node").alias("id"))), "id", "left_semi")
-    sets = durable(map_texts(texts, "text", "set array<long>", _sets(words)).drop("text"), "sets")
+    sets = durable(map_texts(texts, "text", "set array<long>", _sets(words), keep=["id"]), "sets")
     sets = sets.withColumnRenamed("id", "rep").join(wanted, "rep")
     sizes = durable(sets.groupBy("comp").agg(F.sum(F.size("set")).alias("n")).select(
         "comp", F.ceil(F.col("n") / BLOCK_SHINGLES).alias("blocks")), "loose-sizes")

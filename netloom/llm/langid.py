@@ -184,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = slim.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("id").distinct()
     texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(picked), "id", "left_semi")  # at most per_language ids per language
-    rows = map_texts(texts, "text", "buckets array<int>, counts array<int>", _features).select("id", "lang", "buckets", "counts")
+    rows = map_texts(texts, "text", "buckets array<int>, counts array<int>", _features, keep=["id", "lang"])
     found = sorted(rows.collect(), key=lambda r: (r["lang"], r["id"], r["buckets"]))  # bounded, see per_language
     sample = [(r["lang"], r["buckets"], r["counts"], k % CALIBRATION == 0) for k, r in enumerate(found) if r["buckets"]]
     return train(sample, seed=seed) if sample else None
@@ -226,5 +226,5 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = predict(docs, fit(docs))
+    found = predict(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -227,7 +227,7 @@ def _entities():
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct (kind, entity, gender) of all texts."""
-    found = map_texts(docs.select(F.col(text_col).alias("text")), "text", "found array<string>", _entities)
+    found = map_texts(docs.select(F.col(text_col).alias("text")), "text", "found array<string>", _entities, keep=[])
     each = found.select(F.explode("found").alias("e"))
     parts = F.split("e", "\x1f")
     return each.select(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(("kind", "entity", "gender"))]).distinct()
@@ -290,7 +290,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     def make():
         replacer = Replacer(key, shared.value)
 
-        def of(texts, *own):
+        def of(texts, missing, *own):
             hint = pc.match_substring_regex(texts, _HINT).to_pylist()
             attempts = own[0].to_pylist() if own else [None] * len(texts)
             rows = []
@@ -298,15 +298,15 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
                 mine = {tuple(m.split("\x1f")[:3]): int(m.split("\x1f")[3]) for m in mine or []}
                 rows.append(replacer.rewrite(text.as_py(), mine) if h else (None, "", 0))
             new = pa.array([r[0] for r in rows], pa.string())
-            return pc.coalesce(new, texts), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())
+            texts = pc.if_else(missing, pa.scalar(None, pa.string()), pc.coalesce(new, texts))
+            return texts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())
 
         return of
 
-    columns = docs.columns
-    out = map_texts(docs, text_col, "new_text string, spans string, n_replaced long", make, carried)
-    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.col("new_text")).alias(text_col)
-    names = [c for c in columns if c not in ("new_text", "spans", "n_replaced", "__again")]
-    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in names], "n_replaced", "spans")
+    names = [c for c in docs.columns if c not in ("spans", "n_replaced", "__again")]
+    given = docs.withColumn("__missing", F.col(f"`{text_col}`").isNull())
+    out = map_texts(given, text_col, f"`{text_col}` string, spans string, n_replaced long", make, ("__missing", *carried), names)
+    return out.select(*[F.col(f"`{c}`") for c in names], "n_replaced", "spans")
 
 
 def rewrite(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
@@ -318,7 +318,7 @@ def rewrite(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
 def _with_attempts(docs: DataFrame, again: DataFrame, text_col: str) -> DataFrame:
     """Adds ``__again``: the redrawn entities a text mentions."""
     digest = F.sha2(F.col(text_col), 256)
-    found = map_texts(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), "text", "found array<string>", _entities)
+    found = map_texts(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), "text", "found array<string>", _entities, keep=["digest"])
     each = found.select("digest", F.explode("found").alias("e")).distinct()
     tag = again.select(F.concat_ws("\x1f", "kind", "entity", "gender").alias("e"), F.col("attempt").cast("string").alias("attempt"))
     mine = each.join(tag, "e").groupBy("digest").agg(F.collect_list(F.concat_ws("\x1f", "e", "attempt")).alias("__again"))
