@@ -21,6 +21,8 @@ from netloom.llm.chunks import ChunkCache
 from netloom.llm.common import gather, list_array, plain_strings, runs, slices, table
 
 MARK = "▁"
+# Stands for a marker that the text itself holds; no other chunk has a line end before something else.
+_OWN_MARK = "\n" + MARK
 # A character that is no piece costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
 # Chunks kept for later texts.
@@ -270,7 +272,7 @@ class Unigram:
             out = []
             for k, part in enumerate(text.split(MARK)):
                 if k:
-                    out.append("\0" + MARK)
+                    out.append(_OWN_MARK)
                     out += _CHUNKS.findall(part.replace(" ", MARK))
                 else:
                     out += _CHUNKS.findall(MARK + part.replace(" ", MARK))
@@ -307,13 +309,13 @@ class Unigram:
 
     def _encode_distinct(self, chunks: list) -> tuple:
         """Ids of distinct chunks; one that holds line ends is put together from its parts."""
-        whole = {c: _CHUNKS.findall(c) for c in chunks if "\n" in c and c != "\n"}
+        whole = {c: _CHUNKS.findall(c) for c in chunks if "\n" in c and c not in ("\n", _OWN_MARK)}
         parts = [whole.get(c, (c,)) for c in chunks]
         index = {p: k for k, p in enumerate(dict.fromkeys(p for row in parts for p in row))}
-        single = [p for p in index if p[0] != "\0"]
+        single = [p for p in index if p != _OWN_MARK]
         lengths, ids = self.encode_chunks(single)
         if len(index) > len(single):  # a marker that the text itself holds
-            k, marker = index["\0" + MARK], self._bytes_of(MARK)
+            k, marker = index[_OWN_MARK], self._bytes_of(MARK)
             ids = np.insert(ids, int(lengths[:k].sum()), marker)
             lengths = np.insert(lengths, k, len(marker))
         at = np.array([index[p] for row in parts for p in row], dtype=np.int64)

@@ -305,7 +305,7 @@ def test_pieces_are_the_best_segmentation(pieces):
 
 
 def test_pieces_round_trip(spark, pieces):
-    texts = ["", None, " x  y\n\nz ", "▁ q▁", "日本\U0001f600ü  ", "x" * 500 + " é" * 70, "\n", " \n a", "a\u0000b\x1c", words(20_000, 11)]
+    texts = ["", None, " x  y\n\nz ", "▁ q▁", "日本\U0001f600ü  ", "x" * 500 + " é" * 70, "\n", " \n a", "a\u0000b\x1c", words(20_000, 11), "a\n\u0000b c", "\u0000", "\n\u0000", " \u0000▁\n▁\u0000"]
     out = {r["doc_id"]: r for r in unigram.encode_documents(docs(spark, texts), PIECES).collect()}
     for i, t in enumerate(texts):
         assert out[i]["exact"] and pieces.decode(out[i]["ids"]) == (t or "")
