@@ -465,3 +465,29 @@ def stream_interarrival_windows(spark, sf_dir):
     stream = flow_stream.read_stream(spark, sf_dir, schema, "events.parquet")
     windows = flow_stream.interarrival_windows(stream, ["event_type"], "ts", "6 hours")
     return _window_columns(flow_stream.run_available(windows, "windows"))
+
+
+def _entropy_windows_sql(closed):
+    keep = """WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(window_start) FROM w) - INTERVAL 10 MINUTE""" if closed else ""
+    return f"""WITH w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events),
+h AS (SELECT window_start, event_type, hex(encode(props)) AS x FROM w WHERE length(props) > 0),
+b AS (SELECT window_start, event_type, unnest(regexp_extract_all(x, '..')) AS byte FROM h),
+e AS (SELECT window_start, event_type, count(*) AS bytes, {r6('entropy(byte)')} AS entropy FROM b GROUP BY 1, 2)
+SELECT epoch_us(window_start) AS window_us, event_type, coalesce(bytes, 0) AS bytes, entropy
+FROM (SELECT DISTINCT window_start, event_type FROM w) LEFT JOIN e USING (window_start, event_type) {keep}"""
+
+
+@query(_entropy_windows_sql(False))
+def entropy_windows(spark, sf_dir):
+    """Byte entropy of the events' properties per type and six hours."""
+    windows = flow_stream.entropy_windows(table(spark, sf_dir, "events"), ["event_type"], "ts", "props", "6 hours")
+    return windows.withColumn("entropy", rounded("entropy"))
+
+
+@query(_entropy_windows_sql(True))
+def stream_entropy_windows(spark, sf_dir):
+    """The same on a stream; windows the watermark has not passed stay open."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = flow_stream.read_stream(spark, sf_dir, schema, "events.parquet")
+    windows = flow_stream.entropy_windows(stream, ["event_type"], "ts", "props", "6 hours")
+    return flow_stream.run_available(windows, "entropy-windows").withColumn("entropy", rounded("entropy"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ZERO_GAP = 1e-9
+# Payload bytes, and rows, whose byte values are counted at a time.
+STRIP_BYTES = 1 << 20
+STRIP_ROWS = 2048
 
 
 def consecutive(df: DataFrame, keys: list, order_col: str, value_col: str, width) -> DataFrame:
@@ -94,66 +97,87 @@ def _payload(column) -> tuple:
     return starts, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def _value_counts(starts, data, group, groups: int) -> np.ndarray:
+    """Group x byte value: how often the bytes of a group's rows have each value, a strip at a time."""
+    total = np.zeros((groups, 256), dtype=np.int64)
+    for a in range(int(starts[0]), int(starts[-1]), STRIP_BYTES):
+        b = min(a + STRIP_BYTES, int(starts[-1]))
+        first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
+        lengths = np.diff(np.clip(starts[first : last + 1], a, b))
+        seen, at = np.unique(group[first:last], return_inverse=True)
+        codes = np.repeat(at * 256, lengths) + data[a:b]
+        total[seen] += np.bincount(codes, minlength=len(seen) * 256).reshape(-1, 256)
+    return total
+
+
 @F.pandas_udf(T.DoubleType())
 def byte_entropy(payload: pd.Series) -> pd.Series:
     """Shannon entropy in bits of the UTF-8 (or raw) bytes; NULL for an empty payload."""
-
-    def one(value):
-        if value is None or len(value) == 0:
-            return None
-        raw = value.encode() if isinstance(value, str) else bytes(value)
-        counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-        share = counts[counts > 0] / len(raw)
-        return float(-(share * np.log2(share)).sum()) + 0.0
-
-    return payload.map(one, na_action=None).astype("float64")
-
-
-def byte_counts(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
-    """Bytes per key and byte value: ``(keys, byte, n)``.
-
-    Every Arrow batch counts its own bytes first, so only small counts are shuffled.
+    out = np.full(len(payload), np.nan)
+    column = pa.array(payload, from_pandas=True)
+    for a in range(0, len(column), STRIP_ROWS):
+        part = column.slice(a, STRIP_ROWS)
+        counts = _value_counts(*_payload(part), np.arange(len(part)), len(part))
+        size = counts.sum(1, keepdims=True)
+        share = counts / np.maximum(size, 1)
+        bits = -(share * np.log2(np.where(counts > 0, share, 1.0))).sum(1) + 0.0
+        out[a : a + len(part)] = np.where(size[:, 0] > 0, bits, np.nan)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
+def partial_byte_counts(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
+    """Bytes per key and byte value inside each Arrow batch, to be summed: ``(keys, byte, n)``.
+
+    Every key also has a row without a byte and n = 0, so that keys of empty payloads stay.
     """
     key_schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
 
     def count(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            starts, data = _payload(table[payload_col])
             combined = table.select(keys).append_column("_row", pa.array(np.arange(len(table))))
             groups = combined.group_by(keys, use_threads=False).aggregate([("_row", "list")])
-            out = []
-            for rows in groups["_row_list"]:
-                total = np.zeros(256, dtype=np.int64)
-                for r in rows.as_py():
-                    total += np.bincount(data[starts[r] : starts[r + 1]], minlength=256)
-                out.append(total)
-            seen = [np.flatnonzero(t) for t in out]
-            where = np.repeat(np.arange(len(out)), [len(s) for s in seen])
-            columns = [groups[k].combine_chunks().take(pa.array(where)) for k in keys]
-            values = np.concatenate(seen) if seen else np.zeros(0, int)
-            numbers = np.concatenate([t[s] for t, s in zip(out, seen)]) if seen else np.zeros(0, int)
-            columns += [pa.array(values, pa.int32()), pa.array(numbers, pa.int64())]
+            rows = groups["_row_list"].combine_chunks()
+            group = np.zeros(len(table), dtype=np.int64)
+            group[rows.flatten().to_numpy()] = np.repeat(np.arange(len(groups)), rows.value_lengths().to_numpy())
+            where, values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            numbers = values
+            if len(table):
+                total = _value_counts(*_payload(table[payload_col]), group, len(groups))
+                where, values = np.nonzero(total)
+                numbers = total[where, values]
+            bare = len(groups)
+            columns = [groups[k].combine_chunks().take(pa.array(np.concatenate([np.arange(bare), where]))) for k in keys]
+            columns += [pa.concat_arrays([pa.nulls(bare, pa.int32()), pa.array(values, pa.int32())]),
+                        pa.array(np.concatenate([np.zeros(bare, dtype=np.int64), numbers]), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "byte", "n"])
 
-    partial = df.select(*keys, payload_col).filter(F.col(payload_col).isNotNull())
-    return (
-        partial.mapInArrow(count, f"{key_schema}, byte int, n bigint")
-        .groupBy(*keys, "byte")
-        .agg(F.sum("n").alias("n"))
-    )
+    return df.select(*keys, payload_col).mapInArrow(count, f"{key_schema}, byte int, n bigint")
 
 
-def byte_entropy_by(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
-    """Entropy in bits of all bytes of a key's payloads: ``(keys, bytes, entropy)``.
+def byte_counts(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
+    """Bytes per key and byte value: ``(keys, byte, n)``.
 
-    A key whose payloads are all empty or NULL has 0 bytes and no entropy.
+    Every Arrow batch counts its own bytes first, so only small counts are shuffled.
     """
-    counts = byte_counts(df, keys, payload_col)
-    present = df.select(*keys).distinct().withColumns({"byte": F.lit(None).cast("int"), "n": F.lit(None).cast("bigint")})
+    counts = partial_byte_counts(df, keys, payload_col).groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
+    return counts.filter("byte IS NOT NULL")
+
+
+def entropy_of_counts() -> list:
+    """Columns ``bytes`` and ``entropy`` (bits) of a group of ``(byte, n)`` rows; no bytes, no entropy."""
     n = F.col("n").cast("double")
     entropy = F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
-    return counts.unionByName(present).groupBy(*keys).agg(
+    return [
         F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"),
         F.when(F.sum(n) > 0, F.greatest(entropy, F.lit(0.0))).alias("entropy"),
-    )
+    ]
+
+
+def byte_entropy_by(df: DataFrame, keys: list, payload_col: str) -> DataFrame:
+    """Entropy in bits of all bytes of a key's payloads: ``(keys, bytes, entropy)``.
+
+    A key whose payloads are all empty or NULL has 0 bytes and no entropy.
+    """
+    counts = partial_byte_counts(df, keys, payload_col).groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
+    return counts.groupBy(*keys).agg(*entropy_of_counts())

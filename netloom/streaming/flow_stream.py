@@ -1,4 +1,4 @@
-"""Flow features and inter-arrival variation on streams."""
+"""Flow features, inter-arrival variation and byte entropy on streams."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from netloom.functions.features import add_engineered_features, let
 from netloom.functions.instants import micros
 from netloom.operators.scale import apply_scaler
-from netloom.operators.series import ZERO_GAP
+from netloom.operators.series import ZERO_GAP, entropy_of_counts, partial_byte_counts
 from netloom.plans.sizing import scratch_path
 
 
@@ -98,6 +98,27 @@ def interarrival_windows(events: DataFrame, keys: list, ts_col: str, window: str
     )
 
 
+def entropy_windows(events: DataFrame, keys: list, ts_col: str, payload_col: str, window: str = "1 hour",
+                    delay: str = "10 minutes") -> DataFrame:
+    """Entropy in bits of all payload bytes per key and tumbling window: ``(window_us, keys, bytes, entropy)``.
+
+    Works on batch and streaming tables. Batches count their bytes first, so the state holds
+    at most 257 rows per key and open window. On a stream time moves on with the starts of
+    the windows seen: a window is emitted once one that starts ``delay`` after its end has
+    arrived. A window of empty or NULL payloads has 0 bytes and no entropy; events without
+    a time belong to no window.
+    """
+    ts = F.timestamp_micros(micros(events, ts_col))
+    rows = events.select(ts.alias("_at"), *keys, payload_col).filter("_at IS NOT NULL")
+    rows = rows.select(F.window("_at", window)["start"].alias("_start"), *keys, payload_col)
+    counts = partial_byte_counts(rows, ["_start", *keys], payload_col)
+    if events.isStreaming:
+        counts = counts.withWatermark("_start", delay)
+    counts = counts.groupBy(F.window("_start", window).alias("_window"), *keys, "byte").agg(F.sum("n").alias("n"))
+    return counts.groupBy("_window", *keys).agg(*entropy_of_counts()).select(
+        F.unix_micros("_window.start").alias("window_us"), *keys, "bytes", "entropy")
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process everything that has arrived into a Parquet sink and read the sink."""
     spark = stream.sparkSession

@@ -137,9 +137,32 @@ def test_byte_entropy(spark):
     assert got == [(1, 0.0), (3, None), (4, None), (5, 1.0)]
     by = {r["k"]: r for r in series.byte_entropy_by(df, ["k"], "s").collect()}
     assert by[2]["bytes"] == 8 and by[2]["entropy"] == pytest.approx(-(1 / 8) * np.log2(1 / 8) - (7 / 8) * np.log2(7 / 8))
-    assert by[1]["entropy"] == 0.0 and set(by) == {1, 2, 5}
+    assert by[1]["entropy"] == 0.0 and set(by) == {1, 2, 3, 4, 5}
+    assert all(by[k]["bytes"] == 0 and by[k]["entropy"] is None for k in (3, 4))
     binary = df.select(F.encode("s", "UTF-8").alias("s"), "k")
-    assert series.byte_entropy_by(binary, ["k"], "s").count() == 3
+    assert {r["k"]: r["bytes"] for r in series.byte_entropy_by(binary, ["k"], "s").collect()} == {1: 4, 2: 8, 3: 0, 4: 0, 5: 2}
+    assert series.byte_entropy_by(df.limit(0), ["k"], "s").count() == 0
+
+
+def test_byte_values_are_counted_over_strip_edges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 256, n, dtype=np.uint8) for n in (0, 3, 700, 0, 1, 5000, 0)]
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    group = np.array([2, 0, 1, 1, 2, 0, 3])
+    monkeypatch.setattr(series, "STRIP_BYTES", 64)
+    got = series._value_counts(starts, np.concatenate(rows), group, 4)
+    want = [np.bincount(np.concatenate([r for r, g in zip(rows, group) if g == k]), minlength=256) for k in range(4)]
+    assert (got == np.array(want)).all()
+
+
+def test_entropy_windows(spark):
+    rows = [("2024-01-01 00:10:00", "a", "ab"), ("2024-01-01 00:50:00", "a", "ab"), ("2024-01-01 01:00:00", "a", ""),
+            ("2024-01-01 01:10:00", "b", None), (None, "a", "zz"), ("2024-01-01 01:20:00", None, "cc")]
+    df = spark.createDataFrame(rows, "t string, k string, s string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = flow_stream.entropy_windows(df, ["k"], "t", "s").collect()
+    hour, first = 3_600_000_000, 1_704_067_200_000_000
+    assert {((r["window_us"] - first) // hour, r["k"], r["bytes"], r["entropy"]) for r in got} == {
+        (0, "a", 4, 1.0), (1, "a", 0, None), (1, "b", 0, None), (1, None, 2, 0.0)}
 
 
 def test_micros(spark):
