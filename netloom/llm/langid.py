@@ -23,6 +23,8 @@ BUCKET_BITS = 16
 DIM = 16
 # Training documents of each language, the bound of what the driver gathers.
 PER_LANGUAGE = 500
+# Ranges of the draw, as a power of two.
+SPAN_BITS = 12
 # Part of the sample that calibrates, and the share of it that may fall below the threshold.
 CALIBRATION = 5
 REJECTED = 0.002
@@ -170,20 +172,36 @@ def held_out(id_col: str = "doc_id"):
     return id_digest(id_col) % 5 == 0
 
 
+def _lowest(slim: DataFrame, least: int) -> DataFrame:
+    """Rows of ``slim`` (id, lang, draw) in the lowest ranges of the draw that hold ``least`` rows of their language.
+
+    So few rows of a language, however frequent, are left to be ranked. The lookup has one row per
+    language, of which the model holds a column each.
+    """
+    span = F.shiftright("draw", 64 - SPAN_BITS)
+    upto = Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)  # 2^SPAN_BITS rows at most
+    ends = slim.groupBy("lang", span.alias("span")).count().withColumn("upto", F.sum("count").over(upto))
+    cut = ends.groupBy("lang").agg(F.min(F.when(F.col("upto") >= least, F.col("span"))).alias("cut"))
+    kept = slim.join(F.broadcast(cut), "lang").filter(F.col("cut").isNull() | (span <= F.col("cut")))
+    return kept.select("id", "lang", "draw")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE, seed: int = 5) -> LanguageModel | None:
     """Train on at most ``per_language`` documents per language, chosen by a hash of their ids.
 
     Documents whose crc32(id) is divisible by 5, without language or without subwords are
-    not learned from. None when nothing is left.
+    not learned from; of rows with the same id one counts. None when nothing is left.
     """
     draw = F.xxhash64(F.lit(seed), F.col(id_col))
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     first = Window.partitionBy("lang").orderBy("draw", "id")
     slim = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), draw.alias("draw"))
-    picked = slim.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("id").distinct()
+    picked = _lowest(slim, per_language).withColumn("n", F.row_number().over(first))
+    picked = picked.filter(F.col("n") <= per_language).select("id").distinct()
     texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(picked), "id", "left_semi")  # at most per_language ids per language
+    texts = texts.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("one")).select("id", "one.*")
     rows = map_texts(texts, "text", "buckets array<int>, counts array<int>", _features, keep=["id", "lang"])
     found = sorted(rows.collect(), key=lambda r: (r["lang"], r["id"], r["buckets"]))  # bounded, see per_language
     sample = [(r["lang"], r["buckets"], r["counts"], k % CALIBRATION == 0) for k, r in enumerate(found) if r["buckets"]]

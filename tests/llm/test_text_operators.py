@@ -372,3 +372,16 @@ def test_languages_awkward(spark):
 def test_digest_of_no_span(spark):
     found = secrets.scan(docs(spark, ["plain"])).select(F.sha2(secrets.joined(F.col("found"), secrets.KINDS), 256).alias("d"))
     assert found.first()["d"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_training_documents_are_ranked_among_few(spark):
+    kind = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 200, "c").otherwise("b")
+    rows = spark.range(60_000).select("id", kind.alias("lang"), F.xxhash64(F.lit(5), "id").alias("draw"))
+    by_lang = {}
+    for r in rows.collect():
+        by_lang.setdefault(r["lang"], []).append((r["draw"], r["id"]))
+    left = {}
+    for r in langid._lowest(rows, 500).collect():
+        left.setdefault(r["lang"], []).append((r["draw"], r["id"]))
+    for lang, every in by_lang.items():
+        assert sorted(left[lang])[:500] == sorted(every)[:500] and len(left[lang]) < 600
