@@ -8,9 +8,10 @@ from netloom.catalogue.sql import r6
 from netloom.operators import classify, neighbors, resample
 from netloom.operators.evaluate import roc_auc
 from netloom.plans import workflows
-from netloom.plans.sizing import durable
-from netloom.schema import LABEL, MODEL_FEATURES
-from netloom.sources.tables import table
+from netloom.plans.sizing import durable, scratch_path
+from netloom.schema import ENGINEERED_SCHEMA, FLOW_SCHEMA, LABEL, MODEL_FEATURES, RESAMPLED_SCHEMA
+from netloom.sources import flow_files
+from netloom.sources.tables import flows, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,6 +85,12 @@ def knn_cosine(spark, sf_dir):
     return _knn(spark, sf_dir, "cosine", 5)
 
 
+@query(_knn_sql("cosine", 3))
+def knn_cosine_pivots(spark, sf_dir):
+    """The same join through several pivot cells of the scaled vectors."""
+    return _knn(spark, sf_dir, "cosine", 3, pivots=8, block_rows=100)
+
+
 @query(f"""WITH {_E}, f AS (SELECT min(id) AS id FROM e)
 SELECT b.id AS neighbor_id, {r6(_DISTANCE['euclidean'])} AS distance
 FROM e a JOIN f ON a.id = f.id JOIN e b ON a.id <> b.id
@@ -96,10 +103,10 @@ def knn_one(spark, sf_dir):
     return rows.select("neighbor_id", rounded("distance").alias("distance"))
 
 
-def _pairs_sql(radius):
+def _pairs_sql(radius, metric="euclidean"):
     return f"""WITH {_E}, g AS (SELECT min(id) AS id, v, count(*) AS n FROM e GROUP BY v)
-SELECT a.id AS id_a, b.id AS id_b, {r6(_DISTANCE['euclidean'])} AS distance, a.n AS copies_a, b.n AS copies_b
-FROM g a JOIN g b ON a.id < b.id WHERE {_DISTANCE['euclidean']} <= {radius}
+SELECT a.id AS id_a, b.id AS id_b, {r6(_DISTANCE[metric])} AS distance, a.n AS copies_a, b.n AS copies_b
+FROM g a JOIN g b ON a.id < b.id WHERE {_DISTANCE[metric]} <= {radius}
 UNION ALL SELECT id, id, 0.0, n, n FROM g WHERE n > 1"""
 
 
@@ -114,6 +121,14 @@ def pairwise_within(spark, sf_dir):
     return rows.withColumn("distance", rounded("distance"))
 
 
+@query(_pairs_sql(0.5, "cosine"))
+def pairwise_cosine(spark, sf_dir):
+    rows = neighbors.pairs_within(
+        table(spark, sf_dir, "embeddings"), 0.5, "cosine", "vec_id", "embedding", pivots=8, block_rows=500
+    )
+    return rows.withColumn("distance", rounded("distance"))
+
+
 # --- Rebalancing ------------------------------------------------------------
 
 _DIMS = 64
@@ -252,6 +267,32 @@ def engineer_flows_raw(spark, sf_dir):
     return df.select("flow_id", LABEL, "split", *[rounded(c).alias(c) for c in [*_TAIL, *_THREE]])
 
 
+_CAP = ", ".join(f"least({c}, q_{c}) AS {c}" for c in _CAPPED)
+_UNPACKED = ", ".join(f"z[{i + 1}] AS {c}" for i, c in enumerate(MODEL_FEATURES))
+_FINAL_SQL = ", ".join(f"{r6(c, 4)} AS {c}" for c in [*_TAIL, *_THREE])
+
+
+@query(f"""{FLOWS}, q AS (SELECT {', '.join(f'quantile_cont({c}, 0.99) AS q_{c}' for c in _CAPPED)} FROM flows),
+cp AS (SELECT flows.* REPLACE ({_CAP}) FROM flows, q), vv AS (SELECT flow_id, Label, {_VECTOR} AS v FROM cp),
+{sql.smote_ctes('vv', 'sm', 'flow_id', 'v', 'Label', 5, _RATIO, 42)},
+al AS (SELECT flow_id, Label, v AS z FROM vv UNION ALL SELECT -1 - n, sm_k.l, z FROM sm, sm_k),
+rs AS (SELECT flow_id, Label, {_UNPACKED} FROM al), {sql.split_cte('rs', 'sp')},
+{sql.scale_cte('sp', 'sc', MODEL_FEATURES, "split = 'train'")}, {sql.feature_ctes('sc', 'ft')}
+SELECT flow_id, Label, split, {_FINAL_SQL} FROM ft""")
+def files_end_to_end(spark, sf_dir):
+    """Both workflows from file to file: CSV, balanced CSV, engineered Parquet."""
+    raw, made, final = (scratch_path(spark, name) for name in ("raw-csv", "resampled", "engineered"))
+    key = F.col("flow_id").cast("bigint").alias("flow_id")
+    flow_files.save_table(flows(spark, sf_dir), raw, "csv")
+    loaded = flow_files.load_flows(spark, raw).select(key, *FLOW_SCHEMA.names)
+    balanced = workflows.rebalance(loaded, "flow_id", ratio=_RATIO).drop("is_synthetic")
+    saved = flow_files.save_resampled(balanced, made, "flows.csv")
+    again = flow_files.load_flows(spark, saved, schema=RESAMPLED_SCHEMA).select(key, *RESAMPLED_SCHEMA.names)
+    flow_files.save_table(workflows.engineer(again, "flow_id"), final, "parquet", rows_per_file=10_000)
+    df = flow_files.load_flows(spark, final, "parquet", ENGINEERED_SCHEMA)
+    return df.select("flow_id", LABEL, "split", *[rounded(c, 4).alias(c) for c in [*_TAIL, *_THREE]])
+
+
 @query()
 def classifier_auc(spark, sf_dir):
     """Train on the training rows of the engineered table, evaluate on the test rows."""

@@ -1,5 +1,7 @@
 """Shared DuckDB fragments for the oracle queries."""
 
+import hashlib
+
 from netloom.schema import ATTACK_CLASSES, FLOW_SCHEMA
 
 
@@ -11,6 +13,19 @@ def u(seed, tag, row_id):
     )
 
 
+def draw(tag):
+    """Uniform of a tag from the row's numbers ``ux`` and ``uy``, see ``row_state``."""
+    digest = hashlib.md5(tag.encode()).hexdigest()
+    a, b = (1 + int(digest[i : i + 15], 16) % 2147483646 for i in (0, 15))
+    return f"(((ux * {a}) % 2147483647 + (uy * {b}) % 2147483647) % 2147483647 / 2147483647::DOUBLE)"
+
+
+def row_state(seed, row_id):
+    """Columns ``ux`` and ``uy``, written for DuckDB."""
+    part = lambda start: f"('0x' || substr(md5('{seed}:' || {row_id}), {start}, 15))::BIGINT % 2147483647"
+    return f"{part(1)} AS ux, {part(16)} AS uy"
+
+
 def nudge(digits):
     """A shift far below the last kept digit, so that exact halves round alike in both engines."""
     return float(f"1.3e-{digits + 3}")

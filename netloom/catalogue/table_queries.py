@@ -237,7 +237,7 @@ def matrix_entropy(spark, sf_dir):
 
 def _generated_sql(seed=42, base=DEFAULT_BASE_MS):
     key = "o_orderkey::VARCHAR"
-    un = lambda tag: u(seed, tag, key)
+    un = lambda tag: u(seed, tag, key) if tag == "start" else sql.draw(tag)
     exp = lambda tag, mean: f"(-{mean}::DOUBLE * ln(1 - {un(tag)}))"
     decay = lambda tag, mean: f"trunc({exp(tag, mean)})::BIGINT"
     normal = lambda tag: f"(sqrt(-2::DOUBLE * ln(1 - {un(tag + '.r')})) * cos(6.283185307179586e0 * {un(tag + '.a')}))"
@@ -310,7 +310,8 @@ def _generated_sql(seed=42, base=DEFAULT_BASE_MS):
         return r6(value, 3) if n.endswith("SECOND_BYTES") else value
 
     shown = ", ".join(f"{cell(n)} AS {n}" for n in FLOW_SCHEMA.names)
-    return f"""WITH a AS (SELECT o_orderkey, {', '.join(f'{e} AS {n}' for n, e in first.items())} FROM orders),
+    return f"""WITH a AS (SELECT o_orderkey, {', '.join(f'{e} AS {n}' for n, e in first.items())}
+  FROM (SELECT o_orderkey, {sql.row_state(seed, key)} FROM orders)),
 b AS (SELECT *, {base} - (sum(gap) OVER (ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS st,
   {span('du')} AS di, {span('dv')} AS dx FROM a)
 SELECT o_orderkey, {shown} FROM b"""

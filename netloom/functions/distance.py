@@ -4,8 +4,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 METRICS = ("euclidean", "manhattan", "minkowski", "chebyshev", "cosine")
-# Metrics that obey the triangle inequality, which the pruning in the joins relies on.
-TRIANGLE = ("euclidean", "manhattan", "minkowski", "chebyshev")
 
 
 def check_metric(metric: str, p: float = 2.0) -> None:

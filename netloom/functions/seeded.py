@@ -1,10 +1,14 @@
 """Seeded uniforms that depend only on (seed, tag, row id), never on partitioning."""
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DIGITS = 13
 _RANGE = float(16**_DIGITS)
+# A prime: sums of two multiples modulo it are pairwise independent, and products fit a BIGINT.
+PRIME = 2**31 - 1
 
 
 def _number(key: Column) -> Column:
@@ -18,11 +22,27 @@ def uniform(seed, tag: str, row_id) -> Column:
     return _number(F.concat(F.lit(f"{seed}:{tag}:"), row_id.cast("string")))
 
 
-def uniforms(seed, tags: list, row_id) -> Column:
-    """Array of the uniforms of many tags, in one short expression."""
-    row_id = (F.col(row_id) if isinstance(row_id, str) else row_id).cast("string")
-    prefixes = F.array(*[F.lit(f"{seed}:{tag}:") for tag in tags])
-    return F.transform(prefixes, lambda prefix: _number(F.concat(prefix, row_id)))
+def row_state(seed, row_id) -> list:
+    """Two numbers below PRIME, from the leading and the following 60 bits of ``md5('seed:id')``."""
+    row_id = F.col(row_id) if isinstance(row_id, str) else row_id
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
+    part = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint") % F.lit(PRIME)
+    return [part(1), part(16)]
+
+
+def _factors(tag: str) -> tuple:
+    digest = hashlib.md5(tag.encode()).hexdigest()
+    return tuple(1 + int(digest[i : i + 15], 16) % (PRIME - 1) for i in (0, 15))
+
+
+def uniforms(tags: list, x, y) -> Column:
+    """Array of one uniform in [0, 1) per tag, from the two numbers of a row: one digest for all."""
+    factors = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in map(_factors, tags)])
+    prime = F.lit(PRIME).cast("bigint")
+    x, y = F.col(x), F.col(y)
+    return F.transform(
+        factors, lambda f: ((x * f["a"]) % prime + (y * f["b"]) % prime) % prime / F.lit(float(PRIME))
+    )
 
 
 def exponential(u: Column, mean: float) -> Column:

@@ -5,6 +5,10 @@ which cells a row can matter to; it is sent to those only. Inside a cell both
 sides are cut into blocks of bounded size, and one task compares one block pair
 and returns at most k rows per row (or the pairs inside the radius). Nothing is
 capped: a row that might be an answer is always compared.
+
+For the cosine distance the cells are those of the vectors scaled to length 1, where
+it is half the squared Euclidean distance. Zero vectors are at distance 1 from all rows
+and take a path of their own.
 """
 
 import math
@@ -12,18 +16,20 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.blocks import exact, matrix, nearest, within
-from netloom.functions.distance import TRIANGLE, check_metric, distance
+from netloom.functions.distance import check_metric, distance
 from netloom.functions.seeded import uniform
-from netloom.plans.sizing import durable, join_small, pinned
+from netloom.plans.sizing import durable, join_small
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
-MAX_HOT_GROUPS = 10_000
 _SLACK = 1 + 1e-9
+# On vectors of length 1, differences of cosine distances below rounding errors.
+_UNIT_SLACK = 1e-6
+# Distances to pivots that a task computes at a time.
+_STRIP = 2_000_000
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -40,10 +46,29 @@ def _pivots(rows: DataFrame, count: int) -> np.ndarray:
     return np.array([r["vec"] for r in picked], dtype=float)
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    sizes = np.sqrt((vectors * vectors).sum(-1, keepdims=True))
+    return vectors / np.where(sizes > 0, sizes, 1.0)
+
+
+def _is_zero(vec) -> Column:
+    return F.forall(vec, lambda x: x == 0)
+
+
 def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray, metric: str, p: float):
+    """Distances in which the triangle inequality holds: Euclidean ones of unit vectors for cosine."""
+    if metric == "cosine":
+        vectors, pivots, metric = _unit(vectors), _unit(pivots), "euclidean"
     return np.stack([exact(vectors, pivot, metric, p) for pivot in pivots], axis=1)
 
 
+def _strips(vec: pd.Series, pivots: np.ndarray, metric: str, p: float):
+    """Distances to all pivots, for some rows at a time."""
+    step = max(1, _STRIP // len(pivots))
+    for start in range(0, len(vec), step):
+        yield _pivot_distances(np.stack(vec.iloc[start : start + step].to_numpy()), pivots, metric, p)
+
+
 def _cells(rows: DataFrame, pivots, metric, p) -> DataFrame:
     """Adds ``cell`` (nearest pivot) and ``off`` (distance to it)."""
     if len(pivots) == 1:
@@ -51,9 +76,9 @@ def _cells(rows: DataFrame, pivots, metric, p) -> DataFrame:
 
     @F.pandas_udf("cell int, off double")
     def assign(vec: pd.Series) -> pd.DataFrame:
-        d = _pivot_distances(np.stack(vec.to_numpy()), pivots, metric, p)
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "off": d[np.arange(len(d)), cell]})
+        parts = [(d.argmin(1), d.min(1)) for d in _strips(vec, pivots, metric, p)]
+        cell, off = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0))
+        return pd.DataFrame({"cell": cell.astype("int32"), "off": off})
 
     return rows.withColumn("_at", assign("vec")).select(*rows.columns, "_at.*")
 
@@ -65,8 +90,8 @@ def _targets(rows: DataFrame, pivots, reach, metric, p) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def targets(vec: pd.Series) -> pd.Series:
-        near = _pivot_distances(np.stack(vec.to_numpy()), pivots, metric, p) <= reach
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+        near = (d <= reach for d in _strips(vec, pivots, metric, p))
+        return pd.Series([np.flatnonzero(row).astype("int32") for rows in near for row in rows])
 
     return rows.withColumn("target", F.explode(targets("vec")))
 
@@ -99,10 +124,19 @@ def _neighbour_reach(cells: DataFrame, pivots, k: int, metric, p) -> np.ndarray:
     )
     owner = np.array([r["cell"] for r in rows])
     off = np.array([r["off"] for r in rows])
-    between = _pivot_distances(pivots, pivots, metric, p)
-    bound = between[:, owner] + off[None, :]
-    rho = np.partition(bound, k - 1, axis=1)[:, k - 1]
-    return (2 * _radii(cells, len(pivots)) + rho) * _SLACK
+    if len(off) < k:
+        return np.full(len(pivots), np.inf)
+    rho = []
+    step = max(1, _STRIP // len(off))
+    for start in range(0, len(pivots), step):
+        between = _pivot_distances(pivots[start : start + step], pivots, metric, p)
+        rho.append(np.partition(between[:, owner] + off[None, :], k - 1, axis=1)[:, k - 1])
+    return _widened(2 * _radii(cells, len(pivots)) + np.concatenate(rho), metric)
+
+
+def _widened(reach: np.ndarray, metric: str) -> np.ndarray:
+    """Room for rounding errors."""
+    return reach * _SLACK + (_UNIT_SLACK if metric == "cosine" else 0.0)
 
 
 def _block_join(left: DataFrame, right: DataFrame, pivots: int, block_rows: int, kernel, schema):
@@ -110,9 +144,12 @@ def _block_join(left: DataFrame, right: DataFrame, pivots: int, block_rows: int,
     blocks = lambda sizes: [max(1, math.ceil(int(s) / block_rows)) for s in sizes]
     left_blocks = blocks(_cell_sizes(left, "cell", pivots))
     right_blocks = blocks(_cell_sizes(right, "target", pivots))
-    table = lambda counts: F.array(*[F.lit(c) for c in counts])
-    a = left.withColumns({"lb": F.get(table(left_blocks), "cell"), "rb": F.get(table(right_blocks), "cell")})
-    b = right.withColumns({"lb": F.get(table(left_blocks), "target"), "rb": F.get(table(right_blocks), "target")})
+    counts = left.sparkSession.createDataFrame(
+        [(i, n, m) for i, (n, m) in enumerate(zip(left_blocks, right_blocks))], "cell int, lb int, rb int"
+    )
+    # One row per pivot, about the square root of the number of rows.
+    a = left.join(F.broadcast(counts), "cell")
+    b = right.join(F.broadcast(counts.withColumnRenamed("cell", "target")), "target")
     block = lambda tag, count: F.pmod(F.xxhash64(F.lit(tag), F.col("id")), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     a = a.select("id", "vec", "cell", block("left", "lb").alias("lb"), every("rb").alias("rb"))
@@ -141,12 +178,11 @@ def _block_join(left: DataFrame, right: DataFrame, pivots: int, block_rows: int,
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(compare, schema)
 
 
-def _pivot_count(rows: int, block_rows: int, metric: str, pivots) -> int:
+def _pivot_count(rows: int, block_rows: int, pivots) -> int:
+    """As many cells as rows in a cell, unless one block holds all."""
     if pivots:
-        return min(pivots, rows)
-    if rows <= block_rows or metric not in TRIANGLE:
-        return 1
-    return min(MAX_PIVOTS, math.ceil(math.sqrt(rows)))
+        return max(1, min(pivots, rows))
+    return 1 if rows <= block_rows else math.ceil(math.sqrt(rows))
 
 
 _SCHEMA = "id bigint, other bigint, distance double"
@@ -176,18 +212,30 @@ def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id"
     ).first()
     if sides["others"] <= k:
         raise ValueError(f"{sides['others']} rows are too few for k = {k}")
-    count = _pivot_count(sides["others"], block_rows, metric, pivots)
     others = kept.filter(F.col("copy") <= k + 1)
-    centres = _pivots(others.select("id", "vec"), count) if count > 1 else np.zeros((1, 1))
-    cells = _cells(others, centres, metric, p)
+    apart = metric == "cosine" and others.filter(~_is_zero("vec")).limit(1).count() > 0
+    celled = others.filter(~_is_zero("vec")) if apart else others
+    count = _pivot_count(sides["others"], block_rows, pivots)
+    centres = _pivots(celled.select("id", "vec"), count) if count > 1 else np.zeros((1, 1))
+    count = len(centres)
+    cells = _cells(celled, centres, metric, p)
     cells = durable(cells, "cells") if count > 1 else cells
     reach = _neighbour_reach(cells, centres, k + 1, metric, p) if count > 1 else None
     asking = cells.filter(F.col("copy") == 1).select("id", "vec", "cell")
-    offered = _targets(others.select("id", "vec"), centres, reach, metric, p)
+    offered = _targets(celled.select("id", "vec"), centres, reach, metric, p)
+    if apart:  # at most k + 1 rows, in every cell
+        zeros = others.filter(_is_zero("vec")).select("id", "vec")
+        offered = offered.unionByName(zeros.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))))
     found = _block_join(
         asking, offered, count, block_rows,
         lambda a, b, x, y: nearest(a, b, x, y, k + 1, metric, p), _SCHEMA,
     )
+    if apart:
+        # All rows are equally far from a zero vector, so it takes the smallest ids.
+        zero = others.filter(_is_zero("vec") & (F.col("copy") == 1)).select("id").first()
+        if zero:
+            first = others.orderBy("id").limit(k + 1).select(F.col("id").alias("other"))
+            found = found.unionByName(first.withColumns({"id": F.lit(zero["id"]), "distance": F.lit(1.0)}))
     best = Window.partitionBy("id").orderBy("distance", "other")
     lists = (
         found.withColumn("n", F.row_number().over(best))
@@ -200,7 +248,7 @@ def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id"
     surplus = kept.filter(F.col("copy") == k + 2).select("vec", "head", F.col("id").alias("since"))
     if surplus.limit(1).count():
         hot = durable(surplus.join(lists, "head").drop("head"), "hot-copies")
-        more = join_small(base, hot, ["vec"], limit=MAX_HOT_GROUPS)
+        more = join_small(base, hot, ["vec"], stored=True)
         answers = answers.unionByName(more.filter("id >= since").select("id", "near"))
     mine = F.slice(F.filter("near", lambda c: c.other != F.col("id")), 1, k)
     return answers.select("id", F.posexplode(mine).alias("pos", "hit")).select(
@@ -245,21 +293,30 @@ def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", id_col
         "vectors",
     )
     rows = groups.select("id", "vec")
-    count = _pivot_count(groups.count(), block_rows, metric, pivots) or 1
+    space = radius
+    count = _pivot_count(groups.count(), block_rows, pivots)
+    if metric == "cosine":
+        space = math.sqrt(2 * max(radius, 0.0))
+        if radius < 1:  # a zero vector is at distance 1 from all
+            rows = rows.filter(~_is_zero("vec"))
+        else:  # over half of all pairs are wanted
+            count = 1
     centres = _pivots(rows, count) if count > 1 else np.zeros((1, 1))
+    count = len(centres) or 1
+    centres = centres if len(centres) else np.zeros((1, 1))
     cells = _cells(rows, centres, metric, p)
     cells = durable(cells, "cells") if count > 1 else cells
-    reach = (_radii(cells, count) + radius) * _SLACK if count > 1 else None
+    reach = _widened(_radii(cells, count) + space, metric) if count > 1 else None
     found = _block_join(
         cells.select("id", "vec", "cell"), _targets(rows, centres, reach, metric, p), count, block_rows,
         lambda a, b, x, y: within(a, b, x, y, radius, metric, p), _SCHEMA,
     )
     pairs = found.withColumnsRenamed({"id": "id_a", "other": "id_b"})
     # Only repeated vectors need a lookup; there are often few of them.
-    repeated = pinned(groups.filter("copies > 1").select("id", "copies"), name="repeated")
+    repeated = durable(groups.filter("copies > 1").select("id", "copies"), "repeated")
     for side in ("a", "b"):
         sizes = repeated.select(F.col("id").alias(f"id_{side}"), F.col("copies").alias("_copies"))
-        pairs = join_small(pairs, sizes, [f"id_{side}"], "left")
+        pairs = join_small(pairs, sizes, [f"id_{side}"], "left", stored=True)
         pairs = pairs.withColumn(f"copies_{side}", F.coalesce("_copies", F.lit(1))).drop("_copies")
     pairs = pairs.select("id_a", "id_b", "distance", "copies_a", "copies_b")
     same = groups.filter("copies > 1").select(

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from netloom.functions.safety import valid_in
 from netloom.operators.clean import columns_of_type
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
-from netloom.plans.sizing import join_small, pinned
+from netloom.plans.sizing import durable, join_small
 from netloom.schema import ATTACK, ID_COLS, LABEL
 
 _NUMBERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType)
@@ -99,7 +99,7 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
         F.array(*[F.max(valid_in(df, c)) for c in columns]).alias("hi"),
     )
     flat = lambda low, high, shift: F.when(low == high, low + shift)
-    ranges = pinned(
+    ranges = durable(
         ranges.select(
             *keys,
             F.zip_with("lo", "hi", lambda a, b: F.coalesce(flat(a, b, -0.5), a)).alias("lo"),
@@ -108,7 +108,7 @@ def histogram(df: DataFrame, columns=None, bins: int = 10, by: str = None) -> Da
     )
     # One small array of bin numbers per row; only (column, bin) pairs are counted.
     rows = df.select(*keys, F.array(*[valid_in(df, c) for c in columns]).alias("v"))
-    placed = join_small(rows, ranges, keys)
+    placed = join_small(rows, ranges, keys, stored=True)
     slot = F.transform(
         "v",
         lambda v, i: F.least(

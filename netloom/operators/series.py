@@ -7,25 +7,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netloom.plans.sizing import durable, join_small
+
 ZERO_GAP = 1e-9
+# A key is hot with over 1 / HOT_SHARE of all rows, if those are over HOT_ROWS.
+HOT_SHARE = 1000
+HOT_ROWS = 100_000
+_CUTS = 256
 # Payload bytes, and rows, whose byte values are counted at a time.
 STRIP_BYTES = 1 << 20
 STRIP_ROWS = 2048
 
 
-def consecutive(df: DataFrame, keys: list, order_col: str, value_col: str, width) -> DataFrame:
-    """Neighbouring values per key in ``order_col`` order: ``(keys, before, after)``.
+def _with_ranges(rows: DataFrame, keys: list, width, hot_rows: int) -> DataFrame:
+    """Adds ``_range``, a number that grows with ``_at`` inside a key.
 
-    Rows are ordered inside ranges of ``width`` units; the seams between a key's
-    ranges come from one row per range. So a hot key is spread over its ranges.
-    ``order_col`` must be unique per key.
+    A hot key (fewer than HOT_SHARE can be) gets about as many ranges as the square root of
+    its rows: quantiles cut its rows into _CUTS parts, and equal steps cut the parts. Other
+    keys get ranges of ``width`` units.
     """
-    rows = df.select(
-        *keys,
-        F.col(order_col).alias("_at"),
-        F.col(value_col).alias("after"),
-        F.floor(F.col(order_col) / F.lit(width)).cast("bigint").alias("_range"),
+    fixed = F.floor(F.col("_at") / F.lit(width)).cast("bigint")
+    least = max(hot_rows, rows.count() // HOT_SHARE)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
+    hot = durable(sizes, "hot-keys")
+    if not hot.limit(1).count():
+        return rows.withColumn("_range", fixed)
+    grid = [i / _CUTS for i in range(1, _CUTS)]
+    cuts = join_small(rows, hot, keys, stored=True).groupBy(*keys, "_n").agg(
+        F.concat(
+            F.array(F.min("_at")), F.percentile_approx("_at", grid), F.array(F.max("_at"))
+        ).alias("_cuts")
     )
+    steps = F.ceil(F.sqrt("_n") / _CUTS).cast("bigint")
+    # Of equal cuts the last one counts, so a part never has the width zero.
+    part = F.least(F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))), F.lit(_CUTS))
+    low, high = F.get("_cuts", part - 1), F.get("_cuts", part)
+    share = (F.col("_at") - low) / F.greatest((high - low).cast("double"), F.lit(1e-300))
+    step = F.least(F.floor(share * steps).cast("bigint"), steps - 1)
+    placed = join_small(rows, cuts, keys, "left")
+    chosen = F.when(F.col("_cuts").isNull(), fixed).otherwise(part * steps + step)
+    return placed.withColumn("_range", chosen.cast("bigint")).drop("_n", "_cuts")
+
+
+def consecutive(df: DataFrame, keys: list, order_col: str, value_col: str, width,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Neighbouring values per key in ``order_col`` order: ``(keys, before, after)``.
+
+    Rows are ordered inside ranges of ``width`` units, those of a hot key inside ranges of
+    its own; the seams between a key's ranges come from one row per range. So a hot key is
+    spread over its ranges. ``order_col`` must be unique per key.
+    """
+    rows = df.select(*keys, F.col(order_col).alias("_at"), F.col(value_col).alias("after"))
+    rows = _with_ranges(rows, keys, width, hot_rows)
     inside = Window.partitionBy(*keys, "_range").orderBy("_at")
     pairs = rows.withColumn("before", F.lag("after").over(inside))
     ends = rows.groupBy(*keys, "_range").agg(
@@ -38,15 +71,15 @@ def consecutive(df: DataFrame, keys: list, order_col: str, value_col: str, width
 
 
 def interarrival(df: DataFrame, keys: list, ts_col: str, unit: float = 1.0, width=3_600_000_000,
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Deviation (ddof 1) and coefficient of variation of the gaps per key.
 
     ``ts_col`` is numeric; gaps are divided by ``unit``. Equal times are 1e-9 apart.
     One gap gives 0; a key with one row gives NULL, or an error with ``strict``.
     Equal times are combined before anything is ordered.
     """
-    times = df.select(*keys, F.col(ts_col).alias("_ts")).distinct()
-    gaps = consecutive(times, keys, "_ts", "_ts", width).select(
+    times = durable(df.select(*keys, F.col(ts_col).alias("_ts")).distinct(), "times")
+    gaps = consecutive(times, keys, "_ts", "_ts", width, hot_rows).select(
         *keys,
         ((F.col("after") - F.col("before")) / F.lit(float(unit))).alias("_gap"),
         F.lit(0).cast("bigint").alias("_rows"),

@@ -1,5 +1,7 @@
 """Stratified splits, seeded shuffles and dense row numbers, without one-task windows."""
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,15 +9,18 @@ from netloom.functions.seeded import uniform
 from netloom.plans.sizing import join_small
 from netloom.schema import LABEL
 
-BUCKETS = 4096
+
+def _bucket_count(df: DataFrame) -> int:
+    """The square root of the number of rows: so many buckets, of about so many rows each."""
+    return max(1, math.isqrt(df.count()))
 
 
-def _bucket(u):
-    return F.floor(u * BUCKETS).cast("int")
+def _bucket(u, count: int):
+    return F.floor(u * count).cast("bigint")
 
 
 def _offsets(buckets: DataFrame, group: list) -> DataFrame:
-    """Rows of earlier buckets and rows in all, per group: at most BUCKETS rows in a group."""
+    """Rows of earlier buckets and rows in all, per group: one row per bucket in a group."""
     within = Window.partitionBy(*group)
     before = within.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return buckets.withColumns(
@@ -30,10 +35,12 @@ def dense_index(df: DataFrame, id_col: str, seed, tag: str, group=(), out: str =
     """Row number 0..n-1 in seeded random order, per group.
 
     Rows are ranked inside buckets of the hash range and shifted by the size of
-    the earlier buckets, so that no task sorts a whole group.
+    the earlier buckets, so that no task sorts a whole group. For n rows there are
+    about sqrt(n) buckets, and no sort group has more than about sqrt(n) rows.
     """
     group = list(group)
-    keyed = df.withColumn("_u", uniform(seed, tag, id_col)).withColumn("_bucket", _bucket(F.col("_u")))
+    count = _bucket_count(df.select(id_col))
+    keyed = df.withColumn("_u", uniform(seed, tag, id_col)).withColumn("_bucket", _bucket(F.col("_u"), count))
     buckets = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = _offsets(buckets, group).drop("_rows", "_total")
     rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_u", id_col))
@@ -59,9 +66,10 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str = LABEL, seed=42
     table itself is never shuffled.
     """
     u = uniform(seed, "split", id_col)
+    count = _bucket_count(df.select(id_col))
     keyed = df.select(
         F.col(label_col).alias("_label"), F.col(id_col).alias("_id"), u.alias("_u")
-    ).withColumn("_bucket", _bucket(F.col("_u")))
+    ).withColumn("_bucket", _bucket(F.col("_u"), count))
     buckets = keyed.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     total = F.col("_total")
     rest = F.ceil(total * F.lit(float(holdout)))

@@ -1,4 +1,4 @@
-"""Size checks before broadcasting, and lineage cuts that survive executor loss."""
+"""Joins with small tables, and lineage cuts that survive executor loss."""
 
 import re
 import tempfile
@@ -7,9 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table of at most this many rows counts as small enough to broadcast.
-SMALL_ROWS = 200_000
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode.
@@ -48,30 +45,15 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_rows(df: DataFrame, limit: int = SMALL_ROWS):
-    """Rows of ``df`` when it has at most ``limit`` of them, else ``None``."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
-def pinned(df: DataFrame, limit: int = SMALL_ROWS, name: str = "pinned") -> DataFrame:
-    """``df`` computed once for several uses: local rows if it is small, else a written table."""
-    rows = small_rows(df, limit)
-    return durable(df, name) if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def join_small(big: DataFrame, small: DataFrame, on: list, how: str = "inner",
-               limit: int = SMALL_ROWS) -> DataFrame:
-    """Join on null-safe equality of ``on``; broadcast ``small`` only if it is small.
+def join_small(big: DataFrame, small: DataFrame, on: list, how: str = "inner", stored: bool = False) -> DataFrame:
+    """Join on null-safe equality of ``on`` with a table that is often small.
 
-    Beyond ``limit`` rows the join is left to Spark, which shuffles both sides
-    and splits skewed partitions at run time.
+    ``small`` is written once. Spark broadcasts what it reads back if its files are below
+    ``spark.sql.autoBroadcastJoinThreshold``; otherwise it shuffles both sides and splits
+    skewed partitions at run time. ``stored`` says that ``small`` is a written table already.
     """
-    rows = small_rows(small, limit)
-    right = small
-    if rows is not None:
-        right = F.broadcast(big.sparkSession.createDataFrame(rows, small.schema))
-    right = right.select(
+    table = small if stored else durable(small, "small")
+    right = table.select(
         *[F.col(c).alias(f"__{c}") for c in on],
         *[c for c in small.columns if c not in on],
     )

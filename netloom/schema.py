@@ -155,3 +155,19 @@ MODEL_FEATURES = [
     for f in FLOW_SCHEMA.fields
     if f.name not in ID_COLS and f.name not in (LABEL, ATTACK)
 ]
+
+# A balanced table, and the same with its split and engineered features.
+RESAMPLED_SCHEMA = T.StructType(
+    [
+        T.StructField(f.name, T.LongType() if f.name == LABEL else T.DoubleType())
+        for f in FLOW_SCHEMA.fields
+        if f.name not in (*ID_COLS, ATTACK)
+    ]
+)
+ENGINEERED_SCHEMA = T.StructType(
+    [
+        *RESAMPLED_SCHEMA.fields,
+        T.StructField("split", T.StringType()),
+        *[T.StructField(c, T.DoubleType()) for c in ENGINEERED],
+    ]
+)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import seeded
-from netloom.plans.sizing import join_small
+from netloom.plans.sizing import durable, join_small
 from netloom.schema import ATTACK_CLASSES, FLOW_SCHEMA
 
 DEFAULT_BASE_MS = 1_700_000_000_000
@@ -33,10 +33,27 @@ def _whole(c: Column) -> Column:
     return c.cast("bigint")
 
 
+def _later_sums(parts: DataFrame, levels: int) -> DataFrame:
+    """``(_part, _after)``: sums of the later parts, over ``levels`` levels of ranges of parts.
+
+    With two levels a task of the last window orders one row per _RANGE ** 3 ids.
+    """
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return parts.select("_part", F.coalesce(F.sum("_sum").over(later), F.lit(0)).alias("_after"))
+    grouped = parts.withColumn("_group", F.floor(F.col("_part") / _RANGE).cast("bigint"))
+    above = grouped.groupBy(F.col("_group").alias("_part")).agg(F.sum("_sum").alias("_sum"))
+    outer = _later_sums(above, levels - 1).toDF("_group", "_outer")
+    inner = Window.partitionBy("_group").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.withColumn("_own", F.coalesce(F.sum("_sum").over(inner), F.lit(0)))
+    return own.join(outer, "_group").select("_part", (F.col("_own") + F.col("_outer")).alias("_after"))
+
+
 def start_times(ids: DataFrame, id_col: str, seed, base_ms: int) -> DataFrame:
     """Adds FLOW_START_MILLISECONDS: base minus the sum of the hour-long gaps from this id on.
 
-    Gaps are summed inside ranges of ids and shifted by the total of the later ranges.
+    Gaps are summed inside ranges of ids and shifted by the total of the later ranges, which
+    is found alike over ranges of ranges.
     """
     rows = ids.withColumns(
         {
@@ -44,9 +61,8 @@ def start_times(ids: DataFrame, id_col: str, seed, base_ms: int) -> DataFrame:
             "_part": F.floor(F.col(id_col) / _RANGE).cast("bigint"),
         }
     )
-    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(F.sum("_gap").alias("_sum"))
-    offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(later), F.lit(0)).alias("_after"))
+    parts = durable(rows.groupBy("_part").agg(F.sum("_gap").alias("_sum")), "parts")
+    offsets = _later_sums(parts, 2)
     inside = Window.partitionBy("_part").orderBy(F.desc(id_col)).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_gap").over(inside)
     return join_small(rows.withColumn("_own", total), offsets, ["_part"]).withColumn(
@@ -156,7 +172,8 @@ def generate_flows(ids: DataFrame, id_col: str = "id", seed=42, base_ms: int = D
         ),
     }
     df = start_times(ids.select(id_col), id_col, seed, base_ms)
-    df = df.withColumn("_u", seeded.uniforms(seed, tags, id_col))
+    x, y = seeded.row_state(seed, id_col)
+    df = df.withColumns({"_x": x, "_y": y}).withColumn("_u", seeded.uniforms(tags, "_x", "_y"))
     for stage in (drawn, derived, final):
         df = df.withColumns(stage)
     return df.select(id_col, *[c(f.name).cast(f.dataType).alias(f.name) for f in FLOW_SCHEMA.fields])

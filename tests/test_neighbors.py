@@ -60,11 +60,33 @@ def test_knn_blocks(spark, points, pivots, block_rows):
 @pytest.mark.parametrize("metric", METRICS)
 def test_knn_metrics(spark, points, metric):
     vectors, ids = points[0][::3], points[1][::3]
-    pivots = None if metric == "cosine" else 5
-    df = neighbors.knn(table_of(spark, vectors, ids), 3, metric, p=3.0, pivots=pivots, block_rows=25)
+    df = neighbors.knn(table_of(spark, vectors, ids), 3, metric, p=3.0, pivots=5, block_rows=25)
     same(found_knn(df), brute_knn(vectors, ids, 3, metric, 3.0))
 
 
+@pytest.mark.parametrize("pivots, block_rows", [(None, 4096), (6, 10)])
+@pytest.mark.parametrize("nonzero", [40, 2, 0])
+def test_knn_cosine_zero_vectors(spark, pivots, block_rows, nonzero):
+    """Zero vectors are at distance 1 from all rows, one another included; ties go to smaller ids."""
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([np.zeros((9, 3)), rng.normal(size=(nonzero, 3)), -np.eye(3)[: min(nonzero, 3)]])
+    ids = rng.permutation(len(vectors)) + 5
+    df = neighbors.knn(table_of(spark, vectors, ids), 4, "cosine", pivots=pivots, block_rows=block_rows)
+    same(found_knn(df), brute_knn(vectors, ids, 4, "cosine"))
+
+
+@pytest.mark.parametrize("radius", [0.3, 1.0, 0.0])
+def test_pairs_within_cosine(spark, radius):
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([rng.normal(size=(60, 3)), np.zeros((1, 3)), np.eye(3)])
+    got = neighbors.pairs_within(table_of(spark, vectors), radius, "cosine", pivots=6, block_rows=15).collect()
+    want = {}
+    for a in range(len(vectors)):
+        d = exact(vectors, vectors[a][None, :], "cosine", 2.0)
+        want.update({(a, b): d[b] for b in range(a + 1, len(vectors)) if d[b] <= radius})
+    assert {(r["id_a"], r["id_b"]): r["distance"] for r in got} == pytest.approx(want)
+
+
 def test_knn_large_offsets(spark):
     """Values around 1e12 whose differences are small: the matrix product alone would be wrong."""
     rng = np.random.default_rng(4)

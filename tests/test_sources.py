@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from netloom.functions import seeded
 from netloom.functions.instants import micros
 from netloom.operators import series
 from netloom.operators.scale import fit_scaler
@@ -117,10 +118,23 @@ def test_interarrival_hot_key(spark):
     times = np.sort(rng.integers(0, 10**9, 4000))
     rows = [("hot", int(t)) for t in times] + [(f"k{i}", int(t)) for i, t in enumerate(times[::2])]
     df = spark.createDataFrame(rows, "k string, t bigint").repartition(8)
-    got = series.interarrival(df, ["k"], "t", unit=1e6, width=10**7).filter("k = 'hot'").first()
     gaps = np.diff(times) / 1e6
     gaps[gaps == 0] = 1e-9
-    assert got["gap_std"] == pytest.approx(np.std(gaps, ddof=1)) and got["gap_mean"] == pytest.approx(gaps.mean())
+    for hot_rows in (100_000, 1000):
+        result = series.interarrival(df, ["k"], "t", unit=1e6, width=10**7, hot_rows=hot_rows)
+        got = result.filter("k = 'hot'").first()
+        assert got["gap_std"] == pytest.approx(np.std(gaps, ddof=1)) and got["gap_mean"] == pytest.approx(gaps.mean())
+        assert result.filter("events = 1 AND gap_std IS NULL").count() == 2000
+
+
+def test_ranges_of_a_hot_key(spark):
+    """A burst inside one unit of width is spread over ranges that keep the order of time."""
+    rng = np.random.default_rng(7)
+    times = np.unique(np.concatenate([rng.integers(0, 10**6, 9000), rng.integers(0, 10**12, 1000)]))
+    df = spark.createDataFrame([(None, int(t)) for t in times], "k string, _at bigint").repartition(8)
+    rows = series._with_ranges(df, ["k"], 3_600_000_000, 1000).orderBy("_at").collect()
+    ranges = [r["_range"] for r in rows]
+    assert ranges == sorted(ranges) and max(np.unique(ranges, return_counts=True)[1]) <= 200
 
 
 def test_time_order(spark):
@@ -236,9 +250,33 @@ def test_hot_flow(spark):
             assert r[f"{tag}_gap_squares"] == (gaps**2).sum()
 
 
+def test_start_times_over_levels(spark, monkeypatch):
+    """Sums over ranges of ranges equal a plain running sum."""
+    ids = spark.range(3, 700, 2)
+    plain = {r["id"]: r[1] for r in generate.start_times(ids, "id", 42, 10**12).collect()}
+    monkeypatch.setattr(generate, "_RANGE", 4)
+    assert {r["id"]: r[1] for r in generate.start_times(ids, "id", 42, 10**12).collect()} == plain
+
+
+def test_draws_are_uniform(spark):
+    """The draws of a row: each uniform, pairs without correlation."""
+    tags = ["a", "b", "label", "size0.1"]
+    x, y = seeded.row_state(1, "id")
+    rows = spark.range(20_000).withColumns({"x": x, "y": y}).select(seeded.uniforms(tags, "x", "y").alias("u"))
+    draws = np.array([r["u"] for r in rows.collect()])
+    assert draws.min() >= 0 and draws.max() < 1
+    for column in draws.T:
+        assert np.abs(np.bincount((column * 20).astype(int), minlength=20) - 1000).max() < 150
+    assert np.abs(np.corrcoef(draws.T) - np.eye(4)).max() < 0.03
+    assert np.abs(np.corrcoef(np.abs(draws.T - 0.5)) - np.eye(4)).max() < 0.03
+
+
 def test_join_small_falls_back(spark):
     big = spark.range(100).withColumn("k", F.when(F.col("id") < 90, F.col("id") % 7))
     small = spark.createDataFrame([(i, i * 10) for i in range(7)] + [(None, -1)], "k bigint, v bigint")
     quick = sizing.join_small(big, small, ["k"]).collect()
-    slow = sizing.join_small(big, small, ["k"], limit=3).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    slow = sizing.join_small(big, small, ["k"]).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(map(tuple, quick), key=str) == sorted(map(tuple, slow), key=str) and len(quick) == 100

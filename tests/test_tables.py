@@ -54,6 +54,18 @@ def test_exact_quantiles(spark, accuracy):
             assert got[(name, p)] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("accuracy", [2, 20, 10_000])
+def test_exact_quantiles_narrowed(spark, accuracy):
+    """Brackets that hold many values are cut down to the ranges around the position."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    values = np.concatenate([np.exp(rng.normal(0, 3, n // 2)), rng.integers(0, 50, n // 2).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in values], "s double").repartition(6)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.777, 0.99, 1.0]
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["s"], probs, accuracy, sort_values=8).collect()}
+    assert got == pytest.approx({p: np.quantile(values, p) for p in probs}, rel=1e-12, abs=1e-12)
+
+
 def test_exact_quantiles_edges(spark):
     df = spark.createDataFrame([(5.0, None), (None, None), (NAN, None)], "a double, b double")
     rows = exact_quantiles(df, ["a", "b"], [0.25, 0.99]).collect()
