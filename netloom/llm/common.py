@@ -26,6 +26,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
+def release():
+    """Return free memory to the machine, as Python workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list:
     """Python strings of a text column, null as the empty string."""
     return [t or "" for t in batch[column].to_pylist()]
@@ -115,7 +121,7 @@ def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = (),
                 values = fn(plain_strings(batch[text]), *[batch[f"more{i}"] for i in range(len(more))])
                 yield pa.RecordBatch.from_arrays(
                     [batch[n] for n in inner.values()] + list(values), names=schema.names)
-            pa.default_memory_pool().release_unused()  # workers live on; give back what a batch took
+            release()
 
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in inner.items()],

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm.chunks import ChunkCache
-from netloom.llm.common import gather, list_array, plain_strings, runs, slices, table
+from netloom.llm.common import gather, list_array, plain_strings, release, runs, slices, table
 
 MARK = "▁"
 # Stands for a marker that the text itself holds; no other chunk has a line end before something else.
@@ -29,6 +29,9 @@ UNKNOWN_COST = 10.0
 CACHED = 300_000
 # Chunks up to this length are segmented many at a time.
 WIDE = 64
+MANY = 4096
+# Texts are encoded in slices of about this many bytes.
+CODED_BYTES = 1 << 20
 _CHUNKS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -243,8 +246,8 @@ class Unigram:
         alone = groups.pop(-1, [])
         order, counts, flat = [], [], []
         for members in groups.values():
-            for a in range(0, len(members), 20_000):
-                part = np.array(members[a : a + 20_000])
+            for a in range(0, len(members), MANY):
+                part = np.array(members[a : a + MANY])
                 lengths, ids, bare = self._many([chunks[k] for k in part])
                 order.append(part)
                 counts.append(lengths)
@@ -359,7 +362,7 @@ def _coder(path: str):
         model = _model(path)
         is_byte = np.array([isinstance(p, int) for p in model.pieces])
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", CODED_BYTES):
                 texts = plain_strings(batch["text"])
                 counts, ids = model.encode_texts(texts)
                 back = pa.array(model.decode_batch(counts, ids), pa.string())
@@ -370,6 +373,9 @@ def _coder(path: str):
                      pa.array(np.diff(raw[edges]).astype(np.int64)), pc.utf8_length(back).cast(pa.int64()), pc.equal(back, texts)],
                     names=["doc_id", "ids", "n_pieces", "n_byte_pieces", "decoded_chars", "exact"],
                 )
+            release()
+        model.cache = None  # the worker keeps the model, not the chunks of a task's texts
+        release()
 
     return run
 
