@@ -9,6 +9,7 @@ are compared; verified links give components, and inside a component all links a
 """
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,36 +18,59 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import table
 from netloom.llm.graph import components, grouped, in_blocks, small, stars, whole_groups
-from netloom.plans.sizing import durable
+from netloom.plans.sizing import durable, join_small
 
 COSINE = 0.93
-# Filters that a pair right at the cosine is expected to share over all codes. Several independent
+# Filters that a pair right at the cosine is expected to share over CODES codes. Several independent
 # codes even out that the choices of one code hang together.
 SHARED = 24.0
 CODES = 4
+# Share of the pairs right at the cosine that may have no filter in common: codes are added until
+# the rate measured with random pairs allows it.
+MISS = 1e-4
+PAIRS = 1000
 # Unrelated vectors of a label that are expected in a filter.
 STRANGERS = 8.0
+# Labels share the codes made for the next power of two of their rows, from this power on.
+LEAST_GRADE = 8
 BLOCK_ROWS = 1024
 
 
-def _tail(x):
-    return 0.5 * math.erfc(x / math.sqrt(2))
+@lru_cache(maxsize=8)
+def _angles(dim: int) -> tuple:
+    """(angle, share of the sphere within that angle of a direction)."""
+    angle = np.linspace(0, math.pi, 1 << 17)
+    with np.errstate(divide="ignore"):
+        density = np.exp((dim - 2) * np.log(np.sin(angle).clip(0))) if dim > 2 else np.ones(len(angle))
+    within = np.concatenate([[0.0], np.cumsum(density[1:] + density[:-1])])
+    return angle, within / within[-1]
 
 
-def _threshold(share: float) -> float:
-    low, high = -1.0, 8.0
+def _tail(dot, dim: int):
+    """Share of the unit vectors of ``dim`` components whose inner product with a direction is ``dot`` or more."""
+    dot = np.asarray(dot, dtype=float)
+    if dim == 1:
+        return np.where(dot <= -1, 1.0, np.where(dot <= 1, 0.5, 0.0))
+    return np.where(dot > 1, 0.0, np.interp(np.arccos(dot.clip(-1, 1)), *_angles(dim)))
+
+
+def _threshold(share: float, dim: int) -> float:
+    low, high = -1.0, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > share else (low, mid)
+        low, high = (mid, high) if _tail(mid, dim) > share else (low, mid)
     return low
 
 
-def _both(cut: float, cosine: float) -> float:
-    """Probability that a vector exceeds ``cut`` when one at ``cosine`` from it does (in standard units)."""
-    x = np.linspace(cut, cut + 8, 4000)
-    density = np.exp(-x * x / 2)
-    reach = np.array([_tail((cut - cosine * v) / math.sqrt(1 - cosine**2)) for v in x])
-    return float((density * reach).sum() / density.sum())
+def _both(cut: float, cosine: float, dim: int) -> float:
+    """Probability that a vector exceeds ``cut`` when one at ``cosine`` from it does."""
+    if dim == 1 or cosine >= 1:
+        return 1.0
+    edges = np.linspace(0, math.acos(cut), 4001)
+    weight = np.diff(_tail(np.cos(edges), dim))
+    v = np.cos((edges[1:] + edges[:-1]) / 2)
+    reach = _tail((cut - cosine * v) / np.sqrt((1 - cosine**2) * (1 - v * v)), dim - 1)
+    return float((weight * reach).sum() / weight.sum())
 
 
 class CapCode:
@@ -54,13 +78,15 @@ class CapCode:
 
     def __init__(self, dim: int, count: int, cosine: float = COSINE, shared: float = SHARED / CODES,
                  strangers: float = STRANGERS, seed=(11,)):
-        share = min(0.25, max(1e-9, strangers / max(1, count)))
-        self.cut = _threshold(share)
-        wanted = shared / _both(self.cut, cosine) / _tail(self.cut)
+        # Filters need not be narrower than the cap that holds a vector's own links.
+        share = min(0.25, max(1e-9, strangers / max(1, count), float(_tail(cosine, dim))))
+        self.cut = _threshold(share, dim)
+        wanted = shared / _both(self.cut, cosine, dim) / float(_tail(self.cut, dim))
         parts = 1
-        while parts < min(dim, 8) and wanted ** (1 / parts) > 160:
+        most = max(1, min(dim // 2, 8))  # a part of one component has two directions only
+        while parts < most and wanted ** (1 / parts) > 2048:  # the choices of few parts hang together less
             parts += 1
-        parts = max(parts, min(2, dim))
+        parts = max(parts, min(2, most))
         size = max(2, math.ceil(wanted ** (1 / parts)))
         rng = np.random.default_rng([*seed, dim])
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
@@ -70,7 +96,7 @@ class CapCode:
         for a, b in zip(self.edges, self.edges[1:]):
             c = rng.normal(size=(size, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt((b - a) / dim))
-        self.size, self.least = size, self.cut / math.sqrt(dim)
+        self.size, self.least = size, self.cut
 
     def decode(self, unit: np.ndarray) -> tuple:
         """(row, filter number) of all filters that the rows exceed."""
@@ -80,13 +106,44 @@ class CapCode:
         rest = np.concatenate([np.cumsum(best[::-1], 0)[::-1][1:], np.zeros((1, len(unit)))])
         owner, number, total = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit))
         for part, s in enumerate(scores):
-            reach = total[:, None] + s[owner]
-            at, choice = np.nonzero(reach >= (self.least - rest[part][owner])[:, None])
-            total = reach[at, choice]
-            owner, number = owner[at], number[at] * self.size + choice
+            found, step = [], max(1, (1 << 20) // self.size)
+            for a in range(0, max(1, len(owner)), step):  # sums of about 8 MB at a time
+                own = owner[a:a + step]
+                reach = total[a:a + step, None] + s[own]
+                at, choice = np.nonzero(reach >= (self.least - rest[part][own])[:, None])
+                found.append((own[at], number[a:a + step][at] * self.size + choice, reach[at, choice]))
+            owner, number, total = (np.concatenate(x) for x in zip(*found))
         return owner, number
 
 
+def missed(code: CapCode, dim: int, cosine: float, pairs: int, seed) -> int:
+    """How many of ``pairs`` random pairs right at the cosine share no filter of the code."""
+    rng, lost = np.random.default_rng(seed), pairs
+    for a in range(0, pairs, 500):
+        n = min(500, pairs - a)
+        one = _unit(rng.normal(size=(n, dim)))
+        side = rng.normal(size=(n, dim))
+        side -= (side * one).sum(1, keepdims=True) * one
+        other = cosine * one + math.sqrt(max(0.0, 1 - cosine**2)) * (_unit(side) if dim > 1 else 0 * side)
+        sets = [np.stack(code.decode(x), 1) for x in (one, _unit(other))]
+        both, seen = np.unique(np.concatenate(sets), axis=0, return_counts=True)
+        lost -= len(np.unique(both[seen > 1, 0]))
+    return lost
+
+
+def codes_for(dim: int, count: int, cosine: float = COSINE, shared: float = SHARED, seed: int = 11) -> list:
+    """Independent codes for groups of about ``count`` vectors.
+
+    Each has its own random rotation, so the chances to miss a pair multiply: their number
+    follows from the measured rate of one code plus three standard errors.
+    """
+    made = [CapCode(dim, count, cosine, shared / CODES, seed=(seed, k)) for k in range(CODES)]
+    lost = sum(missed(code, dim, cosine, PAIRS, (seed, k, dim)) for k, code in enumerate(made))
+    rate = min(0.99, (lost + 3 * math.sqrt(lost + 1)) / (CODES * PAIRS))
+    number = max(CODES, math.ceil(math.log(MISS) / math.log(rate)))
+    return made + [CapCode(dim, count, cosine, shared / CODES, seed=(seed, k)) for k in range(CODES, number)]
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), dtype=np.float64).reshape(-1, dim)
 
@@ -95,18 +152,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(codes: list, dim: int):
+def _filters(codes: dict, dim: int):
     def run(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
-                unit = _unit(_matrix(batch["vec"], dim))
-                for k, code in enumerate(codes):
-                    owner, number = code.decode(unit)
-                    at = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["rep"].take(at), batch["label"].take(at), pa.array(np.full(len(owner), k, dtype=np.int32)),
-                         pa.array(number)], names=["rep", "label", "code", "filter"])
+                unit, grades = _unit(_matrix(batch["vec"], dim)), batch["grade"].to_numpy()
+                for grade in np.unique(grades):
+                    some = np.flatnonzero(grades == grade)
+                    for k, code in enumerate(codes[int(grade)]):
+                        owner, number = code.decode(unit[some])
+                        at = pa.array(some[owner])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch["rep"].take(at), batch["label"].take(at), pa.array(np.full(len(owner), k, dtype=np.int32)),
+                             pa.array(number)], names=["rep", "label", "code", "filter"])
 
     return run
 
@@ -201,9 +260,11 @@ def _union(a, b):
 
 def _dim_edges(reps, dim, cosine, shared, seed):
     own = reps.filter(F.size("vec") == dim)
-    most = own.groupBy("label").count().agg(F.max("count")).first()[0]
-    codes = [CapCode(dim, most, cosine, shared / CODES, seed=(seed, k)) for k in range(CODES)]
-    placed = own.select("rep", "label", "vec").mapInArrow(_filters(codes, dim), "rep long, label string, code int, filter long")
+    grade = F.greatest(F.lit(LEAST_GRADE), F.ceil(F.log2(F.count(F.lit(1))))).cast("int")
+    grades = durable(own.groupBy("label").agg(grade.alias("grade")), "grades")
+    codes = {r["grade"]: codes_for(dim, 2 ** r["grade"], cosine, shared, seed) for r in grades.select("grade").distinct().collect()}
+    graded = join_small(own.select("rep", "label", "vec"), grades, ["label"], stored=True)
+    placed = graded.select("rep", "label", "vec", "grade").mapInArrow(_filters(codes, dim), "rep long, label string, code int, filter long")
     placed = durable(placed.select("rep", F.xxhash64("label", "code", "filter").alias("key")), "filters")
     sizes = placed.groupBy("key").count().filter("count > 1").select(
         "key", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"))

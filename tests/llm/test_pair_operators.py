@@ -203,6 +203,44 @@ def test_list_decoding_finds_all_exceeding_filters():
     assert got == set(zip(*[x.tolist() for x in np.nonzero(over)])) and over.any()
 
 
+@pytest.mark.parametrize("dim, count", [(64, 1_000), (64, 100_000), (64, 1_000_000), (8, 100_000), (2, 1_000_000)])
+def test_caps_recall_at_the_cosine(dim, count):
+    """Pairs right at the cosine meet in a filter, however many rows the code is made for."""
+    rng = np.random.default_rng(9)
+    codes, lost = caps.codes_for(dim, count), 0
+    for _ in range(3):
+        one = rng.normal(size=(1000, dim))
+        one /= np.linalg.norm(one, axis=1, keepdims=True)
+        two = np.array([noisy(rng, x, 0.9301) for x in one])
+        met = np.zeros(1000, dtype=bool)
+        for code in codes:
+            a, b = (set(zip(*[x.tolist() for x in code.decode(v)])) for v in (one, two))
+            met[[row for row, _ in a & b]] = True
+        lost += (~met).sum()
+    assert lost <= 3  # 0.3 are expected at most
+
+
+def test_cap_shares_are_spherical():
+    """Three components have uniform inner products, two have uniform angles; 64 against a sample."""
+    assert np.allclose(caps._tail([0.9, 0.0, -0.5], 3), [0.05, 0.5, 0.75], atol=1e-6)
+    assert np.isclose(caps._tail(np.cos(0.3), 2), 0.3 / np.pi, atol=1e-6)
+    x = np.random.default_rng(3).normal(size=(400_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.isclose((x[:, 0] > 0.35).mean(), caps._tail(0.35, 64), rtol=0.1)
+    near = 0.93 * x[:, 0] + np.sqrt(1 - 0.93**2) * x[:, 1]  # of the inner product with a vector at that cosine
+    assert np.isclose((near > 0.3)[x[:, 0] > 0.3].mean(), caps._both(0.3, 0.93, 64), rtol=0.05)
+
+
+def test_caps_labels_have_codes_of_their_size(spark, monkeypatch):
+    asked, make = [], caps.codes_for
+    monkeypatch.setattr(caps, "codes_for", lambda dim, count, *rest: asked.append(count) or make(dim, count, *rest))
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), int(i >= 600)) for i in range(620)]
+    rows += [(1000 + i, (np.array(rows[i][1]) * 2).tolist(), rows[i][2]) for i in (5, 610)]
+    got = {r["vec_id"]: r["component_id"] for r in caps.near_duplicates(vectors(spark, rows)).collect()}
+    assert sorted(asked) == [256, 1024] and got[1005] == got[5] and got[1610] == got[610]
+
+
 def test_caps_awkward(spark):
     assert caps.near_duplicates(vectors(spark, [])).count() == 0
     bare = vectors(spark, [(1, None, 1), (None, [1.0], 1), (2, [1.0, 0.0], None)])
