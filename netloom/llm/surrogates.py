@@ -55,8 +55,17 @@ _PATTERN = re.compile(
     rf"|(?P<title>(?<!\w)(?:{'|'.join(TITLES)})\.?)\x20(?P<titled>[^\W\d_a-zа-яё]\w+(?:[\x20-][^\W\d_a-zà-ÿа-яё]\w+){{0,2}})"
     rf"|(?P<named>(?<!\w)(?:{'|'.join(sorted(_GENDER))})(?:\x20[^\W\d_a-zà-ÿа-яё]\w+){{1,2}})"
 )
+
+
+def _digits() -> str:
+    """A class of all that the pattern's ``\\d`` matches; in other regex libraries that is ASCII only."""
+    found = re.finditer(r"\d+", "".join(map(chr, range(0x110000))))
+    return "[" + "".join(f"{m[0][0]}-{m[0][-1]}" for m in found) + "]"
+
+
+_D = _digits()
 # What a text with an entity holds at least; a fast test before the pattern above.
-_HINT = rf"@|\d{{3}}|\d\.\d{{1,3}}\.|(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(sorted(_GENDER))}) "
+_HINT = rf"@|{_D}{{3}}|\+{_D}|[A-Z]{{2}}{_D}{{2}}|{_D}\.{_D}{{1,3}}\.|(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(sorted(_GENDER))}) "
 
 
 def _luhn(digits: str) -> int:

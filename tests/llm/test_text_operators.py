@@ -79,6 +79,21 @@ def test_surrogates_without_lookup(spark, monkeypatch):
     assert rows_of(surrogates.replace(docs(spark, texts), b"k"), "doc_id", "text") == want
 
 
+@pytest.mark.parametrize("entity", [
+    "+33 1 42 68 53 00", "+33 6 12 34 56 78", "+49 30 12 34 56 78", "+32 2 55 12 34", "(377) 555-0271", "377.555.0271",
+    "a@b.org", "GB12 ABCD EFGH IJKL", "1.2.3.4", "126.40.69.100", "123-45-6789", "4111 1111 1111 1111", "Mr. Weber", "Frau Weber",
+    "Anna Weber", "Ольга Иванова", "+٣٣ ١ ٤٢ ٦٨ ٥٣ ٠٠", "١٢٣-٤٥-٦٧٨٩", "١.٢.٣.٤",
+])
+def test_surrogates_hint_passes_every_entity(entity):
+    made = surrogates._entities()(pa.array([f"So: {entity}, ok", "nothing here"]))[0].to_pylist()
+    assert made[0] and not made[1]
+
+
+def test_surrogates_short_phone_groups(spark):
+    out = surrogates.replace(docs(spark, ["Tel. +33 1 42 68 53 00"]), b"k").first()
+    assert out["n_replaced"] == 1 and re.fullmatch(r"Tel\. \+33( \d+){5}", out["text"]) and "42 68 53" not in out["text"]
+
+
 def test_surrogates_awkward(spark):
     table = awkward(spark)
     out = surrogates.rewrite(table, b"k")
