@@ -128,7 +128,8 @@ def _draw(kind, entity, attempt, gender, draw):
         labels = domain.split(".")
         reserved = labels[-2:-1] == ["example"]
         host = domain if reserved else _shaped(labels[0], draw) + ".example." + labels[-1]
-        return _shaped(local, draw) + (str(next(draw)) if attempt > 2 else "") + "@" + host
+        shaped = _shaped(local, draw)
+        return shaped + (str(next(draw)) if attempt > 2 or shaped == local else "") + "@" + host
     if kind == "ip":
         return ".".join(str(1 + next(draw) % 254) for _ in range(4))
     if kind == "card":

@@ -89,6 +89,16 @@ def test_surrogates_hint_passes_every_entity(entity):
     assert made[0] and not made[1]
 
 
+def test_surrogates_of_signs_end(monkeypatch):
+    """Without a letter or digit under a reserved domain nothing but a suffix can differ."""
+    draws, draw = [], surrogates._draw
+    monkeypatch.setattr(surrogates, "_draw", lambda *a: draws.append(a) or (draw(*a) if len(draws) < 100 else pytest.fail("draws without end")))
+    for mail in ("_@example.com", "---@mail.example.org", "½@example.com"):
+        out = surrogates.Replacer(b"k").rewrite(f"to {mail}, ok")
+        local, host = mail.split("@")
+        assert re.fullmatch(rf"to {local}\d+@{re.escape(host)}, ok", out[0]) and out[2] == 1
+
+
 def test_surrogates_short_phone_groups(spark):
     out = surrogates.replace(docs(spark, ["Tel. +33 1 42 68 53 00"]), b"k").first()
     assert out["n_replaced"] == 1 and re.fullmatch(r"Tel\. \+33( \d+){5}", out["text"]) and "42 68 53" not in out["text"]
