@@ -180,9 +180,30 @@ def _ending_gender(surname: str) -> str:
     return "f" if surname[-1].lower() in "ая" else "m"
 
 
+# A word that may be a name.
+_WORD = re.compile(r"[^\W\d_a-zà-ÿа-яё]\w+")
+
+
+def _again(text: str, found: list, names: dict) -> list:
+    """``found`` and the further stand-alone mentions of its names, which are the same entities."""
+    out, k = [], 0
+    for w in _WORD.finditer(text):
+        name = names.get(w[0].lower())
+        if name is None or w.start() and re.match(r"\w", text[w.start() - 1]):
+            continue
+        while k < len(found) and found[k][1] <= w.start():
+            k += 1
+        if k == len(found) or found[k][0] >= w.end():
+            out.append((*w.span(), *name))
+    return sorted(found + out) if out else found
+
+
 def mentions(text: str) -> list:
-    """(start, end, kind, normal form, gender) of the entities of a text, in order and apart."""
-    out = []
+    """(start, end, kind, normal form, gender) of the entities of a text, in order and apart.
+
+    A name found behind a title or given name counts wherever else it stands in the text.
+    """
+    out, names = [], {}
     for m in _PATTERN.finditer(text):
         kind = m.lastgroup
         if kind in ("titled", "named"):
@@ -191,9 +212,11 @@ def mentions(text: str) -> list:
                 what = "given" if w[0] in _GENDER else "surname"
                 gender = _GENDER[w[0]][1] if what == "given" else _ending_gender(w[0])
                 out.append((begin + w.start(), begin + w.end(), what, normal(what, w[0]), gender))
+                if w[0] not in TITLES and (what == "given" or w[0].lower() not in names):
+                    names[w[0].lower()] = out[-1][2:]
         else:
             out.append((*m.span(), kind, normal(kind, m[0]), str(_country(m[0])) if kind == "phone" else ""))
-    return out
+    return _again(text, out, names) if names else out
 
 
 class Replacer:

@@ -99,6 +99,20 @@ def test_surrogates_of_signs_end(monkeypatch):
         assert re.fullmatch(rf"to {local}\d+@{re.escape(host)}, ok", out[0]) and out[2] == 1
 
 
+def test_surrogates_follow_a_name_through_its_text(spark):
+    text = ("KOWALSKI: Rahman's note. Dr Maria Kowalski and Dr Aisha Rahman met. Kowalski said so, Aisha and Maria too; "
+            "x@Kowalski.org, Kowalskiego and preKowalski. Herr Dr Kowalski and the Dr next door.")
+    out = surrogates.replace(docs(spark, [text, "Kowalski alone"]), b"k").orderBy("doc_id").collect()
+    new = surrogates.Replacer(b"k")
+    last, maria, rahman, aisha = (new.form(k, n, g).capitalize() for k, n, g in (
+        ("surname", "kowalski", ""), ("given", "maria", "f"), ("surname", "rahman", ""), ("surname", "aisha", "")))
+    said = out[0]["text"]
+    assert said.startswith(f"{last.upper()}: {rahman}'s note. Dr {maria} {last} and Dr {aisha} {rahman} met. {last} said so, {aisha} and {maria} too; ")
+    assert "Kowalskiego and preKowalski" in said and said.endswith("and the Dr next door.") and out[1]["text"] == "Kowalski alone"
+    spans = [s.split(":") for s in out[0]["spans"].split(",")]
+    assert out[0]["n_replaced"] == len(spans) == 12 and said[int(spans[0][1]):int(spans[0][2])] == last.upper()
+
+
 def test_surrogates_short_phone_groups(spark):
     out = surrogates.replace(docs(spark, ["Tel. +33 1 42 68 53 00"]), b"k").first()
     assert out["n_replaced"] == 1 and re.fullmatch(r"Tel\. \+33( \d+){5}", out["text"]) and "42 68 53" not in out["text"]
