@@ -4,6 +4,10 @@ A text is compared as a whole, by paragraphs, by lines and by sentences. Each su
 is normalised to lower-case words. A unit is compared only with the templates whose
 number of bigrams lets the coefficient reach the threshold; a unit or a text without any
 word that a match must hold is passed over before that. Both steps lose no match.
+
+A licence text may also span several lines and paragraphs of a larger text: for the long
+templates all spans of consecutive lines are compared, in texts that hold enough of a
+template's bigrams for any span to match.
 """
 
 import json
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from netloom.llm.common import table
 
 THRESHOLD = 0.75
+# Templates of so many bigrams are looked for in spans of lines; shorter ones are notices of one line.
+LONG = 30
 
 # Public license texts and the notices that name them.
 NOTICES = {
@@ -119,13 +125,40 @@ def units(text: Column) -> Column:
         F.array(text), F.split(text, r"\n[\x20\x09\r]*\n+"), F.split(text, "\n+"), F.split(sentences, "\n+")))
 
 
+def _pairs(w: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
+def _best_span(lines: Column, t: Column) -> Column:
+    """Highest coefficient of template ``t`` with any span of consecutive lines, given as arrays of words.
+
+    A span of the highest coefficient begins at a line that holds, with the next one, a bigram of
+    the template. From each such line on, the span grows until it is too large for a match.
+    """
+    strings = F.expr("CAST(array() AS array<string>)")
+    begins = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: F.size(F.array_intersect(
+        _pairs(F.flatten(F.slice(lines, k, F.lit(2)))), t["grams"])) > 0)
+    state = lambda grams, last, best, over: F.struct(grams.alias("grams"), last.alias("last"), best.alias("best"), over.alias("over"))
+    dice = lambda g: F.when(F.size(g) <= t["hi"], F.round(2 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"]), 6)).otherwise(F.lit(0.0))
+
+    def grown(acc, line):
+        more = F.array(F.array_union(acc["grams"], _pairs(F.concat(acc["last"], line))))
+        return F.when(acc["over"], acc).otherwise(F.get(F.transform(more, lambda g: state(
+            g, F.slice(line, -1, 1), F.greatest(acc["best"], dice(g)), F.size(g) > t["hi"])), F.lit(0)))
+
+    start = state(strings, strings, F.lit(0.0), F.lit(False))
+    spans = F.transform(begins, lambda k: F.aggregate(F.slice(lines, k, F.size(lines)), start, grown, lambda acc: acc["best"]))
+    return F.coalesce(F.array_max(spans), F.lit(0.0))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: list | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
     """Licenses of every whole text.
 
     Returns one row per row of ``docs``: the id, ``license`` (of the best match, ties to
     the first in code point order; null without a match), ``dice`` (its coefficient, six
-    digits, else null), ``n_matches`` (units and templates that reach the threshold) and
+    digits, else null), ``n_matches`` (units and templates that reach the threshold; of the
+spans of lines the best of a long template, if it exceeds the license's units) and
     ``licenses`` (all found, sorted, comma-joined). Templates with fewer than two words are
     refused. A null or empty text has no match; ids pass through, null and repeated ones
     too; other columns are left out.
@@ -147,16 +180,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given:
     none = F.expr("CAST(array() AS array<string>)")
     out = out.withColumn("units", F.when(F.col("text").isNotNull(), F.array_distinct(
         F.transform(F.filter(units(F.col("text")), lambda u: u.rlike(holds)), clean))).otherwise(none))
-    out = out.withColumn("words", F.transform("units", lambda u: F.split(u, " "))).drop("text", "units")
-    pairs = lambda w: F.array_distinct(F.array_compact(F.zip_with(
-        w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
-    out = out.withColumn("grams", F.transform("words", pairs)).drop("words")
+    out = out.withColumn("words", F.transform("units", lambda u: F.split(u, " "))).drop("units")
+    out = out.withColumn("grams", F.transform("words", _pairs)).drop("words")
     fits = F.filter("grams", lambda g: F.size(g).between(least, most))
     compared = lambda g: F.transform(
         F.filter(known, lambda t: F.size(g).between(t["lo"], t["hi"])),
         lambda t: F.struct(F.round(2 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"]), 6).alias("dice"),
                            t["license"].alias("license")))
-    out = out.withColumn("hits", F.filter(F.flatten(F.transform(fits, compared)), lambda h: h["dice"] >= threshold)).drop("grams")
+    out = out.withColumn("hits", F.filter(F.flatten(F.transform(fits, compared)), lambda h: h["dice"] >= threshold))
+    long = [r for r in rows if r["n"] >= LONG]
+    if long:
+        # The first unit is the whole text; a span's bigrams are among its bigrams.
+        every = F.from_json(F.lit(json.dumps(sorted({g for r in long for g in r["grams"]}))), "array<string>")
+        out = out.withColumn("some", F.array_intersect(F.get("grams", F.lit(0)), every))
+        out = out.withColumn("likely", F.when(F.size("some") >= min(r["lo"] for r in long), F.filter(
+            F.from_json(F.lit(json.dumps(long)), shape), lambda t: F.size(F.array_intersect("some", t["grams"])) >= t["lo"])))
+        lines = F.transform(F.filter(F.transform(F.split("text", "\n+"), clean), lambda l: l != ""), lambda l: F.split(l, " "))
+        out = out.withColumn("lines", F.when(F.size("likely") > 0, lines))
+        spans = F.transform("likely", lambda t: F.struct(_best_span(F.col("lines"), t).alias("dice"), t["license"].alias("license")))
+        better = F.filter(spans, lambda s: (s["dice"] >= threshold) & ~F.exists(
+            "hits", lambda h: (h["license"] == s["license"]) & (h["dice"] >= s["dice"])))
+        out = out.withColumn("hits", F.when(F.size("likely") > 0, F.concat("hits", better)).otherwise(F.col("hits")))
+    out = out.select("id", "hits")
     best = F.array_min(F.transform("hits", lambda h: F.struct((-h["dice"]).alias("d"), h["license"].alias("license"))))
     return out.select(
         "id", best["license"].alias("license"), (-best["d"]).alias("dice"), F.size("hits").cast("long").alias("n_matches"),

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -232,6 +233,30 @@ def test_licenses(spark):
     assert out[0]["dice"] == 1.0 and out[2]["dice"] < 1.0 and out[3]["n_matches"] == 0
 
 
+def test_licenses_in_several_paragraphs(spark):
+    """A text of several wrapped paragraphs inside a larger one scores as the best span of lines does."""
+    def wrapped(text, prefix=""):
+        sentences = re.sub(r"\s+", " ", text).replace(" The above", "\n\nThe above").replace(". THE ", ".\n\nTHE ")
+        sentences = sentences.replace(" This program is dis", "\n\nThis program is dis").replace(" You should", "\n\nYou should")
+        return "\n".join(prefix + line for p in sentences.split("\n") for line in (textwrap.wrap(p, 70) or [""]))
+
+    code = "\n".join(f"{words(9, k)} software of the" for k in range(30))
+    cases = [(name, wrapped(licenses.TEXTS[name], prefix)) for name in ("MIT", "ISC", "GPL-3.0", "BSD-2-Clause") for prefix in ("", "# ")]
+    texts = [f"{code}\n\n{text}\n\n{code}" for _, text in cases] + [f"{code}\n\n{cases[0][1][:300]}\n\n{code}"]
+    texts.append(f"{code}\n{cases[0][1].replace('software', 'programme')}\n{code}")
+    out = {r["id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert [out[i]["license"] for i in range(len(cases))] == [name for name, _ in cases]
+    assert all(out[i]["dice"] == 1.0 for i in range(len(cases))) and out[len(cases)]["license"] is None
+    lines, want = [w for w in map(licenses.normal, texts[-1].split("\n")) if w], 0.0
+    grams = set(licenses.bigrams(licenses.normal(licenses.TEXTS["MIT"])))
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            g = set(licenses.bigrams(sum(lines[i:j], [])))
+            want = max(want, 2 * len(g & grams) / (len(g) + len(grams)))
+    last = out[len(texts) - 1]
+    assert (last["license"], last["dice"], last["n_matches"]) == ("MIT", round(want, 6), 1) and 0.75 <= want < 1
+
+
 def test_license_pruning_loses_nothing():
     """Any unit at the threshold holds a needed word and has a size inside the bounds."""
     rng = random.Random(8)
