@@ -1,7 +1,7 @@
 """Registered queries of this package and their SQL oracles."""
 
 from netloom.llm import (
-    block_topk, caps, forest, langid, licenses, mixing, secrets, surrogates, token_orc, unigram,
+    block_topk, caps, forest, langid, licenses, mixing, rank_bpe, secrets, surrogates, token_orc, unigram,
 )
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_unigram": unigram.op8_unigram,
     "op9_caps": caps.op9_caps,
     "op10_langid": langid.op10_langid,
+    "op11_rank_bpe": rank_bpe.op11_rank_bpe,
 }
 
 # Embedding links are found with filters, yet with the cosine of all pairs as the oracle:
