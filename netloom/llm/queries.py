@@ -2,6 +2,7 @@
 
 from netloom.llm import (
     block_topk, caps, forest, langid, licenses, mixing, rank_bpe, secrets, surrogates, token_orc, unigram,
+    whitening,
 )
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_caps": caps.op9_caps,
     "op10_langid": langid.op10_langid,
     "op11_rank_bpe": rank_bpe.op11_rank_bpe,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 # Embedding links are found with filters, yet with the cosine of all pairs as the oracle:
