@@ -1,8 +1,8 @@
 """Registered queries of this package and their SQL oracles."""
 
 from netloom.llm import (
-    block_topk, caps, forest, langid, licenses, mixing, rank_bpe, secrets, surrogates, token_orc, unigram,
-    whitening,
+    block_topk, caps, forest, langid, licenses, mixing, phrases, rank_bpe, secrets, surrogates, token_orc,
+    unigram, whitening,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
     "op11_rank_bpe": rank_bpe.op11_rank_bpe,
     "op12_whitening": whitening.op12_whitening,
+    "op13_collocations": phrases.op13_collocations,
 }
 
 # Embedding links are found with filters, yet with the cosine of all pairs as the oracle:
@@ -59,4 +60,5 @@ ORACLES = {
     "op6_forest": _FOREST,
     "op7_mixing": mixing.ORACLE,
     "op9_caps": _CAPS,
+    "op13_collocations": phrases.ORACLE,
 }
