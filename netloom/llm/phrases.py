@@ -166,6 +166,8 @@ def _count(bits: int, longest: int):
     shift = np.uint64(64 - bits)
 
     def blobs(keys, counts):
+        if not len(keys):
+            return
         part = (keys >> shift).astype(np.int64)
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         short = (keys >> (np.uint64(32) - np.uint64(bits))).astype(np.uint32)
