@@ -23,7 +23,7 @@ LEAST = 10
 TOP = 2000
 COVERED = 50  # per cent of a phrase's count at which a longer phrase covers it
 FACTOR = 1_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Bytes of text per hash partition, and the fewest and most partitions (powers of two).
 PARTITION_BYTES = 8 << 20
 PARTITIONS = (64, 1 << 22)
@@ -34,6 +34,8 @@ HELD = 4 << 20
 # It hands them on before a count could pass 32 bits, too.
 MOST_SEEN = 1 << 31
 _BREAK, _BLANK, _WORD = 0, 1, 2
+# Groups of phrases of a language that are ranked apart before they are ranked together.
+RANKED_APART = 64
 COUNTS = "part int, lang string, mass long, keys binary, counts binary"
 
 
@@ -65,6 +67,40 @@ def _string_hashes(values: pa.Array) -> np.ndarray:
     return _mixed(sums[starts + lengths] - sums[starts] + lengths.astype(np.uint64))
 
 
+def cut_long(texts: pa.Array, langs: pa.Array, limit: int) -> tuple:
+    """(texts, langs) where texts over ``limit`` bytes are cut behind piece ends, which leaves their pieces whole."""
+    sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
+    if not (sizes > limit).any():
+        return texts, langs
+    raw, ends = text_bytes(texts), np.cumsum(sizes)
+    edges, owner = [0], []
+    for k, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
+        if size > limit:
+            stops = np.flatnonzero(_KIND[raw[end - size : end]] == _BREAK) + 1
+            stops = stops[np.flatnonzero(np.diff(stops // limit, prepend=0))]
+            stops = stops[stops < size]
+            edges += (end - size + stops).tolist()
+            owner += [k] * len(stops)
+        edges.append(end)
+        owner.append(k)
+    parts = pa.StringArray.from_buffers(len(owner), pa.py_buffer(np.array(edges, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
+    return parts, langs.take(pa.array(owner))
+
+
+def portions_of(batches):
+    """(texts, langs) of Arrow batches, some megabytes at a time."""
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE_BYTES):
+            texts, langs = cut_long(plain_strings(batch["text"]), batch["lang"], SLICE_BYTES)
+            ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+            cut = np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1
+            edges = [0, *cut.tolist(), len(texts)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield texts.slice(a, b - a), langs.slice(a, b - a)
+        release()
+
+
 class Words:
     """The words of a slice of texts: a code per word, its strings, and where pieces end.
 
@@ -131,6 +167,25 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple:
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts[:0]
 
 
+def _merged_runs(given: list) -> tuple:
+    """The same for sorted runs of (64-bit keys, counts), a sixteenth of the key range at a time."""
+    out = []
+    bounds = [np.searchsorted(k, np.arange(1, 16, dtype=np.uint64) << np.uint64(60)) for k, _ in given]
+    edges = [[0, *b.tolist(), len(k)] for b, (k, _) in zip(bounds, given)]
+    for r in range(16):
+        out.append(_merged(*(np.concatenate(x) for x in zip(*[(k[e[r] : e[r + 1]], c[e[r] : e[r + 1]]) for e, (k, c) in zip(edges, given)]))))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit values by byte planes, which compress well if most are small."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Summary:
     """A Misra-Gries summary: at most ``capacity`` counters, each short of the truth by at most ``taken``."""
 
@@ -176,33 +231,31 @@ def _count(bits: int, longest: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(part[i]) for i, _ in rows], pa.int32()), pa.nulls(len(rows), pa.string()),
                  pa.array([int(counts[i:j].sum()) for i, j in rows], pa.int64()),
-                 pa.array([short[i:j].tobytes() for i, j in rows], pa.binary()),
-                 pa.array([counts[i:j].astype(np.uint32).tobytes() for i, j in rows], pa.binary())],
+                 pa.array([_packed(np.diff(short[i:j], prepend=np.uint32(0))) for i, j in rows], pa.binary()),
+                 pa.array([_packed(counts[i:j]) for i, j in rows], pa.binary())],
                 names=["part", "lang", "mass", "keys", "counts"])
 
     def run(batches):
         totals: dict = {}
         held = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         fresh, new, seen = [], 0, 0
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                words = Words(plain_strings(batch["text"]), batch["lang"])
-                spoken = np.bincount(words.lang_of[words.codes], minlength=len(words.langs))
-                for lang, n in zip(words.langs.to_pylist(), spoken.tolist()):
-                    totals[lang] = totals.get(lang, 0) + n
-                for size in range(1, longest + 1):
-                    h = np.sort(words.gram_hashes(size, words.grams(size)))
-                    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-                    fresh.append((h[starts], np.diff(np.append(starts, len(h)))))
-                    new += len(starts)
-                    seen += len(h)
-                if new > HELD // 2 or seen >= MOST_SEEN:
-                    held, fresh, new = _merged(*(np.concatenate(x) for x in zip(held, *fresh))), [], 0
-                    if len(held[0]) > HELD or seen >= MOST_SEEN:
-                        yield from blobs(*held)
-                        held, seen = (held[0][:0], held[1][:0]), 0
-            release()
-        yield from blobs(*_merged(*(np.concatenate(x) for x in zip(held, *fresh))))
+        for texts, langs in portions_of(batches):
+            words = Words(texts, langs)
+            spoken = np.bincount(words.lang_of[words.codes], minlength=len(words.langs))
+            for lang, n in zip(words.langs.to_pylist(), spoken.tolist()):
+                totals[lang] = totals.get(lang, 0) + n
+            for size in range(1, longest + 1):
+                h = np.sort(words.gram_hashes(size, words.grams(size)))
+                starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+                fresh.append((h[starts], np.diff(np.append(starts, len(h)))))
+                new += len(starts)
+                seen += len(h)
+            if new > HELD // 2 or seen >= MOST_SEEN:
+                held, fresh, new = _merged_runs([held, *fresh]), [], 0
+                if len(held[0]) > HELD or seen >= MOST_SEEN:
+                    yield from blobs(*held)
+                    held, seen = (held[0][:0], held[1][:0]), 0
+        yield from blobs(*_merged_runs([held, *fresh]))
         totals = {k: n for k, n in totals.items() if n}
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(totals), pa.int32()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64()),
@@ -213,46 +266,45 @@ def _count(bits: int, longest: int):
 
 
 def _survive(bits: int, least: int):
-    """The filter bits of each hash partition, from the merged summaries of its counts."""
+    """The filter bits of a hash partition, from the merged summaries of its counts; or the words of a language."""
     mine = FILTER_BITS - bits  # a partition has 2 ** mine bits
 
-    def run(batches):
-        part, summary = None, None
-        for batch in batches:
-            for p, mass, keys, counts in zip(*(batch[c].to_pylist() for c in ("part", "mass", "keys", "counts"))):
-                if summary is None:
-                    part, summary = p, Summary(mass // least + 1)
-                summary.add(np.frombuffer(keys, dtype=np.uint32), np.frombuffer(counts, dtype=np.uint32).astype(np.int64))
-        slots = np.zeros(max(8, 1 << mine), dtype=bool)
-        slots[summary.survivors(least) >> np.uint32(32 - mine)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(slots).tobytes()], pa.binary())],
-                                         names=["part", "slots"])
+    def group(whole: pa.Table) -> pa.Table:
+        part, lang, mass = whole["part"][0].as_py(), whole["lang"][0].as_py(), pc.sum(whole["mass"]).as_py()
+        slots = None
+        if part is not None:
+            summary = Summary(mass // least + 1)
+            for batch in whole.to_batches():
+                for keys, counts in zip(batch["keys"], batch["counts"]):
+                    summary.add(np.cumsum(_unpacked(keys.as_py()), dtype=np.uint32), _unpacked(counts.as_py()).astype(np.int64))
+            marks = np.zeros(max(8, 1 << mine), dtype=bool)
+            marks[summary.survivors(least) >> np.uint32(32 - mine)] = True
+            slots = np.packbits(marks).tobytes()
+        return pa.table([pa.array([part], pa.int32()), pa.array([lang], pa.string()), pa.array([mass], pa.int64()),
+                         pa.array([slots], pa.binary())], names=["part", "lang", "mass", "slots"])
 
-    return run
+    return group
 
 
 def _recount(shared, bits: int, longest: int):
-    """(lang, phrase, size, count) of the n-grams that pass the filter, counted by their words per slice."""
+    """(lang, phrase, f) of the n-grams that pass the filter, counted by their words per slice."""
     mine = FILTER_BITS - bits
 
     def run(batches):
         slots = np.frombuffer(shared.value, dtype=np.uint8)
         width = max(8, 1 << mine)
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                words = Words(plain_strings(batch["text"]), batch["lang"])
-                for size in range(1, longest + 1):
-                    first = words.grams(size)
-                    h = words.gram_hashes(size, first)
-                    short = (h >> (np.uint64(32) - np.uint64(bits))).astype(np.uint32)
-                    at = (h >> np.uint64(64 - bits)).astype(np.int64) * width + (short >> np.uint32(32 - mine))
-                    passed = slots[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-                    one, counts = words.counted(size, first[passed.astype(bool)])
-                    yield pa.RecordBatch.from_arrays(
-                        [words.langs.take(pa.array(words.lang_of[words.codes[one]])), words.phrases(size, one),
-                         pa.array(np.full(len(one), size, dtype=np.int32)), pa.array(counts.astype(np.int64))],
-                        names=["lang", "phrase", "size", "f"])
-            release()
+        for texts, langs in portions_of(batches):
+            words = Words(texts, langs)
+            for size in range(1, longest + 1):
+                first = words.grams(size)
+                h = words.gram_hashes(size, first)
+                short = (h >> (np.uint64(32) - np.uint64(bits))).astype(np.uint32)
+                at = (h >> np.uint64(64 - bits)).astype(np.int64) * width + (short >> np.uint32(32 - mine))
+                passed = slots[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+                one, counts = words.counted(size, first[passed.astype(bool)])
+                yield pa.RecordBatch.from_arrays(
+                    [words.langs.take(pa.array(words.lang_of[words.codes[one]])), words.phrases(size, one),
+                     pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
 
     return run
 
@@ -268,28 +320,18 @@ def frequent(texts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tu
     bits = PARTITIONS[0].bit_length() - 1
     while 1 << bits < PARTITIONS[1] and size >> bits > PARTITION_BYTES:
         bits += 1
-    counted = durable(texts.mapInArrow(_count(bits, longest), COUNTS), "gram-hashes")
-    totals = counted.where("part IS NULL").groupBy("lang").agg(F.sum("mass").alias("n"))
-    blobs = counted.where("part IS NOT NULL")
-    mass = blobs.groupBy("part").agg(F.sum("mass").alias("mass"))
-    dealt = blobs.select("part", "keys", "counts").join(mass, "part")
-    kept = dealt.groupBy("part").applyInArrow(_one_part(_survive(bits, least)), "part int, slots binary")
+    # A group holds the counts of one hash partition, some PARTITION_BYTES of text in all, or one number per task.
+    counted = texts.mapInArrow(_count(bits, longest), COUNTS).groupBy("part", "lang")
+    kept = durable(counted.applyInArrow(_survive(bits, least), "part int, lang string, mass long, slots binary"), "survivors")
+    totals = kept.where("part IS NULL").select("lang", F.col("mass").alias("n"))
     width = max(8, 1 << (FILTER_BITS - bits)) // 8
     slots = bytearray(width << bits)
-    for row in kept.toLocalIterator():  # 2 ** FILTER_BITS bits altogether
+    for row in kept.where("part IS NOT NULL").select("part", "slots").toLocalIterator():  # 2 ** FILTER_BITS bits altogether
         slots[row["part"] * width : (row["part"] + 1) * width] = row["slots"]
     shared = spark.sparkContext.broadcast(bytes(slots))
-    grams = texts.mapInArrow(_recount(shared, bits, longest), "lang string, phrase string, size int, f long")
-    exact = grams.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return durable(exact, "phrases"), totals
-
-
-def _one_part(run):
-    """A group at a time, as Spark hands it over."""
-    def group(whole: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(whole.to_batches())))
-
-    return group
+    grams = texts.mapInArrow(_recount(shared, bits, longest), "lang string, phrase string, f long")
+    exact = grams.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return durable(exact.withColumn("size", F.size(F.split("phrase", " "))), "phrases"), totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST,
@@ -325,9 +367,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cover = cover.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     open_ = scored.join(cover, ["lang", "phrase"], "left").where(
         F.coalesce(100 * F.col("longer") < COVERED * F.col("f"), F.lit(True)))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    flat = open_.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
-    ranked = flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    flat = open_.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score",
+                        F.pmod(F.xxhash64("phrase"), F.lit(RANKED_APART)).alias("share"))
+    # The best of every share of a language hold its best, so one task ranks RANKED_APART * top rows at most.
+    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
