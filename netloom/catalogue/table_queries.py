@@ -19,7 +19,7 @@ from netloom.schema import ATTACK, ATTACK_CLASSES, FLOW_SCHEMA, LABEL, MODEL_FEA
 from netloom.sources import flow_files
 from netloom.sources.generate import DEFAULT_BASE_MS, generate_flows, poisson_cdf
 from netloom.sources.tables import flows, table
-from netloom.streaming import flow_stream
+from netloom.streaming import flow_stream, running
 
 QUERIES, ORACLES = {}, {}
 
@@ -431,7 +431,7 @@ def stream_features(spark, sf_dir):
     """Flows arrive as files; features on scaler statistics frozen beforehand."""
     arriving = scratch_path(spark, "arriving")
     history = flows(spark, sf_dir)
-    history.repartition(4, "flow_id").write.parquet(arriving)
+    history.write.option("maxRecordsPerFile", 500_000).parquet(arriving)
     stats = fit_scaler(history, MODEL_FEATURES)
     stream = flow_stream.read_stream(spark, arriving, history.schema, files_per_trigger=2)
     made = flow_stream.run_available(
@@ -468,6 +468,22 @@ def stream_interarrival_windows(spark, sf_dir):
     return _window_columns(flow_stream.run_available(windows, "windows"))
 
 
+@query(f"""WITH e AS (SELECT * FROM events WHERE date_trunc('second', ts) + INTERVAL 1 SECOND
+  <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE),
+g AS (SELECT user_id, epoch_us(ts) AS us, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap FROM e),
+s AS (SELECT user_id, max(us) AS upto_us, count(*) AS events, avg(CASE WHEN gap = 0 THEN 1e-9 ELSE gap END) AS gap_mean,
+  stddev_samp(CASE WHEN gap = 0 THEN 1e-9 ELSE gap END) AS gap_std FROM g GROUP BY user_id)
+SELECT user_id, upto_us, events, {_MEAN}, {_SPREAD} FROM s""")
+def stream_running_gaps(spark, sf_dir):
+    """Deviation of all gaps of a user so far, kept in state across windows; panes behind the watermark count."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = flow_stream.read_stream(spark, sf_dir, schema, "events.parquet")
+    with running.keyed_state(spark):
+        made = flow_stream.run_available(running.running_gaps(stream, ["user_id"], "ts"), "running")
+    return running.latest(made, ["user_id"]).select(
+        "user_id", "upto_us", "events", *[rounded(c).alias(c) for c in ("gap_mean", "gap_std", "gap_cv")])
+
+
 def _entropy_windows_sql(closed):
     keep = """WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(window_start) FROM w) - INTERVAL 10 MINUTE""" if closed else ""
     return f"""WITH w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events),

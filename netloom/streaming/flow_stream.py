@@ -24,13 +24,11 @@ def stream_features(flows: DataFrame, stats: DataFrame = None) -> DataFrame:
     return add_engineered_features(apply_scaler(flows, stats) if stats is not None else flows)
 
 
-def interarrival_windows(events: DataFrame, keys: list, ts_col: str, window: str = "1 hour",
-                         pane: str = "1 second", delay: str = "10 minutes") -> DataFrame:
-    """Gap deviation and coefficient of variation per key and tumbling window.
+def gap_panes(events: DataFrame, keys: list, ts_col: str, pane: str, delay: str) -> DataFrame:
+    """Per key and pane: ``window``, ``_rows`` and ``_part`` (first and last time, moments of the gaps of different times).
 
-    Works on batch and streaming tables; on a stream, a window is emitted once the
-    watermark has passed it. Times are collected per pane, where their distinct
-    microseconds bound them; a window merges the moments of its panes.
+    Times are collected per pane, where their distinct microseconds bound them, so a hot
+    key is spread over its panes. On a stream a pane comes out once the watermark has passed it.
     """
     us = micros(events, ts_col)
     rows = events.select(*keys, F.timestamp_micros(us).alias("_ts"), us.alias("_us"))
@@ -56,9 +54,19 @@ def interarrival_windows(events: DataFrame, keys: list, ts_col: str, window: str
             ),
         )
 
-    parts = panes.select(
+    return panes.select(
         "window", *keys, "_rows", let(inner(F.col("_t")), lambda g: moments(g, F.col("_t"))).alias("_part")
     )
+
+
+def interarrival_windows(events: DataFrame, keys: list, ts_col: str, window: str = "1 hour",
+                         pane: str = "1 second", delay: str = "10 minutes") -> DataFrame:
+    """Gap deviation and coefficient of variation per key and tumbling window.
+
+    Works on batch and streaming tables; on a stream, a window is emitted once the
+    watermark has passed it. A window merges the moments of its panes.
+    """
+    parts = gap_panes(events, keys, ts_col, pane, delay)
     grouped = parts.groupBy(F.window(F.window_time("window"), window).alias("_window"), *keys).agg(
         F.sum("_rows").alias("events"), F.sort_array(F.collect_list("_part")).alias("_parts")
     )
