@@ -8,6 +8,7 @@ from netloom.functions import features as ft
 from netloom.functions.address import ip_to_int
 from netloom.functions.safety import INFINITY
 from netloom.operators import clean, profile, split
+from netloom.operators.group_quantiles import grouped_quantiles, impute_by_group
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
 from netloom.operators.scale import fit_scaler, scale
 from netloom.plans.sizing import durable, scratch_path
@@ -213,6 +214,48 @@ def exact_quantiles_items(spark, sf_dir):
     return df.select("feature", "prob", rounded("value").alias("value"))
 
 
+_GROUPED = ["IN_BYTES", "FLOW_DURATION_MILLISECONDS", "SRC_TO_DST_SECOND_BYTES"]
+_GROUP_PROBS = [0.0, 0.5, 0.99]
+
+
+@query(f"{FLOWS} " + " UNION ALL ".join(
+    f"SELECT Attack, '{c}' AS feature, {p}::DOUBLE AS prob, count({c}) AS n, {r6(f'quantile_cont({c}::DOUBLE, {p})')} AS value "
+    "FROM flows GROUP BY Attack" for c in _GROUPED for p in _GROUP_PROBS))
+def quantiles_by_class(spark, sf_dir):
+    df = grouped_quantiles(flows(spark, sf_dir), ["Attack"], _GROUPED, _GROUP_PROBS)
+    return df.withColumn("value", rounded("value"))
+
+
+@query(f"""SELECT user_id, 'value' AS feature, 0.5::DOUBLE AS prob, count(value) AS n, {r6('quantile_cont(value, 0.5)')} AS value
+FROM events GROUP BY user_id HAVING count(value) > 0""")
+def median_by_user(spark, sf_dir):
+    df = grouped_quantiles(table(spark, sf_dir, "events"), ["user_id"], ["value"], [0.5])
+    return df.withColumn("value", rounded("value"))
+
+
+def _filled_sql(fill):
+    odd = lambda c: f"CASE WHEN isfinite({c}) THEN {c} END"
+    filled = lambda c: f"coalesce({odd(c)}, {fill}({odd(c)}) OVER (PARTITION BY Attack)) AS {c}"
+    return f"""{_DIRTY}, filled AS (SELECT flow_id, Attack, {filled('SRC_TO_DST_SECOND_BYTES')}, {filled('DST_TO_SRC_SECOND_BYTES')} FROM dirty)
+SELECT flow_id, Attack, {r6('SRC_TO_DST_SECOND_BYTES')} AS src, {r6('DST_TO_SRC_SECOND_BYTES')} AS dst FROM filled"""
+
+
+def _filled(spark, sf_dir, strategy):
+    rates = ["SRC_TO_DST_SECOND_BYTES", "DST_TO_SRC_SECOND_BYTES"]
+    df = impute_by_group(_dirty_flows(spark, sf_dir).select("flow_id", "Attack", *rates), ["Attack"], rates, strategy)
+    return df.select("flow_id", "Attack", rounded(rates[0]).alias("src"), rounded(rates[1]).alias("dst"))
+
+
+@query(_filled_sql("median"))
+def impute_median_by_class(spark, sf_dir):
+    return _filled(spark, sf_dir, "median")
+
+
+@query(_filled_sql("avg"))
+def impute_mean_by_class(spark, sf_dir):
+    return _filled(spark, sf_dir, "mean")
+
+
 @query(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, {p}::DOUBLE AS prob, count({c}) > 0 AS close FROM lineitem"
     for c in _ITEM for p in _PROBS))
