@@ -1,5 +1,7 @@
 """Queries on nearest neighbours, rebalancing and the end-to-end workflows."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from netloom.catalogue import sql
@@ -91,6 +93,17 @@ def knn_cosine_pivots(spark, sf_dir):
     return _knn(spark, sf_dir, "cosine", 3, pivots=8, block_rows=100)
 
 
+@query(f"{FLOWS} SELECT count(*) * 5 AS neighbors, TRUE AS enough FROM flows")
+def knn_recall(spark, sf_dir):
+    """Whether approximate search among flows finds 0.9 of the exact neighbours."""
+    vec = F.array(*[F.col(c).cast("double") for c in MODEL_FEATURES])
+    df = durable(flows(spark, sf_dir).select("flow_id", vec.alias("vec")), "flow-vectors")
+    cells = max(8, math.isqrt(df.count()))
+    found = neighbors.knn_approximate(df, 5, id_col="flow_id", cells=cells)
+    true = neighbors.knn(df, 5, id_col="flow_id")
+    return neighbors.recall(found, true, "flow_id").select("neighbors", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"""WITH {_E}, f AS (SELECT min(id) AS id FROM e)
 SELECT b.id AS neighbor_id, {r6(_DISTANCE['euclidean'])} AS distance
 FROM e a JOIN f ON a.id = f.id JOIN e b ON a.id <> b.id

@@ -1,10 +1,12 @@
 """Exact nearest-neighbour and radius joins.
 
-Every row goes to the cell of its nearest pivot. The triangle inequality tells
-which cells a row can matter to; it is sent to those only. Inside a cell both
-sides are cut into blocks of bounded size, and one task compares one block pair
-and returns at most k rows per row (or the pairs inside the radius). Nothing is
-capped: a row that might be an answer is always compared.
+Every row goes to the cell of its nearest pivot. For nearest neighbours each row first
+asks its own cell; the distance found there bounds which rings of other cells it visits
+in a second round. Candidates stay where they are, so one far row costs visits of its own
+and no copies of others. For pairs in a radius the triangle inequality tells which cells a
+row is sent to. Inside a cell both sides are cut into blocks of bounded size, and one task
+compares one block pair and returns at most k rows per row (or the pairs inside the
+radius). Nothing is capped: a row that might be an answer is always compared.
 
 For the cosine distance the cells are those of the vectors scaled to length 1, where
 it is half the squared Euclidean distance. Zero vectors are at distance 1 from all rows
@@ -28,6 +30,13 @@ BLOCK_ROWS = 4096
 _SLACK = 1 + 1e-9
 # On vectors of length 1, differences of cosine distances below rounding errors.
 _UNIT_SLACK = 1e-6
+_ROUNDING = 1e-12
+# A cell's rows lie in rings around its pivot, cut at these shares of them.
+RINGS = (0.5, 0.9, 0.99)
+# Approximate search: rows that cells are trained on at most, rounds of training, cells a row asks.
+TRAIN_ROWS = 65_536
+TRAIN_ROUNDS = 6
+PROBES = 8
 # Distances to pivots that a task computes at a time.
 _STRIP = 2_000_000
 
@@ -110,11 +119,10 @@ def _radii(cells: DataFrame, pivots: int) -> np.ndarray:
     return radii
 
 
-def _neighbour_reach(cells: DataFrame, pivots, k: int, metric, p) -> np.ndarray:
-    """Per cell, how far from its pivot a k-nearest neighbour of a member can be.
+def _rho(cells: DataFrame, pivots, k: int, metric, p) -> np.ndarray:
+    """Per cell a distance from its pivot within which there are k rows.
 
-    If k rows lie within rho of the pivot, a member at distance u from it has its k
-    neighbours within u + rho, hence within 2u + rho of the pivot.
+    A member at distance u from the pivot has its k neighbours within u + rho.
     """
     closest = Window.partitionBy("cell").orderBy("off", "id")
     rows = (
@@ -131,7 +139,64 @@ def _neighbour_reach(cells: DataFrame, pivots, k: int, metric, p) -> np.ndarray:
     for start in range(0, len(pivots), step):
         between = _pivot_distances(pivots[start : start + step], pivots, metric, p)
         rho.append(np.partition(between[:, owner] + off[None, :], k - 1, axis=1)[:, k - 1])
-    return _widened(2 * _radii(cells, len(pivots)) + np.concatenate(rho), metric)
+    return np.concatenate(rho)
+
+
+def _rings(cells: DataFrame, pivots: int) -> tuple:
+    """Upper edges of the rings of every cell, and per ring the smallest and largest ``off`` (infinite if empty)."""
+    edges = np.full((pivots, len(RINGS)), np.inf)
+    for r in cells.groupBy("cell").agg(F.percentile_approx("off", list(RINGS)).alias("edges")).collect():
+        edges[r["cell"]] = r["edges"]
+    ringed = _in_rings(cells, edges).groupBy("target").agg(F.min("off").alias("low"), F.max("off").alias("high"))
+    low, high = np.full(pivots * (len(RINGS) + 1), np.inf), np.full(pivots * (len(RINGS) + 1), -np.inf)
+    for r in ringed.collect():  # a few rows per pivot
+        low[r["target"]], high[r["target"]] = r["low"], r["high"]
+    return edges, low, high
+
+
+def _in_rings(cells: DataFrame, edges: np.ndarray) -> DataFrame:
+    """Adds ``target``, the number of the row's ring among all rings."""
+    width = edges.shape[1] + 1
+
+    @F.pandas_udf("int")
+    def ring(cell: pd.Series, off: pd.Series) -> pd.Series:
+        own = edges[cell.to_numpy()]
+        return pd.Series((cell.to_numpy() * width + (off.to_numpy()[:, None] > own).sum(1)).astype("int32"))
+
+    return cells.withColumn("target", ring("cell", "off"))
+
+
+def _visits(asking: DataFrame, pivots, low, high, rho, metric, p) -> DataFrame:
+    """A row (id, vec, cell: a ring) per ring of another cell that may hold a neighbour of an asking row.
+
+    ``asking`` has (id, vec, cell, off, bound): no neighbour is farther than ``bound``, NULL
+    if the own cell was too small to tell. A ring whose members lie between two distances of
+    its pivot cannot come nearer than the row's distance from that pivot allows; and members
+    are nearer to their own pivot than to the row's.
+    """
+    width = len(low) // len(pivots)
+
+    @F.pandas_udf("array<int>")
+    def rings(vec: pd.Series, cell: pd.Series, off: pd.Series, bound: pd.Series) -> pd.Series:
+        at, own, out, start = cell.to_numpy(), off.to_numpy(), [], 0
+        reach = np.fmin(bound.to_numpy(dtype=float), own + rho[at])
+        reach = _widened(reach, metric)
+        for d in _strips(vec, pivots, metric, p):
+            rows = slice(start, start + len(d))
+            start += len(d)
+            # Distances to pivots are rounded in proportion to themselves, not to the bound.
+            room = reach[rows, None] + _ROUNDING * (d + own[rows, None])
+            near = (d - own[rows, None]) / 2 <= room
+            near[np.arange(len(d)), at[rows]] = False
+            for some, dist, most in zip(near, d, room):
+                cells = np.flatnonzero(some)
+                numbers = (cells[:, None] * width + np.arange(width)).ravel()
+                least = np.maximum(np.repeat(dist[cells], width) - high[numbers], low[numbers] - np.repeat(dist[cells], width))
+                out.append(numbers[least <= np.repeat(most[cells], width)].astype("int32"))
+        return pd.Series(out)
+
+    visited = asking.withColumn("target", F.explode(rings("vec", "cell", "off", "bound")))
+    return visited.select("id", "vec", F.col("target").alias("cell"))
 
 
 def _widened(reach: np.ndarray, metric: str) -> np.ndarray:
@@ -188,11 +253,52 @@ def _pivot_count(rows: int, block_rows: int, pivots) -> int:
 _SCHEMA = "id bigint, other bigint, distance double"
 
 
+def _trained(rows: DataFrame, pivots: np.ndarray, metric, p) -> np.ndarray:
+    """Pivots moved to the means of what is nearest to them in a bounded sample, a few times."""
+    sample = _pivots(rows, TRAIN_ROWS)
+    sample = _unit(sample) if metric == "cosine" else sample
+    for _ in range(TRAIN_ROUNDS if len(sample) > len(pivots) else 0):
+        owner = np.concatenate([d.argmin(1) for d in _strips(pd.Series(list(sample)), pivots, metric, p)])
+        sums, sizes = np.zeros_like(pivots), np.bincount(owner, minlength=len(pivots))
+        np.add.at(sums, owner, sample)
+        pivots = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], pivots)
+    return pivots
+
+
+def _probed(asking: DataFrame, pivots, probes: int, metric, p) -> DataFrame:
+    """A row (id, vec, cell) per cell that an asking row visits besides its own: those of the nearest pivots."""
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vec: pd.Series, cell: pd.Series) -> pd.Series:
+        most, out = min(probes, len(pivots)), []
+        for d in _strips(vec, pivots, metric, p):
+            near = np.argpartition(d, most - 1, axis=1)[:, :most].astype("int32")
+            own = cell.to_numpy()[len(out) : len(out) + len(d)]
+            out += [row[row != c] for row, c in zip(near, own)]
+        return pd.Series(out)
+
+    visited = asking.withColumn("target", F.explode(nearest_cells("vec", "cell")))
+    return visited.select("id", "vec", F.col("target").alias("cell"))
+
+
+def _second_round(cells, asking, found, centres, k, metric, p) -> tuple:
+    """Candidates by ring, and the rings that asking rows visit after what they ``found`` in their own cells."""
+    edges, low, high = _rings(cells, len(centres))
+    rho = _rho(cells, centres, k + 1, metric, p)
+    nearest_ = F.get(F.sort_array(F.collect_list("distance")), F.lit(k))  # k + 1 distances per block of the cell
+    bounds = found.groupBy("id").agg(nearest_.alias("bound"))
+    if metric == "cosine":  # half the squared distance of unit vectors
+        bounds = bounds.withColumn("bound", F.sqrt(2 * F.greatest("bound", F.lit(0.0))))
+    visits = _visits(asking.join(bounds, "id", "left"), centres, low, high, rho, metric, p)
+    rings = _in_rings(cells, edges).select("id", "vec", "target")
+    return rings, durable(visits, "visits")
+
+
 def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id",
-        vec_col: str = "vec", p: float = 2.0, block_rows: int = BLOCK_ROWS, pivots=None) -> DataFrame:
+        vec_col: str = "vec", p: float = 2.0, block_rows: int = BLOCK_ROWS, pivots=None,
+        probes=None) -> DataFrame:
     """The k nearest other rows of every row: ``(id, rank, neighbor_id, distance)``.
 
-    Ties go to the smaller id. Of a group of exact copies only the k + 1 rows with
+    With ``probes`` the search is approximate, see ``knn_approximate``. Ties go to the smaller id. Of a group of exact copies only the k + 1 rows with
     the smallest ids can be neighbours and one stands for all as the asking side,
     so a huge group costs no more than a small one.
     """
@@ -218,18 +324,25 @@ def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id"
     count = _pivot_count(sides["others"], block_rows, pivots)
     centres = _pivots(celled.select("id", "vec"), count) if count > 1 else np.zeros((1, 1))
     count = len(centres)
+    if probes and count > 1:
+        centres = _trained(celled.select("id", "vec"), centres, metric, p)
     cells = _cells(celled, centres, metric, p)
     cells = durable(cells, "cells") if count > 1 else cells
-    reach = _neighbour_reach(cells, centres, k + 1, metric, p) if count > 1 else None
-    asking = cells.filter(F.col("copy") == 1).select("id", "vec", "cell")
-    offered = _targets(celled.select("id", "vec"), centres, reach, metric, p)
+    asking = cells.filter(F.col("copy") == 1).select("id", "vec", "cell", "off")
+    kernel = lambda a, b, x, y: nearest(a, b, x, y, k + 1, metric, p)
+    offered = cells.select("id", "vec", F.col("cell").alias("target"))
     if apart:  # at most k + 1 rows, in every cell
         zeros = others.filter(_is_zero("vec")).select("id", "vec")
         offered = offered.unionByName(zeros.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))))
-    found = _block_join(
-        asking, offered, count, block_rows,
-        lambda a, b, x, y: nearest(a, b, x, y, k + 1, metric, p), _SCHEMA,
-    )
+    found = _block_join(asking.drop("off"), offered, count, block_rows, kernel, _SCHEMA)
+    if count > 1 and probes:
+        visits = durable(_probed(asking, centres, probes, metric, p), "visits")
+        found = found.unionByName(_block_join(visits, cells.select("id", "vec", F.col("cell").alias("target")), count,
+                                              block_rows, kernel, _SCHEMA))
+    elif count > 1:
+        found = durable(found, "own-cell")
+        rings, visits = _second_round(cells, asking, found, centres, k, metric, p)
+        found = found.unionByName(_block_join(visits, rings, count * (len(RINGS) + 1), block_rows, kernel, _SCHEMA))
     if apart:
         # All rows are equally far from a zero vector, so it takes the smallest ids.
         zero = others.filter(_is_zero("vec") & (F.col("copy") == 1)).select("id").first()
@@ -259,6 +372,33 @@ def knn(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id"
     )
 
 
+def knn_approximate(df: DataFrame, k: int = 5, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec",
+                    p: float = 2.0, cells=None, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``knn`` among the rows of the ``probes`` cells nearest to each row; what lies in other cells is missed.
+
+    Cells (the square root of the rows by default) are trained on a sample of at most
+    TRAIN_ROWS rows; every row is in its cell's list. Each row costs ``probes`` cells, whatever
+    the data; ``recall`` tells what share of the true neighbours that finds. A row whose cells
+    hold fewer than k others gets those. Distances given are exact.
+    """
+    if probes < 1:
+        raise ValueError("probes must be positive")
+    return knn(df, k, metric, id_col, vec_col, p, block_rows, cells, probes)
+
+
+def recall(found: DataFrame, true: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row (neighbors, recall): the share of the ``true`` neighbours of all rows that are ``found``.
+
+    Of rows at equal distance any counts, so a found row counts if it is no farther than the
+    last true neighbour.
+    """
+    reach = true.groupBy(id_col).agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_k"))
+    near = found.join(reach, id_col).where(F.col("distance") <= F.col("_far") * _SLACK)
+    hits = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("_hits"))
+    return reach.join(hits, id_col, "left").agg(
+        F.sum("_k").alias("neighbors"), (F.coalesce(F.sum("_hits"), F.lit(0)) / F.sum("_k")).alias("recall"))
+
+
 def knn_of(df: DataFrame, sample_id, k: int = 5, metric: str = "euclidean", id_col: str = "id",
            vec_col: str = "vec", p: float = 2.0) -> DataFrame:
     """The k nearest other rows of one row: ``(neighbor_id, distance)``, a distributed top-k."""

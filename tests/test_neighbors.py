@@ -161,3 +161,48 @@ def test_distance_columns(spark):
         assert got == pytest.approx(float(exact(np.array(a), np.array(b), metric, 3.0)))
     with pytest.raises(ValueError):
         distance(F.col("a"), F.col("b"), "minkowski", 0.5)
+
+
+def clustered(spark, far=0):
+    """600 rows in 12 clusters, of which ``far`` lie a long way off."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 20
+    data = centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 6))
+    data[:far] *= 1e4
+    return data, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, vec array<double>")
+
+
+@pytest.mark.parametrize("far", [0, 9])
+def test_far_rows_cost_visits_of_their_own_only(spark, monkeypatch, far):
+    seen = []
+
+    def spy(*args):
+        rings, visits = second(*args)
+        seen.append(visits.groupBy("id").count().toPandas()["count"].to_numpy())
+        return rings, visits
+
+    second = neighbors._second_round
+    monkeypatch.setattr(neighbors, "_second_round", spy)
+    data, df = clustered(spark, far)
+    found = neighbors.knn(df, 4, pivots=24, block_rows=50).orderBy("id", "rank").collect()
+    apart = np.sqrt(((data[:, None] - data[None]) ** 2).sum(-1))
+    np.fill_diagonal(apart, np.inf)
+    want = np.argsort(apart, axis=1, kind="stable")[:, :4]
+    assert [r["neighbor_id"] for r in found] == want.ravel().tolist()
+    # Of 24 cells with 4 rings each a row visits few, far rows elsewhere or not.
+    assert np.median(seen[0]) <= 12
+
+
+def test_approximate_neighbours_and_recall(spark):
+    data, df = clustered(spark, 3)
+    true = neighbors.knn(df, 5)
+    some = neighbors.recall(neighbors.knn_approximate(df, 5, cells=24, probes=4), true).first()
+    assert some["neighbors"] == 3000 and some["recall"] >= 0.9
+    every = neighbors.recall(neighbors.knn_approximate(df, 5, cells=24, probes=24), true).first()
+    assert every["recall"] == 1.0
+    few = neighbors.recall(neighbors.knn_approximate(df, 5, cells=200, probes=1), true).first()
+    assert few["recall"] < some["recall"]
+    unit = neighbors.knn_approximate(df, 3, "cosine", cells=16, probes=6)
+    assert neighbors.recall(unit, neighbors.knn(df, 3, "cosine")).first()["recall"] >= 0.8
+    with pytest.raises(ValueError):
+        neighbors.knn_approximate(df, 5, probes=0)
