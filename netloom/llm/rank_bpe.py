@@ -43,6 +43,33 @@ def byte_letters() -> list:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Raise ValueError for a tokenizer file that needs what coding by white-space chunks does not do."""
+    model = spec["model"]
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers", [{}])
+    fine = (
+        model["type"] == "BPE" and not any(model.get(k) for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and normal.get("normalizers") == _NORMAL and len(steps) == 2
+        and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and not spec.get("decoder") and not spec.get("post_processor")
+        and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        and not any(re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+    if not fine:
+        raise ValueError("the tokenizer file needs what this coder does not do")
+
+
+def check_file(path: str) -> list:
+    """The added tokens of a tokenizer file that passes ``check``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    check(spec)
+    return [t["content"] for t in spec["added_tokens"]]
+
+
 class RankBpe:
     """Encoder and decoder made from a tokenizer file.
 
@@ -56,7 +83,7 @@ class RankBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._refuse(spec)
+        check(spec)
         model, letters = spec["model"], byte_letters()
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         library = Tokenizer.from_file(path)
@@ -83,24 +110,6 @@ class RankBpe:
         self.tokens = pa.array(tokens, pa.string())
         self.cache = None
 
-    @staticmethod
-    def _refuse(spec: dict):
-        model = spec["model"]
-        normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
-        steps = pre.get("pretokenizers", [{}])
-        fine = (
-            model["type"] == "BPE" and not any(model.get(k) for k in (
-                "dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
-            and normal.get("normalizers") == _NORMAL and len(steps) == 2
-            and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
-            and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
-            and not spec.get("decoder") and not spec.get("post_processor")
-            and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
-            and not any(re.search(r"\s", t["content"]) for t in spec["added_tokens"])
-        )
-        if not fine:
-            raise ValueError("the tokenizer file needs what this coder does not do")
-
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of parts; _NONE where they do not merge."""
         keys = left * self.span + right

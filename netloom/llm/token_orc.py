@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.chunks import ChunkCache
-from netloom.llm.common import list_array, plain_strings, runs, slices, text_bytes
+from netloom.llm.common import list_array, plain_strings, runs, slices
+from netloom.llm.rank_bpe import check_file
 from netloom.plans.sizing import scratch_path
 
 END_ID = 2
@@ -30,10 +31,12 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "compression": "zstd",
 }
+# Text for a file of ids, and files at most if the size is not known.
+FILE_BYTES, MOST_FILES = 256 << 20, 1_000_000
 # Python also splits at these, the tokenizer does not.
 _SEPARATORS = "[\x1c-\x1f]"
-# First UTF-8 byte of the characters behind Latin-1.
-_BEYOND_LATIN = 0xC4
+# What a text must not hold to be put into lower case beforehand: characters behind Latin-1, and added tokens.
+_KEEPS_CASE = r"[^\x{00}-\x{ff}]|<\|"
 _BLANKS = re.compile("[ \n\r\t]+")
 _caches: dict = {}
 
@@ -49,15 +52,13 @@ def _latin(text: str) -> bool:
 def _chunk_lists(texts: pa.Array, odd: bool) -> pa.ListArray:
     """White-space chunks of texts. Tokens of this tokenizer never span white space and have no upper case.
 
-    Texts in Latin-1 only are put into lower case first, so that fewer chunks differ.
+    A text in Latin-1 that holds no added token in any case is put into lower case first, so
+    that fewer chunks differ; whether it is depends on that text alone.
     """
     if odd:
         return pa.array([[c for c in _BLANKS.split(t) if c] for t in texts.to_pylist()], pa.list_(pa.string()))
-    raw = text_bytes(texts)
-    if len(raw) and raw.max() < _BEYOND_LATIN:
-        texts = pc.utf8_lower(texts)
-    lists = pc.utf8_split_whitespace(texts)
-    return _without_empty(lists)
+    texts = pc.if_else(pc.match_substring_regex(texts, _KEEPS_CASE), texts, pc.utf8_lower(texts))
+    return _without_empty(pc.utf8_split_whitespace(texts))
 
 
 def _without_empty(lists: pa.ListArray) -> pa.ListArray:
@@ -86,13 +87,16 @@ def word_encoder(path: str) -> ChunkCache:
     A lower-case word of Latin-1 letters is one pre-token that normalisation leaves
     as it is, so it goes straight to the library's byte alphabet and merge model; a
     point or comma behind it is a pre-token of its own. Every other chunk goes through
-    the whole tokenizer.
+    the whole tokenizer. A file whose tokens could span white space or keep upper case, or
+    whose added tokens do not begin with ``<|``, raises ValueError.
     """
     if path in _caches:
         return _caches[path]
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
+    if not all(token.startswith("<|") for token in check_file(path)):
+        raise ValueError("an added token does not begin with <|")
     tokenizer = Tokenizer.from_file(path)
     merge, alphabet = tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False)
     whole = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -143,6 +147,12 @@ def _encoder(path: str, end_id: int):
     return encode
 
 
+def _files(rows: DataFrame) -> int:
+    """Files by the size Spark expects of the rows, the shuffle partitions at least."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, size // FILE_BYTES))
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id",
                  text_col: str = "text", end_id: int = END_ID, partitions: int | None = None) -> str:
     """Encode every whole text and write the ids to ORC files below ``path`` in id order.
@@ -151,9 +161,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     ids are ordered by text, so repeated rows give repeated rows. Other columns are left
     out. An empty table gives files without rows.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or _files(slim)
     ordered = slim.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(_encoder(tokenizer_path, end_id), SCHEMA).write
     for key, value in ORC_OPTIONS.items():
