@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.plans.sizing import durable
@@ -85,14 +85,27 @@ def with_unique_id(df: DataFrame, id_col: str, columns: list, name: str) -> tupl
     """(table, id column) such that no id is null or repeated.
 
     When the ids are unique the table is ``df`` itself. Otherwise it is a stored copy
-    with a row number ``__row`` as id, so that repeated rows stay apart.
+    with the row's number in the order of (id, content) as id ``__row``, so that repeated rows
+    stay apart. The numbers depend on the rows alone, not on how they are partitioned; rows
+    that are equal in all ``columns`` may change places.
     """
     found = df.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids"),
                    F.countDistinct(id_col).alias("different")).first()
     if found["n"] == found["ids"] == found["different"]:
         return df, id_col
-    numbered = df.select(*columns, F.monotonically_increasing_id().alias("__row"))
-    return durable(numbered, name), "__row"
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])))
+    rows = durable(df.select(*columns, content.alias("__content"), F.monotonically_increasing_id().alias("__place")), name)
+    # Equal rows differ in their place, so that they are dealt to many ranges.
+    order = [F.col(f"`{id_col}`"), F.col("__content"), F.col("__place")]
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    placed = durable(ordered.select(*columns, F.monotonically_increasing_id().alias("__place")), name)
+    part = F.shiftright("__place", 33)
+    sizes = placed.groupBy(part.alias("__part")).count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    numbered = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return numbered.select(*columns, (F.col("__start") + F.col("__place").bitwiseAND((1 << 33) - 1)).alias("__row")), "__row"
 
 
 def map_texts(df: DataFrame, text_col: str, fields: str, make, more: tuple = (), keep: list | None = None) -> DataFrame:
