@@ -227,30 +227,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
                           F.when(fine, vec).alias("vec"), F.when(fine, digest).alias("class"))
     rows = durable(rows, "vectors")
-    kinds = rows.filter("class IS NOT NULL").groupBy("class").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = rows.filter("class IS NOT NULL").join(kinds, "class").filter("id = rep").select("rep", "label", "vec", "copies", "class")
-    reps = durable(reps.dropDuplicates(["class"]), "classes")
-    edges, dims = None, reps.groupBy(F.size("vec").alias("dim")).count().collect()  # one row per vector length
-    for row in sorted(dims):
-        edges = _union(edges, _dim_edges(reps, row["dim"], cosine, shared, seed))
-    classes = kinds
+    # Classes are numbered, as rows that repeat an id may differ in their vectors.
+    reps = rows.where("class IS NOT NULL").groupBy("class").agg(
+        F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
+    reps = durable(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    dims = [r["dim"] for r in reps.groupBy(F.size("vec").alias("dim")).count().collect()]  # one row per vector length
+    edges = linked = None
+    for dim in sorted(dims):
+        edges = _union(edges, _dim_edges(reps, dim, cosine, shared, seed))
+    classes = reps.select("class", "rep", "low", "copies")
     if edges is None:
-        found = None
+        classes = classes.select("*", F.lit(0).alias("links"), F.col("low").alias("component_id"))
     else:
         found = durable(components(edges), "components")
-        linked = None
-        for row in sorted(dims):
-            linked = _union(linked, _dim_counts(reps, found, row["dim"], cosine))
+        for dim in sorted(dims):
+            linked = _union(linked, _dim_counts(reps, found, dim, cosine))
         totals = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-        classes = kinds.join(found, kinds["rep"] == found["node"], "left").drop("node").join(totals, "rep", "left")
-    component = F.col("component") if found is not None else F.lit(None).cast("long")
-    links = F.col("links") if found is not None else F.lit(None).cast("long")
-    classes = classes.select("class", (F.coalesce(links, F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                             F.coalesce(component, "rep").alias("component_id"))
-    out = rows.select("id", "class").join(classes, "class", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                     F.coalesce("component_id", "id").alias("component_id"))
+        lows = found.join(classes, F.col("node") == F.col("rep"))
+        lows = lows.groupBy("component").agg(F.min("low").alias("component_id"))
+        classes = classes.join(found, F.col("rep") == F.col("node"), "left").join(lows, "component", "left").join(totals, "rep", "left")
+    classes = classes.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                             F.coalesce("component_id", "low").alias("component_id"))
+    # Rows without a class link with nothing and join with nothing.
+    linkable = join_small(rows.where("class IS NOT NULL").select("id", "class"), classes, ["class"])
+    alone = rows.where("class IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linkable.select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
+    out = out.withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
