@@ -4,12 +4,13 @@ Three patterns give the base spans. Beside them, candidate strings (long runs of
 characters) are searched with a sliding window: the window's Shannon entropy is kept
 from counts that change by the one character that enters and the one that leaves, and is
 compared with a threshold of the candidate's character class. Allow-listed candidates
-are left out.
+are left out, and windows that touch an allow-listed string.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions.features import let
 from netloom.llm.common import table
 
 
@@ -39,9 +40,12 @@ ALLOWED = (
     "^[^0-9]+$",  # words and identifiers
     "^[0-9_=+/-]+$",  # numbers, dates, rules
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
-    "^/?([a-z]+[/_-])+[a-z0-9]*$",  # paths and slugs
-    "EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH|xxxxxxxx|XXXXXXXX",
 )
+# Strings that no window with a secret holds; those of one entry have one length.
+LISTED = ("EXAMPLE|example", "0123456789", "abcdefgh|ABCDEFGH|xxxxxxxx|XXXXXXXX")
+FILLER = "#"  # stands for their characters; no candidate holds it
+# Steps of a fold whose results are gathered in a list of their own, so that no long list is copied at each step.
+STRIP = 256
 
 
 def located(text: Column, pattern: str, found: Column, kind: int, keep: Column) -> Column:
@@ -54,42 +58,77 @@ def located(text: Column, pattern: str, found: Column, kind: int, keep: Column)
             (acc["pos"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
             x["hit"].alias("hit"), x["keep"].alias("keep")))).alias("out"))
     zipped = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), keep.alias("keep"))
-    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,hit:string,keep:boolean>>)")
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step)
-    return F.when(F.size(found) > 0, F.filter(walked["out"], lambda s: s["keep"])).otherwise(none)
+    span = "struct<start:int,kind:int,end:int,hit:string,keep:boolean>"
+    none = F.expr(f"CAST(array() AS array<{span}>)")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(STRIP))
+    strips = let(zipped, lambda z: F.transform(starts, lambda a: F.slice(z, a, STRIP)))
 
+    def walk(acc, strip):
+        inner = F.aggregate(strip, F.struct(acc["pos"].alias("pos"), none.alias("out")), step)
+        return let(inner, lambda w: F.struct(w["pos"].alias("pos"), F.concat(acc["out"], F.array(w["out"])).alias("out")))
 
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Array of the entropies (bits) of all windows of a string of at least ``window`` ASCII characters.
+    walked = F.aggregate(strips, F.struct(F.lit(0).alias("pos"), F.expr(f"CAST(array() AS array<array<{span}>>)").alias("out")), walk)
+    return F.when(F.size(found) > 0, F.filter(F.flatten(walked["out"]), lambda s: s["keep"])).otherwise(none)
 
-    The fold holds the counts of the characters '+' to 'z' and the sum of n * log2(n) over
-    them; one step changes two counts and the matching two terms of the sum.
+
+def is_path(value: Column) -> Column:
+    """Paths and slugs: words of small letters between single separators, digits in the last one only.
+
+    Without a repeated group, whose matching needs a stack as deep as the path has parts.
+    """
+    digits = lambda c: F.length(c) - F.length(F.translate(c, "0123456789", ""))
+    last = F.substring_index(F.translate(value, "_-", "//"), "/", -1)
+    return value.rlike("^[a-z0-9/_-]+$") & value.rlike("^/?[a-z]+[/_-]") & ~value.rlike("[/_-][/_-]") & (digits(value) == digits(last))
+
+
+def without_listed(value: Column, listed=LISTED) -> Column:
+    """A candidate with the characters of listed strings replaced, one for one."""
+    for strings in listed:
+        value = F.regexp_replace(value, strings, FILLER * len(strings.split("|")[0]))
+    return value
+
+
+def high_windows(value: Column, least: Column, window: int = WINDOW) -> Column:
+    """Struct (first, last): the first and last window of a string whose entropy in bits is ``least`` or more; -1 if none.
+
+    A window is named by its last character. The fold holds the counts of the characters '+'
+    to 'z', the sum of n * log2(n) over them, the window's characters and the place of the
+    last filler; one step changes two counts and the matching two terms of the sum, so the
+    work grows with the length. Windows that hold filler do not count.
     """
     import math
 
+    letters = ord("z") - ord("+") + 1
     term = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - ord("+"))
-    places = F.transform(codes, lambda c, i: F.struct(
-        c.alias("enter"), F.coalesce(F.get(codes, i - window), F.lit(-1)).alias("leave"), i.alias("i")))
+    codes = F.transform(F.split(value, ""), lambda c, i: F.struct(F.greatest(F.ascii(c) - ord("+"), F.lit(-1)).alias("enter"), i.alias("i")))
+
+    def put(counts, place, value):
+        return F.concat(F.slice(counts, F.lit(1), place), F.array(value), F.slice(counts, place + 2, F.lit(letters)))
 
     def step(acc, x):
-        same = x["enter"] == x["leave"]
-        up, down = F.get(acc["counts"], x["enter"]), F.get(acc["counts"], x["leave"])
-        gained = F.get(term, up + 1) - F.get(term, up)
-        lost = F.when(x["leave"] >= 0, F.get(term, down) - F.get(term, down - 1)).otherwise(0.0)
+        leave = F.get(acc["recent"], F.lit(0))
+        same = x["enter"] == leave
+        up, down = F.get(acc["counts"], x["enter"]), F.get(acc["counts"], leave)
+        gained = F.when(x["enter"] >= 0, F.get(term, up + 1) - F.get(term, up)).otherwise(0.0)
+        lost = F.when(leave >= 0, F.get(term, down) - F.get(term, down - 1)).otherwise(0.0)
         total = acc["sum"] + F.when(same, 0.0).otherwise(gained - lost)
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(
-            acc["counts"], lambda n, j: n + (j == x["enter"]).cast("int") - (j == x["leave"]).cast("int")))
+        entered = F.when(x["enter"] >= 0, put(acc["counts"], x["enter"], up + 1)).otherwise(acc["counts"])
+        counts = F.when(same, acc["counts"]).when(leave < 0, entered).otherwise(let(entered, lambda c: put(c, leave, down - 1)))
+        filler = F.when(x["enter"] < 0, x["i"]).otherwise(acc["filler"])
         entropy = F.round(math.log2(window) - total / window, 6)
-        return F.struct(counts.alias("counts"), total.alias("sum"),
-                        F.when(x["i"] >= window - 1, F.concat(acc["out"], F.array(entropy))).otherwise(acc["out"]).alias("out"))
+        high = (x["i"] >= window - 1) & (x["i"] - filler >= window) & (entropy >= least)
+        recent = F.concat(F.slice(acc["recent"], 2, window - 1), F.array(x["enter"]))
+        return F.struct(counts.alias("counts"), total.alias("sum"), recent.alias("recent"), filler.alias("filler"),
+                        F.when(high & (acc["first"] < 0), x["i"]).otherwise(acc["first"]).alias("first"),
+                        F.when(high, x["i"]).otherwise(acc["last"]).alias("last"))
 
-    start = F.struct(F.array_repeat(F.lit(0), ord("z") - ord("+") + 1).alias("counts"), F.lit(0.0).alias("sum"),
-                     F.expr("CAST(array() AS array<double>)").alias("out"))
-    return F.aggregate(places, start, step)["out"]
+    start = F.struct(F.array_repeat(F.lit(0), letters).alias("counts"), F.lit(0.0).alias("sum"),
+                     F.array_repeat(F.lit(-1), window).alias("recent"), F.lit(-window).alias("filler"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.aggregate(codes, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=CLASSES, allowed=ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=CLASSES, allowed=ALLOWED,
+         listed=LISTED) -> DataFrame:
     """Spans of every whole text as array ``found`` of (start, kind number, end), in order.
 
     Kind numbers 0 to 2 are ``KINDS``, the following ones are ``classes``. An entropy span
@@ -107,7 +146,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
         "hex": F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
         "candidates": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
     })
-    suspicious = lambda c: ~c.rlike("|".join(f"(?:{a})" for a in allowed))
+    suspicious = lambda c: ~c.rlike("|".join(f"(?:{a})" for a in allowed)) & ~is_path(c)
     rows = rows.withColumns({
         "base": F.flatten(F.array(
             located(text, ASSIGN, F.col("assigned"), 0, F.transform("values", lambda v: F.length(v) >= ASSIGN_VALUE)),
@@ -124,14 +163,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
 
     rows = rows.withColumn("runs", F.transform("runs", lambda r: F.struct(
         r["start"].alias("start"), class_of(r["hit"], lambda k: k + len(KINDS)).alias("kind"),
-        class_of(r["hit"], lambda k: classes[k][2]).alias("least"), window_entropy(r["hit"]).alias("bits"))))
-    rows = rows.withColumn("runs", F.transform("runs", lambda r: F.struct(
-        r["start"].alias("start"), r["kind"].alias("kind"),
-        F.transform(r["bits"], lambda h: h >= r["least"]).alias("high"))))
-    high = F.filter("runs", lambda r: F.exists(r["high"], lambda h: h))
-    high = F.transform(high, lambda r: F.struct(
-        (r["start"] + F.array_position(r["high"], F.lit(True)).cast("int") - 1).alias("start"), r["kind"].alias("kind"),
-        (r["start"] + F.size(r["high"]) - F.array_position(F.reverse(r["high"]), F.lit(True)).cast("int") + WINDOW).alias("end")))
+        # Named first, as a fold would test the class at every step.
+        let(class_of(r["hit"], lambda k: classes[k][2]), lambda least: high_windows(without_listed(r["hit"], listed), least)).alias("high"))))
+    high = F.transform(F.filter("runs", lambda r: r["high"]["last"] >= 0), lambda r: F.struct(
+        (r["start"] + r["high"]["first"] - (WINDOW - 1)).alias("start"), r["kind"].alias("kind"),
+        (r["start"] + r["high"]["last"] + 1).alias("end")))
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     return rows.select("id", F.array_sort(F.concat(plain, high)).alias("found"))
 
@@ -166,11 +202,19 @@ def _oracle() -> str:
     rank = "CASE kind " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(names)) + " END"
     pick = lambda i: "CASE " + " ".join(
         f"WHEN regexp_matches(hit, '{c[1]}') THEN {c[i]!r}" for c in CLASSES) + " END"
+    digits = lambda c: f"(length({c}) - length(translate({c}, '0123456789', '')))"
+    path = ("regexp_matches(hit, '^[a-z0-9/_-]+$') AND regexp_matches(hit, '^/?[a-z]+[/_-]') AND NOT regexp_matches(hit, '[/_-][/_-]')"
+            f" AND {digits('hit')} = {digits("string_split(translate(hit, '_-', '//'), '/')[-1]")}")
+    plain = "hit"
+    for strings in LISTED:
+        plain = f"regexp_replace({plain}, '{strings}', '{FILLER * len(strings.split('|')[0])}', 'g')"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_duck_spans(ASSIGN, 'assign', f'length(val) >= {ASSIGN_VALUE}')} UNION ALL
   {_duck_spans(ACCESS, 'access', 'true')} UNION ALL {_duck_spans(HEX, 'hex', 'true')}),
-cand AS (SELECT *, row_number() OVER () AS c FROM ({_duck_spans(CANDIDATE, 'x', " AND ".join(f"NOT regexp_matches(hit, '{a}')" for a in ALLOWED))})),
-win AS (SELECT c, w, substr(hit, w, {WINDOW}) AS s FROM cand, unnest(range(1, length(hit) - {WINDOW} + 2)) AS u(w)),
+cand AS (SELECT *, row_number() OVER () AS c FROM ({_duck_spans(CANDIDATE, 'x', " AND ".join([*[f"NOT regexp_matches(hit, '{a}')" for a in ALLOWED], f"NOT ({path})"]))})),
+plain AS (SELECT c, {plain} AS hit FROM cand),
+win AS (SELECT c, w, substr(hit, w, {WINDOW}) AS s FROM plain, unnest(range(1, length(hit) - {WINDOW} + 2)) AS u(w)
+  WHERE substr(hit, w, {WINDOW}) NOT LIKE '%{FILLER}%'),
 chars AS (SELECT c, w, ch, count(*) AS n FROM (SELECT c, w, unnest(string_split(s, '')) AS ch FROM win) GROUP BY ALL),
 bits AS (SELECT c, w, round(log2({WINDOW}) - sum(n * log2(n)) / {WINDOW}, 6) AS h FROM chars GROUP BY ALL),
 hot AS (SELECT doc_id, {pick(0)} AS kind, "start" + min(w) - 1 AS "start", "start" + max(w) - 1 + {WINDOW} AS "end"
