@@ -149,7 +149,7 @@ def _encoder(path: str, end_id: int):
 
 def _files(rows: DataFrame) -> int:
     """Files by the size Spark expects of the rows, the shuffle partitions at least."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, size // FILE_BYTES))
 
 

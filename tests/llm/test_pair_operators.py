@@ -329,3 +329,14 @@ def test_pipeline_decisions(spark, tmp_path):
 def test_pipeline_empty(spark, tmp_path):
     empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_caps_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(21)
+    a, b = rng.normal(size=(2, 16))
+    near = lambda v: (v + 0.01 * rng.normal(size=16)).tolist()
+    rows = [(1, a.tolist(), "x"), (1, b.tolist(), "x"), (2, near(a), "x"), (3, near(b), "x"), (3, near(b), "y"), (4, near(b), "y")]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in caps.near_duplicates(given.repartition(3)).collect())
+    # Each row of id 1 has one link; the rows of label y link with one another only.
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]

@@ -464,3 +464,41 @@ def test_training_documents_are_ranked_among_few(spark):
         left.setdefault(r["lang"], []).append((r["draw"], r["id"]))
     for lang, every in by_lang.items():
         assert sorted(left[lang])[:500] == sorted(every)[:500] and len(left[lang]) < 600
+
+
+# --- repeated ids and added tokens ----------------------------------------------
+
+
+def test_added_tokens_in_any_case_and_company():
+    from tokenizers import Tokenizer
+
+    library, cache, rng = Tokenizer.from_file(BPE), token_orc.word_encoder(BPE), random.Random(9)
+    letters = [*"abAB’ \t<|>09À\x1c\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "日"]
+    texts = ["<|ENDOFTEXT|>", "Plain Words", "<|EndOfText|> x"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 13, len(texts)):
+        for a in range(0, len(texts) if size > 1 else 100, size):
+            counts, ids = token_orc.encode_texts(cache, pa.array(texts[a : a + size]))
+            ends = np.cumsum(counts)
+            assert [ids[x:y].tolist() for x, y in zip(ends - counts, ends)] == want[a : a + size]
+
+
+def test_tokens_refuse_other_files():
+    with pytest.raises(ValueError):
+        token_orc.word_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_mix_reruns_agree_on_repeated_ids(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), words(rng.randint(0, 9), rng.randint(0, 40)), "en", rng.choice(["a", "b", "c", None]), 0)
+            for _ in range(400)]
+    rows += [(1, "same words here", "en", "a", 0)] * 50
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs_ = []
+    for parts in (1, 7, 16):
+        again = given.orderBy(F.rand(parts)).repartition(parts)
+        taken = rows_of(mixing.mix(again), "doc_id", "size", "source_size", "taken")
+        texts = rows_of(mixing.materialise(again), "doc_id", "text", "source")
+        runs_.append((taken, texts))
+    assert runs_[0] == runs_[1] == runs_[2] and len(runs_[0][0]) == 450
