@@ -8,6 +8,7 @@ from netloom.functions import features as ft
 from netloom.functions.address import ip_to_int
 from netloom.functions.safety import INFINITY
 from netloom.operators import clean, profile, split
+from netloom.operators.mergeable import RANK_ERROR, merge_profiles, store_part, stored_parts
 from netloom.operators.group_quantiles import grouped_quantiles, impute_by_group
 from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
 from netloom.operators.scale import fit_scaler, scale
@@ -331,6 +332,46 @@ def csv_by_name(spark, sf_dir):
     return back.select(F.col("flow_id").cast(dict(df.dtypes)["flow_id"]).alias("flow_id"), *_plain(FLOW_SCHEMA.names))
 
 
+@query(f"""{FLOWS} SELECT kind, kind IN ('csv', 'CSV', 'parquet') AS accepted, CASE WHEN accepted THEN n ELSE 0 END AS rows
+FROM (SELECT count(*) AS n FROM flows), (VALUES ('csv'), ('CSV'), ('parquet'), ('json'), ('xlsx')) AS k(kind)""")
+def load_formats(spark, sf_dir):
+    """What the loader makes of a stored table's format name: rows, or a refusal."""
+    df, out = flows(spark, sf_dir).drop("flow_id"), []
+    paths = {kind: flow_files.save_table(df, scratch_path(spark, f"flows-{kind}"), kind) for kind in ("csv", "parquet")}
+    for kind in ("csv", "CSV", "parquet", "json", "xlsx"):
+        try:
+            out.append((kind, True, flow_files.load_flows(spark, paths.get(kind.lower(), paths["csv"]), kind).count()))
+        except ValueError:
+            out.append((kind, False, 0))
+    return spark.createDataFrame(out, "kind string, accepted boolean, rows bigint")
+
+
+@query(f"{FLOWS} SELECT flow_id, {_ALL_SQL} FROM flows")
+def load_prefixed_path(spark, sf_dir):
+    """A path whose file name carries the dataset-type prefix, loaded into a given number of partitions."""
+    folder = scratch_path(spark, "flows")
+    flow_files.save_table(flows(spark, sf_dir), f"{folder}/flows.parquet", "parquet")
+    back = flow_files.load_flows(spark, f"{folder}/DatasetType.flows.parquet", "parquet", partitions=6)
+    if back.rdd.getNumPartitions() != 6:
+        raise AssertionError("the loader was asked for 6 partitions")
+    return back.select("flow_id", *_plain(FLOW_SCHEMA.names))
+
+
+_PROFILED = ["IN_BYTES", "OUT_PKTS", "SRC_TO_DST_SECOND_BYTES"]
+
+
+@query(f"{FLOWS} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, count({c}) AS "count", {r6(f'avg({c})', 4)} AS mean, {r6(f'stddev_samp({c})', 4)} AS std,
+    {r6(f'min({c})::DOUBLE', 4)} AS min, {r6(f'quantile_cont({c}::DOUBLE, 0.25)', 4)} AS p25,
+    {r6(f'quantile_cont({c}::DOUBLE, 0.5)', 4)} AS p50, {r6(f'quantile_cont({c}::DOUBLE, 0.75)', 4)} AS p75,
+    {r6(f'max({c})::DOUBLE', 4)} AS max FROM flows""" for c in _PROFILED))
+def profile_of_load(spark, sf_dir):
+    """The column statistics that go with a fresh load."""
+    path = flow_files.save_table(flows(spark, sf_dir).select(*_PROFILED), scratch_path(spark, "flows"), "parquet")
+    df = flow_files.load_profile(flow_files.load_flows(spark, path, "parquet"))
+    return df.select("feature", "count", *[rounded(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
 _SHORT = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
 
 
@@ -353,6 +394,29 @@ def parquet_roundtrip(spark, sf_dir):
 _NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_ITEM]
 
 
+_PARTED = ["l_quantity", "l_extendedprice"]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, count({c}) AS "count", {r6(f'avg({c})', 4)} AS mean, {r6(f'stddev_samp({c})', 4)} AS std,
+    {r6(f'min({c})::DOUBLE', 4)} AS min, {r6(f'max({c})::DOUBLE', 4)} AS max, TRUE AS close FROM lineitem"""
+    for c in _PARTED))
+def merged_profile(spark, sf_dir):
+    """A profile merged from stored parts (one written twice), and whether its quartiles keep the promised rank."""
+    items, store = table(spark, sf_dir, "lineitem"), scratch_path(spark, "profile")
+    for part, lines in enumerate([(1, 2), (3, 4), (5, 6, 7), (3, 4)]):
+        store_part(items.where(F.col("l_linenumber").isin(*lines)), _PARTED, store, part % 3 if part < 3 else 1)
+    found = merge_profiles(stored_parts(spark, store)).collect()  # one row per column
+    share = lambda test: F.count(F.when(test, 1)) / F.count(F.lit(1))
+    ranks = items.agg(*[share(F.col(r["feature"]) < r[p]).alias(f"lt_{r['feature']}_{p}") for r in found for p in ("p25", "p50", "p75")],
+                      *[share(F.col(r["feature"]) <= r[p]).alias(f"le_{r['feature']}_{p}") for r in found for p in ("p25", "p50", "p75")]).first()
+    close = lambda c: all(ranks[f"lt_{c}_{p}"] - RANK_ERROR <= q <= ranks[f"le_{c}_{p}"] + RANK_ERROR
+                          for p, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)))
+    rows = [(r["feature"], r["count"], r["mean"], r["std"], r["min"], r["max"], close(r["feature"])) for r in found]
+    df = spark.createDataFrame(rows, "feature string, count bigint, mean double, std double, min double, max double, close boolean")
+    return df.select("feature", "count", *[rounded(c, 4).alias(c) for c in ("mean", "std", "min", "max")], "close")
+
+
 @query(" UNION ALL ".join(
     f"""SELECT '{c}' AS feature, count({c}) AS "count", {r6(f'avg({c})', 4)} AS mean,
     {r6(f'stddev_samp({c})', 4)} AS std, {r6(f'min({c})::DOUBLE', 4)} AS min,

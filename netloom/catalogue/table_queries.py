@@ -19,7 +19,7 @@ from netloom.schema import ATTACK, ATTACK_CLASSES, FLOW_SCHEMA, LABEL, MODEL_FEA
 from netloom.sources import flow_files
 from netloom.sources.generate import DEFAULT_BASE_MS, generate_flows, poisson_cdf
 from netloom.sources.tables import flows, table
-from netloom.streaming import flow_stream, running
+from netloom.streaming import flow_stream, running, scaler_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -440,6 +440,22 @@ def stream_features(spark, sf_dir):
     return made.select("flow_id", *[rounded(c).alias(c) for c in _THREE])
 
 
+_LEARNED = ["IN_BYTES", "OUT_BYTES", "FLOW_DURATION_MILLISECONDS", "SRC_TO_DST_SECOND_BYTES"]
+
+
+@query(f"{FLOWS} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r6(f'avg({c})')} AS mean, {r6(f'stddev_pop({c})')} AS std FROM flows" for c in _LEARNED))
+def stream_scaler(spark, sf_dir):
+    """Scaler statistics learned from arriving files, batch by batch."""
+    arriving, store = scratch_path(spark, "arriving"), scratch_path(spark, "scaler")
+    history = flows(spark, sf_dir).select("flow_id", *_LEARNED)
+    history.write.option("maxRecordsPerFile", 100_000).parquet(arriving)
+    stream = flow_stream.read_stream(spark, arriving, history.schema, files_per_trigger=2)
+    scaler_stream.run_learning(stream, _LEARNED, store, store + "-progress")
+    stats = scaler_stream.learned_scaler(spark, store)
+    return stats.select("feature", rounded("mean").alias("mean"), rounded("std").alias("std"))
+
+
 def _windows_sql(closed):
     keep = "WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE" if closed else ""
     return f"""WITH w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events),

@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 from netloom.functions.safety import valid_in
 from netloom.operators.clean import columns_of_type
-from netloom.operators.quantiles import approximate_quantiles, exact_quantiles
+from netloom.operators.mergeable import merge_profiles, profile_parts
+from netloom.operators.quantiles import exact_quantiles
 from netloom.plans.sizing import durable, join_small
 from netloom.schema import ATTACK, ID_COLS, LABEL
 
@@ -18,27 +19,20 @@ def numeric_columns(df: DataFrame) -> list:
 
 
 def describe(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
+    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column.
+
+    Exact quartiles take up to three scans, the first of which gives all else; with
+    ``approx`` a single scan gives sketched ones (see ``mergeable``).
+    """
     columns = columns or numeric_columns(df)
-    stats = []
-    for i, c in enumerate(columns):
-        v = valid_in(df, c)
-        stats += [
-            F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-            F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"),
-        ]
-    rows = [
-        F.struct(
-            F.lit(c).alias("feature"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    basic = df.agg(*stats).select(F.inline(F.array(*rows)))
-    quantile = approximate_quantiles if approx else exact_quantiles
+    if approx:
+        return merge_profiles(profile_parts(df, columns)).drop("std_pop")
+    moments: dict = {}  # filled by the scan that brackets the quartiles
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75], moments=moments)
+    basic = df.sparkSession.createDataFrame(
+        [(c, *moments[c]) for c in columns], "feature string, count bigint, mean double, std double, min double, max double")
     quartiles = (
-        quantile(df, columns, [0.25, 0.5, 0.75])
-        .groupBy("feature")
+        found.groupBy("feature")
         .agg(
             *[
                 F.max(F.when(F.abs(F.col("prob") - p) < 1e-9, F.col("value"))).alias(name)
