@@ -372,6 +372,34 @@ def profile_of_load(spark, sf_dir):
     return df.select("feature", "count", *[rounded(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+def _spoilt_file(spark, sf_dir):
+    """A CSV file of flows in which some numbers are none."""
+    path = scratch_path(spark, "flows-spoilt")
+    text = flows(spark, sf_dir)
+    text = text.withColumns({
+        "IN_BYTES": F.when(F.col("flow_id") % 31 == 0, "12x").otherwise(F.col("IN_BYTES").cast("string")),
+        "L7_PROTO": F.when(F.col("flow_id") % 62 == 0, "tcp").otherwise(F.col("L7_PROTO").cast("string")),
+    })
+    return flow_files.save_table(text, path, "csv")
+
+
+@query(f"""{FLOWS} SELECT flow_id, CASE WHEN flow_id % 62 = 0 THEN 'L7_PROTO' ELSE '' END AS also FROM flows WHERE flow_id % 31 = 0""")
+def quarantined_rows(spark, sf_dir):
+    """The side table of records that do not fit the schema."""
+    side = scratch_path(spark, "side")
+    flow_files.load_and_quarantine(spark, _spoilt_file(spark, sf_dir), side)
+    bad = spark.read.parquet(side).where(F.array_contains("reasons", "IN_BYTES"))
+    also = F.array_join(F.filter("reasons", lambda r: r != "IN_BYTES"), ",")
+    return bad.select(F.get_json_object("record", "$.flow_id").cast("bigint").alias("flow_id"), also.alias("also"))
+
+
+@query(f"{FLOWS} SELECT flow_id, {_ALL_SQL} FROM flows WHERE flow_id % 31 <> 0")
+def rows_beside_quarantine(spark, sf_dir):
+    """The good rows of the same file, typed."""
+    good, _ = flow_files.load_quarantined(spark, _spoilt_file(spark, sf_dir))
+    return good.select(F.col("flow_id").cast("bigint").alias("flow_id"), *_plain(FLOW_SCHEMA.names))
+
+
 _SHORT = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
 
 
