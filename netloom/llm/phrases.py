@@ -30,7 +30,7 @@ PARTITIONS = (64, 1 << 22)
 # The filter that is sent to all tasks has 2 ** FILTER_BITS bits (16 MB), whatever the data.
 FILTER_BITS = 27
 # Distinct n-grams a task holds before it hands its counts on.
-HELD = 4 << 20
+HELD = 1 << 20
 # It hands them on before a count could pass 32 bits, too.
 MOST_SEEN = 1 << 31
 _BREAK, _BLANK, _WORD = 0, 1, 2
