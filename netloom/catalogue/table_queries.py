@@ -10,16 +10,16 @@ from netloom.catalogue.sql import r6, u
 from netloom.functions import channels as ch
 from netloom.functions.instants import micros
 from netloom.functions.features import add_noise_components, quantum_noise_simulation
-from netloom.operators import clean, evaluate, series, states
+from netloom.operators import clean, evaluate, frequent, series, states
 from netloom.operators.profile import value_counts
 from netloom.operators.resample import augment_gaussian
 from netloom.operators.scale import fit_scaler
-from netloom.plans.sizing import scratch_path
+from netloom.plans.sizing import durable, scratch_path
 from netloom.schema import ATTACK, ATTACK_CLASSES, FLOW_SCHEMA, LABEL, MODEL_FEATURES
 from netloom.sources import flow_files
 from netloom.sources.generate import DEFAULT_BASE_MS, generate_flows, poisson_cdf
 from netloom.sources.tables import flows, table
-from netloom.streaming import flow_stream, running, scaler_stream
+from netloom.streaming import flow_stream, frequent_stream, running, scaler_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -423,6 +423,16 @@ def f1_logloss_of_noise_score(spark, sf_dir):
     return df.withColumns({c: rounded(c) for c in ("precision", "recall", "f1", "log_loss")})
 
 
+_TOP_ADDRESSES = f"""{FLOWS} SELECT IPV4_SRC_ADDR, count(*) AS n FROM flows GROUP BY 1 ORDER BY n DESC, IPV4_SRC_ADDR LIMIT 100"""
+
+
+@query(_TOP_ADDRESSES)
+def top_source_addresses(spark, sf_dir):
+    """The hundred most frequent source addresses, counted exactly behind a bounded summary."""
+    narrow = durable(flows(spark, sf_dir).select("IPV4_SRC_ADDR"), "addresses")
+    return frequent.top_values(narrow, "IPV4_SRC_ADDR", 100)
+
+
 # --- Streams ----------------------------------------------------------------
 
 @query(f"""{FLOWS}, {sql.scale_cte('flows', 'sc', MODEL_FEATURES)}, {sql.feature_ctes('sc', 'ft')}
@@ -456,6 +466,17 @@ def stream_scaler(spark, sf_dir):
     return stats.select("feature", rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
+@query(_TOP_ADDRESSES)
+def stream_top_source_addresses(spark, sf_dir):
+    """The same of arriving files: every batch leaves its summary, the arrived rows are counted behind all of them."""
+    arriving, store = scratch_path(spark, "arriving"), scratch_path(spark, "summaries")
+    flows(spark, sf_dir).select("IPV4_SRC_ADDR").write.option("maxRecordsPerFile", 500_000).parquet(arriving)
+    arrived = spark.read.parquet(arriving)
+    stream = flow_stream.read_stream(spark, arriving, arrived.schema, files_per_trigger=4)
+    frequent_stream.run_summaries(stream, "IPV4_SRC_ADDR", store, store + "-progress")
+    return frequent.top_values(arrived, "IPV4_SRC_ADDR", 100, frequent.stored_summary(spark, store))
+
+
 def _windows_sql(closed):
     keep = "WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE" if closed else ""
     return f"""WITH w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events),
