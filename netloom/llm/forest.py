@@ -32,10 +32,13 @@ SKETCH = 64
 # Signatures of texts at SIMILARITY agree in this share of the sketch but for one pair in 10^8.
 SKETCH_LEAST = 0.5
 BLOCK_ROWS = 4096
-# Shingles of a loose group that one task compares with one another.
+# Shingles and rows of a loose group in one block; a task compares two blocks with one another.
 BLOCK_SHINGLES = 300_000
+VERIFY_ROWS = 1024
 # A column of a group's shingle table with more rows goes into a matrix product.
 RARE = 32
+# Edges of a large node that are held before they are reduced to stars.
+_EDGES = 1 << 20
 _SLICE_BYTES = 1 << 20
 _ODD = r"[^\x00-\x7F\p{L}\p{N}\p{M}]"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -204,13 +207,17 @@ def _led(sketch: np.ndarray) -> np.ndarray:
     edges from a leader reach down to 0.45, below that by more than the sketch's error.
     """
     covered = np.zeros(len(sketch), dtype=bool)
-    edges = []
+    edges, held = [], 0
     for row in range(len(sketch)):
         if not covered[row]:
             agree = (sketch == sketch[row]).mean(1)
             covered |= agree >= 0.85
             near = np.flatnonzero(agree >= 0.45)
             edges.append(np.stack([np.full(len(near), row), near]))
+            held += len(near)
+            if held > _EDGES:  # rows that are alike, yet cover one another nowhere, have all pairs as edges
+                edges = [np.stack(star_edges(*np.concatenate(edges, 1)))]
+                held = edges[0].shape[1]
     return np.concatenate(edges, 1)
 
 
@@ -268,11 +275,14 @@ def _verified(similarity: float):
                     m[rows[part], at[part] - c] = 1
                     common += m @ m.T
                 size = sizes[a:b].astype(np.float64)
-                linked = common >= similarity * (size[:, None] + size[None, :] - common) - 1e-9
-                np.fill_diagonal(linked, False)
-                if cross[a]:
-                    linked &= side[a:b][:, None] != side[a:b][None, :]
-                links[a:b] += linked @ copies[a:b]
+                linked = np.empty(common.shape, dtype=bool)
+                for c in range(0, b - a, 256):  # sums of a few rows at a time
+                    some = slice(c, c + 256)
+                    linked[some] = common[some] >= similarity * (size[some, None] + size[None, :] - common[some]) - 1e-9
+                    if cross[a]:
+                        linked[some] &= side[a:b][some, None] != side[a:b][None, :]
+                    linked[some, :][np.arange(min(256, b - a - c)), np.arange(c, min(c + 256, b - a))] = False
+                    links[a + c : min(a + c + 256, b)] += linked[some] @ copies[a:b]
                 top = stars(linked)
                 edges.append(np.stack([reps[a:b], reps[a:b][top]]))
             pairs = np.stack(star_edges(*np.concatenate(edges, 1)))
@@ -316,8 +326,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = own.join(small(groups.select(F.col("node").alias("id"))), "id", "left_semi")
     sets = durable(map_texts(texts, "text", "set array<long>", _sets(words), keep=["id"]), "sets")
     sets = sets.withColumnRenamed("id", "rep").join(wanted, "rep")
-    sizes = durable(sets.groupBy("comp").agg(F.sum(F.size("set")).alias("n")).select(
-        "comp", F.ceil(F.col("n") / BLOCK_SHINGLES).alias("blocks")), "loose-sizes")
+    sizes = durable(sets.groupBy("comp").agg(F.sum(F.size("set")).alias("n"), F.count(F.lit(1)).alias("rows")).select(
+        "comp", F.greatest(F.ceil(F.col("n") / BLOCK_SHINGLES), F.ceil(F.col("rows") / VERIFY_ROWS)).alias("blocks")), "loose-sizes")
     dealt = grouped(in_blocks(sets, sizes, "comp", "rep"), "comp", "rep")
     found = durable(dealt.select("comp", "bi", "bj", "side", "rep", "copies", "set").mapInArrow(
         _verified(similarity), "rep long, other long, links long"), "links")

@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,10 +118,34 @@ def test_forest_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, forest.near_duplicates(table).select("doc_id", "n_links", "component_id").collect()))
     monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
     monkeypatch.setattr(forest, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(forest, "VERIFY_ROWS", 9)
     got = sorted(map(tuple, forest.near_duplicates(table).select("doc_id", "n_links", "component_id").collect()))
     assert got == want
 
 
+def test_lines_that_differ_in_one_word_stay_within_memory():
+    """Rows of five shingles, alike but no copies: blocks are bounded in rows, edges of a node in number."""
+    texts = pa.array([f"w{i} shared line of exactly nine plain words here" for i in range(2 * forest.VERIFY_ROWS)])
+    values, runs = forest.shingles(*forest.word_hashes(texts))
+    sets = np.sort(values.reshape(len(texts), -1)).view(np.int64)
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({
+        "comp": np.zeros(n, np.int64), "bi": np.zeros(n, np.int32), "bj": np.zeros(n, np.int32), "side": np.zeros(n, np.int32),
+        "rep": np.arange(n), "copies": np.ones(n, np.int64), "set": pa.array(list(sets))})
+    tracemalloc.start()
+    found = pa.Table.from_batches(forest._verified(0.6)([batch])).to_pydict()
+    rng = np.random.default_rng(2)
+    sketch = rng.integers(0, 256, (1, forest.SKETCH), dtype=np.uint8).repeat(2 * forest.BLOCK_ROWS, 0)
+    differ = rng.random(sketch.shape) < 0.2
+    sketch[differ] = rng.integers(0, 256, differ.sum(), dtype=np.uint8)
+    edges = forest._led(sketch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(l == n - 1 for l in found["links"]) == n and sum(o is not None for o in found["other"]) == n - 1
+    assert len(graph.star_edges(*edges)[0]) == 2 * forest.BLOCK_ROWS - 1
+    assert peak < 300 << 20
+
+
 def test_leaders_connect_alike_rows():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, (3, forest.SKETCH), dtype=np.uint8)
