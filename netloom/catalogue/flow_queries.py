@@ -16,7 +16,7 @@ from netloom.plans.sizing import durable, scratch_path
 from netloom.schema import (
     ATTACK, BYTES_FEATURES, FLOW_SCHEMA, ID_COLS, LABEL, MODEL_FEATURES, TIMING_FEATURES,
 )
-from netloom.sources import flow_files
+from netloom.sources import flow_files, partitioned
 from netloom.sources.tables import flows, table
 
 QUERIES, ORACLES = {}, {}
@@ -417,6 +417,34 @@ def parquet_roundtrip(spark, sf_dir):
     return flow_files.load_flows(spark, path, "parquet").select(*_plain(FLOW_SCHEMA.names))
 
 
+def _twice_written(spark, sf_dir):
+    """(root, rows) of a sink with two loads: the first ran twice, the second died once before it was committed."""
+    root, df = scratch_path(spark, "sink"), flows(spark, sf_dir).select("flow_id", ATTACK, "IN_BYTES")
+    df = durable(df, "sink-rows")
+    halves = [df.where(F.col("flow_id") % 2 == i) for i in (0, 1)]
+    partitioned.save_load(halves[0], root, [ATTACK], "even")
+    partitioned.stage(halves[1], root, [ATTACK])
+    partitioned.save_load(halves[1], root, [ATTACK], "odd")
+    partitioned.save_load(halves[0], root, [ATTACK], "even")
+    return root, df
+
+
+@query(f"{FLOWS} SELECT flow_id, Attack, IN_BYTES FROM flows")
+def sink_after_reruns(spark, sf_dir):
+    """Loads into a partitioned sink, repeated and broken off: every flow is there once."""
+    root, df = _twice_written(spark, sf_dir)
+    return partitioned.read_table(spark, root, [ATTACK], df.schema)
+
+
+@query(f"""{FLOWS} SELECT flow_id, Attack, CASE WHEN Attack IN ('DDoS', 'Benign') THEN -IN_BYTES ELSE IN_BYTES END AS IN_BYTES FROM flows""")
+def sink_replaced_partitions(spark, sf_dir):
+    """Two classes of the same sink are written anew and replace their partitions in both loads."""
+    root, df = _twice_written(spark, sf_dir)
+    anew = df.where(F.col(ATTACK).isin("DDoS", "Benign")).withColumn("IN_BYTES", (-F.col("IN_BYTES")).cast(df.schema["IN_BYTES"].dataType))
+    partitioned.save_load(anew, root, [ATTACK], "corrected", replace=True)
+    return partitioned.read_table(spark, root, [ATTACK], df.schema)
+
+
 # --- Profiles ---------------------------------------------------------------
 
 _NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_ITEM]
