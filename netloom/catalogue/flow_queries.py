@@ -436,11 +436,11 @@ def sink_after_reruns(spark, sf_dir):
     return partitioned.read_table(spark, root, [ATTACK], df.schema)
 
 
-@query(f"""{FLOWS} SELECT flow_id, Attack, CASE WHEN Attack IN ('DDoS', 'Benign') THEN -IN_BYTES ELSE IN_BYTES END AS IN_BYTES FROM flows""")
+@query(f"""{FLOWS} SELECT flow_id, Attack, CASE WHEN Attack IN ('DoS', 'Normal') THEN -IN_BYTES ELSE IN_BYTES END AS IN_BYTES FROM flows""")
 def sink_replaced_partitions(spark, sf_dir):
     """Two classes of the same sink are written anew and replace their partitions in both loads."""
     root, df = _twice_written(spark, sf_dir)
-    anew = df.where(F.col(ATTACK).isin("DDoS", "Benign")).withColumn("IN_BYTES", (-F.col("IN_BYTES")).cast(df.schema["IN_BYTES"].dataType))
+    anew = df.where(F.col(ATTACK).isin("DoS", "Normal")).withColumn("IN_BYTES", (-F.col("IN_BYTES")).cast(df.schema["IN_BYTES"].dataType))
     partitioned.save_load(anew, root, [ATTACK], "corrected", replace=True)
     return partitioned.read_table(spark, root, [ATTACK], df.schema)
 
