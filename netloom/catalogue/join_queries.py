@@ -1,13 +1,14 @@
 """Queries on nearest neighbours, rebalancing and the end-to-end workflows."""
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from netloom.catalogue import sql
 from netloom.catalogue.flow_queries import _DIRTY, _SCALED, _THREE, _THREE_SQL, FLOWS, _dirty_flows, rounded, stored_flows
 from netloom.catalogue.sql import r6
-from netloom.operators import classify, neighbors, resample
+from netloom.operators import classify, neighbors, neighbourhoods, resample
 from netloom.operators.evaluate import roc_auc
 from netloom.plans import workflows
 from netloom.plans.sizing import durable, scratch_path
@@ -187,6 +188,15 @@ def smote_rows(spark, sf_dir):
     return _digest(resample.smote(_zero_or_rest(spark, sf_dir), "vec_id", _DIM_NAMES, "label", ratio=0.5))
 
 
+@query(_smote_sql(0.5, 5, "euclidean"))
+def smote_from_stored(spark, sf_dir):
+    """The same rows from neighbourhoods in a bucketed table, whose vectors are not exchanged again."""
+    df, name = _zero_or_rest(spark, sf_dir), f"neighbourhoods_{uuid.uuid4().hex}"
+    neighbourhoods.store_neighbourhoods(df, "vec_id", _DIM_NAMES, name, max(4, df.count() // 100_000), "label",
+                                         path=scratch_path(spark, "neighbourhoods"))
+    return _digest(neighbourhoods.smote_stored(df, "vec_id", _DIM_NAMES, name, "label", ratio=0.5))
+
+
 @query(_smote_sql(1.0, 3, "manhattan"))
 def smote_manhattan(spark, sf_dir):
     df = _zero_or_rest(spark, sf_dir)
@@ -315,3 +325,17 @@ def classifier_auc(spark, sf_dir):
     scored = classify.score(table_.filter("split = 'test'"), model, features)
     result = roc_auc(scored.withColumn("s", F.get("scores", F.lit(1))), LABEL, "s")
     return result.withColumn("auc", F.round("auc", 3))
+
+
+@query(f"""{FLOWS}, r AS (SELECT flow_id % 5 = 0 AS held, CASE WHEN IN_BYTES > OUT_BYTES THEN 1 ELSE 0 END AS more_in, Label FROM flows),
+p AS (SELECT more_in, avg(Label) FILTER (WHERE NOT held) AS p, count(*) FILTER (WHERE held) AS rows FROM r GROUP BY more_in)
+SELECT more_in, rows, {r6('p', 3)} AS probability FROM p WHERE rows > 0""")
+def classifier_one_feature(spark, sf_dir):
+    """With one yes-or-no feature the fitted model has a closed form: the share of each group."""
+    rows = durable(flows(spark, sf_dir).select(
+        "flow_id", LABEL, F.when(F.col("IN_BYTES") > F.col("OUT_BYTES"), 1.0).otherwise(0.0).alias("more_in"),
+        F.when(F.col("flow_id") % 5 == 0, "test").otherwise("train").alias("split")), "one-feature")
+    model = classify.train(rows, ["more_in"], rounds=100, split_col="split")
+    scored = classify.score(rows.filter("split = 'test'"), model, ["more_in"])
+    return scored.groupBy(F.col("more_in").cast("int").alias("more_in")).agg(
+        F.count(F.lit(1)).alias("rows"), rounded(F.avg(F.get("scores", F.lit(1))), 3).alias("probability"))
