@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions.blocks import exact
+from netloom.functions.blocks import Nearest, Within, exact
 from netloom.functions.distance import METRICS, distance
 from netloom.operators import neighbors
 
@@ -206,3 +206,45 @@ def test_approximate_neighbours_and_recall(spark):
     assert neighbors.recall(unit, neighbors.knn(df, 3, "cosine")).first()["recall"] >= 0.8
     with pytest.raises(ValueError):
         neighbors.knn_approximate(df, 5, probes=0)
+
+
+def test_knn_cosine_in_cells_smaller_than_k(spark):
+    """A row whose own cell holds fewer than k others visits other cells all the same."""
+    vectors = np.random.default_rng(5).normal(size=(60, 3))
+    df = neighbors.knn(table_of(spark, vectors), 8, "cosine", pivots=12, block_rows=10)
+    same(found_knn(df), brute_knn(vectors, np.arange(60), 8, "cosine"))
+
+
+def test_rows_are_copied_by_groups_not_by_blocks(spark, monkeypatch):
+    """Small blocks and few pivots: of 4000 rows in all directions each goes to a few groups of cells only."""
+    moved = []
+    join = neighbors._group_join
+
+    def spy(left, right, *rest):
+        moved.append(left.select(F.sum(F.size("groups"))).first()[0])
+        return join(left, right, *rest)
+
+    monkeypatch.setattr(neighbors, "_group_join", spy)
+    vectors = np.random.default_rng(6).normal(size=(4000, 16))
+    got = neighbors.knn(table_of(spark, vectors), 3, pivots=8, block_rows=100).orderBy("id", "rank").collect()
+    near = [np.argsort(np.where(np.arange(4000) == i, np.inf, ((vectors - x) ** 2).sum(1)), kind="stable")[:3] for i, x in enumerate(vectors)]
+    assert [r["neighbor_id"] for r in got] == np.concatenate(near).tolist()
+    # Before: a row stood in as many block pairs as its cell had blocks of 100 rows, on both sides.
+    assert sum(moved) <= 4000 * 2 * neighbors.GROUPS
+
+
+@pytest.mark.parametrize("metric, p", [("euclidean", 2.0), ("cosine", 2.0), ("manhattan", 2.0), ("chebyshev", 2.0), ("minkowski", 3.0), ("minkowski", 2.5)])
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e13])
+def test_bounds_lose_no_neighbour(metric, p, scale):
+    """Bounds in single precision only propose; copies, near copies, zeros and far values among the candidates."""
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(70, 5)) * scale
+    b = np.concatenate([rng.normal(size=(300, 5)) * scale, a[:20], a[:20] * (1 + 1e-9), np.zeros((2, 5)), rng.normal(size=(4, 5)) * scale * 1e6])
+    ids, rows, d = rng.permutation(len(b)), np.arange(70), exact(a[:, None], b[None], metric, p)
+    search = Nearest(a, b, ids, 4, metric, p)
+    for cols in np.array_split(rng.permutation(len(b)), 9):
+        search.offer(rows, cols)
+    assert all((search.ids[i] == ids[np.lexsort((ids, d[i]))[:4]]).all() for i in rows)
+    radius = np.quantile(d, 0.1)
+    found = list(Within(a, b, radius, metric, p).pairs(rows, np.arange(len(b))))
+    assert sum(len(part[0]) for part in found) == (d <= radius).sum()
