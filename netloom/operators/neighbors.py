@@ -190,8 +190,10 @@ class _Layout:
 
     def groups_of(self, near: np.ndarray) -> np.ndarray:
         """Numbers of the groups that hold any of some rings."""
-        units = np.concatenate([np.arange(self.first[r], self.first[r] + self.parts[r]) for r in near]) if len(near) else near
-        return np.unique(self.group[units.astype(np.int64)]).astype("int32")
+        from_, to = self.group[self.first[near]], self.group[self.first[near] + self.parts[near] - 1]
+        last = len(self.starts) + 1
+        open_ = np.cumsum(np.bincount(from_, minlength=last) - np.bincount(to + 1, minlength=last))
+        return np.flatnonzero(open_ > 0).astype("int32")
 
 
 def _in_rings(cells: DataFrame, edges: np.ndarray) -> DataFrame:
