@@ -280,3 +280,13 @@ def test_join_small_falls_back(spark):
     slow = sizing.join_small(big, small, ["k"]).collect()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(map(tuple, quick), key=str) == sorted(map(tuple, slow), key=str) and len(quick) == 100
+
+
+def test_flow_partitions_grow_with_the_packets(spark, monkeypatch):
+    """A task's share of the combined packets is bounded; before, partitions did not follow the size of the table."""
+    from netloom.sources import tables
+
+    monkeypatch.setattr(tables, "PART_BYTES", 4096)
+    counters = tables.flow_counters(tables.packets(spark, "/root/testdata/sf0.001"))
+    assert counters.rdd.getNumPartitions() > 8
+    assert counters.count() == counters.select("flow_id").distinct().count()
