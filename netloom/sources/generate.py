@@ -11,6 +11,8 @@ from netloom.schema import ATTACK_CLASSES, FLOW_SCHEMA
 
 DEFAULT_BASE_MS = 1_700_000_000_000
 _RANGE = 8_192
+# Ranges of ids that a task generates.
+_TASK_RANGES = 16
 
 
 def poisson_cdf(rate: float) -> list:
@@ -63,6 +65,9 @@ def start_times(ids: DataFrame, id_col: str, seed, base_ms: int) -> DataFrame:
     )
     parts = durable(rows.groupBy("_part").agg(F.sum("_gap").alias("_sum")), "parts")
     offsets = _later_sums(parts, 2)
+    # These rows are narrow, but what is made of them is not: tasks by number of ranges, not by bytes.
+    tasks = max(ids.sparkSession.sparkContext.defaultParallelism, -(-parts.count() // _TASK_RANGES))
+    rows = rows.repartition(tasks, "_part")
     inside = Window.partitionBy("_part").orderBy(F.desc(id_col)).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_gap").over(inside)
     return join_small(rows.withColumn("_own", total), offsets, ["_part"]).withColumn(

@@ -290,3 +290,17 @@ def test_flow_partitions_grow_with_the_packets(spark, monkeypatch):
     counters = tables.flow_counters(tables.packets(spark, "/root/testdata/sf0.001"))
     assert counters.rdd.getNumPartitions() > 8
     assert counters.count() == counters.select("flow_id").distinct().count()
+
+
+def test_one_digest_for_all_draws(spark):
+    """A row's digest is taken once, not once per tag, however Spark merges projections."""
+    x, y = seeded.row_state(1, "id")
+    rows = spark.range(10).withColumns({"x": x, "y": y}).select(seeded.uniforms(["a", "b"], "x", "y").alias("u"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan[plan.rindex("lambdafunction((") :].split(", lambda")[0]
+    assert "md5" in plan and "md5" not in inner
+
+
+def test_generation_is_spread(spark):
+    """Narrow rows become wide ones in several tasks, though Spark would put them into one."""
+    assert generate.generate(spark, 20 * 8192).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
