@@ -440,12 +440,14 @@ SELECT flow_id, {', '.join(f'{r6(c)} AS {c}' for c in _THREE)} FROM ft""")
 def stream_features(spark, sf_dir):
     """Flows arrive as files; features on scaler statistics frozen beforehand."""
     arriving = scratch_path(spark, "arriving")
-    history = flows(spark, sf_dir)
-    history.write.option("maxRecordsPerFile", 500_000).parquet(arriving)
+    made = flows(spark, sf_dir)
+    made.write.option("maxRecordsPerFile", 500_000).parquet(arriving)
+    history = spark.read.schema(made.schema).parquet(arriving)
     stats = fit_scaler(history, MODEL_FEATURES)
-    stream = flow_stream.read_stream(spark, arriving, history.schema, files_per_trigger=2)
+    stream = flow_stream.read_stream(spark, arriving, made.schema, files_per_trigger=2)
+    tasks = spark.sparkContext.defaultParallelism
     made = flow_stream.run_available(
-        flow_stream.stream_features(stream, stats).select("flow_id", *_THREE), "features"
+        flow_stream.stream_features(stream, stats, tasks).select("flow_id", *_THREE), "features"
     )
     return made.select("flow_id", *[rounded(c).alias(c) for c in _THREE])
 

@@ -19,8 +19,13 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return reader.parquet(folder)
 
 
-def stream_features(flows: DataFrame, stats: DataFrame = None) -> DataFrame:
-    """The engineered features of arriving flows, on frozen scaler statistics if given."""
+def stream_features(flows: DataFrame, stats: DataFrame = None, partitions=None) -> DataFrame:
+    """The engineered features of arriving flows, on frozen scaler statistics if given.
+
+    ``partitions`` deals the rows of each batch to so many tasks; without it a batch of few
+    files has as few tasks, however many cores there are.
+    """
+    flows = flows.repartition(partitions) if partitions else flows
     return add_engineered_features(apply_scaler(flows, stats) if stats is not None else flows)
 
 

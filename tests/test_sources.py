@@ -304,3 +304,13 @@ def test_one_digest_for_all_draws(spark):
 def test_generation_is_spread(spark):
     """Narrow rows become wide ones in several tasks, though Spark would put them into one."""
     assert generate.generate(spark, 20 * 8192).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_stream_batch_is_spread(spark, tmp_path):
+    """A batch of one file is dealt to the asked number of tasks; rows stay the same."""
+    made = generate.generate(spark, 500, seed=3)
+    made.coalesce(1).write.parquet(str(tmp_path / "arriving"))
+    stream = flow_stream.read_stream(spark, str(tmp_path / "arriving"), made.schema)
+    out = flow_stream.run_available(flow_stream.stream_features(stream, partitions=4).select("id"), "spread")
+    assert len(out.inputFiles()) == 4
+    assert sorted(r["id"] for r in out.collect()) == list(range(500))
