@@ -1,6 +1,7 @@
 """Encode texts through their distinct chunks: each chunk is encoded once and then looked up."""
 
 from collections.abc import Callable
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,17 @@ class ChunkCache:
         self.ids = np.concatenate([self.ids, np.asarray(ids, dtype=np.int32)])
         self.chars += sum(map(len, new))
 
-    def _rows(self, chunks: list) -> np.ndarray:
-        """Row numbers of chunks, learning those that are new."""
+    def _rows(self, chunks: list, distinct: bool = False) -> np.ndarray:
+        """Row numbers of chunks, learning those that are new. Those of ``distinct`` chunks follow from their order."""
         if len(self.index) > self.limit or self.chars > 8 * self.limit:
             self._clear()
-        rows = list(map(self.index.get, chunks))
-        if None in rows:
-            new = list(dict.fromkeys(c for c, r in zip(chunks, rows) if r is None))
-            self._learn(new)
-            rows = list(map(self.index.__getitem__, chunks))
-        return np.array(rows, dtype=np.int64)
+        rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = rows < 0
+        if unknown.any():
+            new, first = list(compress(chunks, unknown.tolist())), len(self.index)
+            self._learn(new if distinct else list(dict.fromkeys(new)))
+            rows[unknown] = np.arange(first, first + len(new)) if distinct else [self.index[c] for c in new]
+        return rows
 
     def _flat(self, rows: np.ndarray, counts) -> tuple:
         lengths = self.lengths[rows]
@@ -62,5 +64,6 @@ class ChunkCache:
     def encode_lists(self, lists: pa.ListArray, prefix: str = "") -> tuple:
         """The same for an Arrow list of chunks per text; ``prefix`` goes before each chunk."""
         coded = lists.flatten().dictionary_encode()
-        rows = self._rows([prefix + c for c in coded.dictionary.to_pylist()])
+        chunks = coded.dictionary.to_pylist()
+        rows = self._rows([prefix + c for c in chunks] if prefix else chunks, distinct=True)
         return self._flat(rows[np.asarray(coded.indices)], np.asarray(lists.value_lengths()))

@@ -6,6 +6,7 @@ encoding, keeps minima and maxima per row group and a Bloom filter on ``doc_id``
 Spark reads stripes in parallel and skips those a filter on ``doc_id`` rules out.
 """
 
+import gc
 import re
 import zlib
 
@@ -38,6 +39,8 @@ _SEPARATORS = "[\x1c-\x1f]"
 # What a text must not hold to be put into lower case beforehand: characters behind Latin-1, and added tokens.
 _KEEPS_CASE = r"[^\x{00}-\x{ff}]|<\|"
 _BLANKS = re.compile("[ \n\r\t]+")
+# Pre-tokens of a chunk of printable ASCII without upper case.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _caches: dict = {}
 
 
@@ -86,8 +89,9 @@ def word_encoder(path: str) -> ChunkCache:
 
     A lower-case word of Latin-1 letters is one pre-token that normalisation leaves
     as it is, so it goes straight to the library's byte alphabet and merge model; a
-    point or comma behind it is a pre-token of its own. Every other chunk goes through
-    the whole tokenizer. A file whose tokens could span white space or keep upper case, or
+    point or comma behind it is a pre-token of its own. A chunk of printable ASCII without
+    upper case and added tokens is split at the pre-tokenizer's pattern. Every other chunk
+    goes through the whole tokenizer. A file whose tokens could span white space or keep upper case, or
     whose added tokens do not begin with ``<|``, raises ValueError.
     """
     if path in _caches:
@@ -102,24 +106,44 @@ def word_encoder(path: str) -> ChunkCache:
     whole = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
     tails = {t: whole(t) for t in ".,"}
 
-    def word(chunk):
-        if not chunk.isascii():
-            chunk = alphabet.pre_tokenize_str(chunk)[0][0]
-        return [t.id for t in merge(chunk)]
-
     def encode_many(chunks):
-        found, words = [], {}
+        # Millions of small lists and no cycles: the collector would only walk over them.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return learn(chunks)
+        finally:
+            if collects:
+                gc.enable()
+
+    def learn(chunks):
+        lengths, ids, words = [], [], {}
         for chunk in chunks:
             tail = tails.get(chunk[-1:])
             base = chunk[:-1] if tail else chunk
-            if base.isalpha() and base.islower() and _latin(base):
-                ids = words.get(base)
-                if ids is None:
-                    ids = words[base] = cache.get(base) or word(base)
-                found.append(ids + tail if tail else ids)
+            if base.isalpha() and base.islower() and (base.isascii() or _latin(base)):
+                found = words.get(base)
+                if found is None:
+                    # Without a tail the word is the chunk, which the cache does not know.
+                    found = tail and cache.get(base)
+                    if not found:
+                        letters = base if base.isascii() else alphabet.pre_tokenize_str(base)[0][0]
+                        found = [t.id for t in merge(letters)]
+                    words[base] = found
+                if tail:
+                    found = found + tail
+            elif chunk.isascii() and chunk.isprintable() and chunk == chunk.lower() and "<|" not in chunk:
+                found = []
+                for piece in _PIECES.findall(chunk):
+                    part = words.get(piece)
+                    if part is None:
+                        part = words[piece] = [t.id for t in merge(piece)]
+                    found += part
             else:
-                found.append(whole(chunk))
-        return [len(x) for x in found], [i for x in found for i in x]
+                found = whole(chunk)
+            lengths.append(len(found))
+            ids += found
+        return lengths, ids
 
     cache = _caches[path] = ChunkCache(encode_many)
     return cache

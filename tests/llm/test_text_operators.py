@@ -503,3 +503,19 @@ def test_mix_reruns_agree_on_repeated_ids(spark):
         texts = rows_of(mixing.materialise(again), "doc_id", "text", "source")
         runs_.append((taken, texts))
     assert runs_[0] == runs_[1] == runs_[2] and len(runs_[0][0]) == 450
+
+
+def test_ascii_chunks_split_like_the_pre_tokenizer():
+    """Chunks of printable ASCII never need the whole tokenizer; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    letters = "abdelmrstv019'<|>.,;:-_/\\\"()[]{}@#$%^&*~`+=?!"
+    chunks = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    library = Tokenizer.from_file(path)
+    for chunk in chunks:
+        assert token_orc._PIECES.findall(chunk) == [p for p, _ in library.pre_tokenizer.pre_tokenize_str(chunk)]
+    texts = [" ".join(chunks[i : i + 10]) + " it's. <|endoftext|>x" for i in range(0, 3000, 10)]
+    counts, ids = token_orc.encode_texts(token_orc.word_encoder(path), pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
