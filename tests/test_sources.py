@@ -314,3 +314,15 @@ def test_stream_batch_is_spread(spark, tmp_path):
     out = flow_stream.run_available(flow_stream.stream_features(stream, partitions=4).select("id"), "spread")
     assert len(out.inputFiles()) == 4
     assert sorted(r["id"] for r in out.collect()) == list(range(500))
+
+
+def test_load_into_fewer_partitions_exchanges_no_rows(spark, tmp_path):
+    """Splits are put together where there are enough of them, and rows are dealt out otherwise."""
+    made = generate.generate(spark, 400, seed=5)
+    made.repartition(8).write.parquet(str(tmp_path / "many"))
+    made.coalesce(1).write.parquet(str(tmp_path / "one"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = flow_files.load_flows(spark, str(tmp_path / "many"), "parquet", partitions=3)
+    assert few.rdd.getNumPartitions() == 3 and few.count() == 400 and "Exchange" not in plan(few)
+    more = flow_files.load_flows(spark, str(tmp_path / "one"), "parquet", partitions=6)
+    assert more.rdd.getNumPartitions() == 6 and more.count() == 400
