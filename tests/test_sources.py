@@ -326,3 +326,14 @@ def test_load_into_fewer_partitions_exchanges_no_rows(spark, tmp_path):
     assert few.rdd.getNumPartitions() == 3 and few.count() == 400 and "Exchange" not in plan(few)
     more = flow_files.load_flows(spark, str(tmp_path / "one"), "parquet", partitions=6)
     assert more.rdd.getNumPartitions() == 6 and more.count() == 400
+
+
+def test_no_task_combines_a_whole_split(spark):
+    """Packets leave their input split as they are: what a task combines follows the partitions, not the split."""
+    schema = "flow_id bigint, inbound boolean, t bigint, length bigint, retransmitted boolean, peer bigint"
+    packets = spark.createDataFrame([(1, True, 2, 30, False, 1), (1, True, 2, 40, True, 1)] * 50, schema).repartition(40)
+    counters = flow_counters(packets)
+    plan = counters._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[plan.rindex("Exchange") :] and "Aggregate" in plan
+    row = counters.first()
+    assert (row["in_pkts"], row["in_bytes"], row["in_re_pkts"], row["in_gap_min"]) == (100, 3500, 50, 0)
