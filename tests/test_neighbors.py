@@ -248,3 +248,40 @@ def test_bounds_lose_no_neighbour(metric, p, scale):
     radius = np.quantile(d, 0.1)
     found = list(Within(a, b, radius, metric, p).pairs(rows, np.arange(len(b))))
     assert sum(len(part[0]) for part in found) == (d <= radius).sum()
+
+
+def test_neighbouring_pivots_are_compact_groups():
+    """Runs of 64 of 1024 pivots on a square are squares, not strips of its whole height."""
+    side = np.stack(np.meshgrid(np.arange(32.0), np.arange(32.0)), axis=-1).reshape(-1, 2)
+    pivots = neighbors._in_order(np.random.default_rng(1).permutation(side) * [1.0, 0.999], "euclidean")
+    assert {tuple(x) for x in pivots} == {tuple(x) for x in side * [1.0, 0.999]}
+    spans = [np.ptp(pivots[s : s + 64], axis=0).max() for s in range(0, 1024, 64)]
+    assert max(spans) < 20
+
+
+def test_groups_of_rows_and_of_rings_that_lie_in_several_groups():
+    layout = neighbors._Layout.__new__(neighbors._Layout)
+    layout.parts, layout.first = np.array([1, 5, 1, 2]), np.array([0, 1, 6, 7])
+    layout.group, layout.starts = np.array([0, 0, 1, 2, 3, 4, 4, 4, 5]), np.array([0, 2, 3, 4, 5, 8])
+    row, ring = np.array([0, 0, 2, 2, 3]), np.array([0, 2, 1, 3, 3])
+    groups = layout.groups_of_rows(row, ring, 5)
+    assert [g.tolist() for g in groups] == [[0, 4], [], [0, 1, 2, 3, 4, 5], [4, 5], []]
+    assert layout.groups_of(np.array([1])).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_batches_share_what_is_made_of_the_held_side():
+    """Searches of very different sizes among the same rows find what each finds alone."""
+    rng = np.random.default_rng(3)
+    b, ids = rng.normal(size=(400, 6)), np.arange(400)
+    for metric in ("euclidean", "cosine"):
+        ready = {}
+        for size in (1.0, 1e12, 1e-9, 1.0):
+            a = rng.normal(size=(50, 6)) * size
+            found = []
+            for shared in (ready, None):
+                search = Nearest(a, b, ids, 4, metric, 2.0, ready=shared)
+                search.offer(np.arange(50), np.arange(400))
+                found.append((search.ids, search.distances))
+            near = np.sort(exact(a[:, None], b[None], metric, 2.0), axis=1)[:, :4]
+            assert (found[0][0] == found[1][0]).all() and np.allclose(found[0][1], near, rtol=1e-12, atol=1e-15)
+        assert ready["right"].shape[0] == 400
