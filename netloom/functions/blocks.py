@@ -6,6 +6,8 @@ import pyarrow as pa
 _EPS = np.finfo(np.float64).eps
 # Pairs compared at a time: by matrix products, by features.
 TILE, SMALL_TILE = 1 << 18, 1 << 15
+# Rows of a held side that are prepared at a time.
+_STEP = 4096
 # Vectors whose sizes differ by no more than this are multiplied in single precision.
 _LEVEL = 16
 
@@ -71,24 +73,28 @@ class _Products:
         if self.euclidean:
             if "centre" not in ready:
                 ready["centre"] = b.mean(0)
-                ready["top"] = np.abs(b - ready["centre"]).max(initial=0)
+                ready["top"] = max(np.abs(b[s : s + _STEP] - ready["centre"]).max(initial=0) for s in range(0, len(b), _STEP))
             a = a - ready["centre"]
             self.scale = _scale_of(max(np.abs(a).max(initial=0), ready["top"]))
             a /= self.scale
             if ready.get("scale") != self.scale:
-                scaled = (b - ready["centre"]) / self.scale
-                ready.update(scale=self.scale, others=(scaled * scaled).sum(1), kind=None)
+                steps = range(0, len(b), _STEP)
+                others = [np.square((b[s : s + _STEP] - ready["centre"]) / self.scale).sum(1) for s in steps]
+                ready.update(scale=self.scale, others=np.concatenate(others), kind=None)
             self.sizes, self.others = (a * a).sum(1), ready["others"]
             sizes = np.concatenate([self.sizes, self.others])
             level = sizes.max() <= _LEVEL * np.median(sizes)
         kind = np.float32 if level else np.float64
         self.slack = 4 * (a.shape[1] + 8) * float(np.finfo(kind).eps)
         if ready.get("kind") != kind:
-            if self.euclidean:
-                right = [(b - ready["centre"]) / self.scale, one(b), (1 - self.slack) * self.others[:, None]]
-            else:
-                right = [unit(b), np.full((len(b), 1), 1 - self.slack)]
-            ready.update(kind=kind, right=np.concatenate([x.astype(kind) for x in right], axis=1))
+            # Filled a step at a time: no second copy of the held rows.
+            width = b.shape[1]
+            right = np.ones((len(b), width + (2 if self.euclidean else 1)), kind)
+            right[:, -1] = (1 - self.slack) * self.others if self.euclidean else 1 - self.slack
+            for s in range(0, len(b), _STEP):
+                part = b[s : s + _STEP]
+                right[s : s + _STEP, :width] = (part - ready["centre"]) / self.scale if self.euclidean else unit(part)
+            ready.update(kind=kind, right=right)
         left = [-2 * a, (1 - self.slack) * self.sizes[:, None], one(a)] if self.euclidean else [-unit(a), one(a)]
         self.left, self.right = np.concatenate(left, axis=1).astype(kind), ready["right"]
 

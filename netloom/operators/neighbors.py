@@ -43,7 +43,7 @@ GROUP_BYTES, GROUPS, STRIP_ROWS = 32 << 20, 8, 256
 # Tasks of a join from which on a task takes more visiting rows than a group has rows, up to LONGER times as many.
 TASKS, LONGER = 128, 4
 # Distances to pivots that a task computes at a time.
-_STRIP = 2_000_000
+_STRIP = 500_000
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

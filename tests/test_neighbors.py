@@ -285,3 +285,18 @@ def test_batches_share_what_is_made_of_the_held_side():
             near = np.sort(exact(a[:, None], b[None], metric, 2.0), axis=1)[:, :4]
             assert (found[0][0] == found[1][0]).all() and np.allclose(found[0][1], near, rtol=1e-12, atol=1e-15)
         assert ready["right"].shape[0] == 400
+
+
+def test_preparing_the_held_side_takes_little_more_than_its_result():
+    """Ten megabytes of held vectors become one more array of that size, without further copies on the way."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    b = rng.normal(size=(20_000, 64))
+    for metric in ("euclidean", "cosine"):
+        b[0] *= 1e3 if metric == "euclidean" else 1.0  # sizes that differ: double precision
+        tracemalloc.start()
+        Nearest(b[:10].copy(), b, np.arange(len(b)), 5, metric, 2.0)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2 * b.nbytes
