@@ -203,3 +203,30 @@ def test_state_validity(spark):
 )
 def test_ip_to_int(spark, ip, number):
     assert one(spark, ip_to_int(F.col("x")), x=ip) == number
+
+
+def test_row_features_are_not_interpreted(spark):
+    """Array functions run row by row, value by value; the features of wide tables must not use them."""
+    df = spark.createDataFrame([tuple(float(i) for i in range(len(MODEL_FEATURES)))], ", ".join(f"{c} double" for c in MODEL_FEATURES))
+    plan = ft.add_engineered_features(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
+
+
+def test_row_features_keep_nan_and_infinity(spark):
+    """NaN comes out of infinite inputs and is no missing value."""
+    kinds = "a double, b double, c double"
+    df = spark.createDataFrame([(0.0, INF, 1.0), (INF, INF, INF), (None, NAN, 3.0)], kinds).coalesce(1)
+    timing = [r[0] for r in df.select(ft.timing_variance(df, ["a", "b", "c"])).collect()]
+    assert math.isnan(timing[0]) and timing[1:] == [0.0, 0.0]
+    assert [r[0] for r in df.select(ft.packet_entropy(df, ["a", "b", "c"])).collect()][1:] == [0.0, 0.0]
+    df = spark.createDataFrame([(INF, 1.0), (1.0, INF)], "IN_BYTES double, OUT_BYTES double").coalesce(1)
+    assert math.isnan(df.select(ft.quantum_noise_simulation(df)).first()[0])
+    assert [r["q"] for r in ft.add_noise_components(df).collect()][1] == 0.0
+
+
+def test_row_features_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(8)
+    values = rng.normal(0, 300, (500, len(MODEL_FEATURES)))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"{c} double" for c in MODEL_FEATURES))
+    made = ft.add_engineered_features(df)
+    assert made.repartition(7).exceptAll(ft.add_engineered_features(df.repartition(31))).count() == 0

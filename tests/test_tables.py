@@ -151,3 +151,16 @@ def test_scaler(spark):
     assert got[3]["a"] == pytest.approx((10 - 7 / 3) / np.std([1, 2, 4])) and got[3]["b"] == 1.0
     assert scale(df, ["a", "b"]).columns == df.columns
     assert apply_scaler(df.drop("b"), fit_scaler(df, ["a", "b"])).columns == ["a", "split"]
+
+
+def test_scaler_of_constant_and_empty_columns(spark):
+    """A column of one value has the deviation 0 exactly, whatever the tasks; one without values has neither figure."""
+    value = 0.1 + 1e-9
+    df = spark.range(10_007).selectExpr(f"double({value}) AS a", "CAST(NULL AS double) AS b", "id AS c", "IF(id % 2 = 0, double('NaN'), 1e9 + id) AS d")
+    got = {r["feature"]: (r["mean"], r["std"]) for r in fit_scaler(df.repartition(13), ["a", "b", "c", "d"]).collect()}
+    assert got["a"] == (value, 0.0) and got["b"] == (None, None)
+    ids = np.arange(10_007)
+    assert got["c"] == pytest.approx((ids.mean(), ids.std()), rel=1e-12)
+    assert got["d"] == pytest.approx((1e9 + ids[1::2].mean(), ids[1::2].std()), rel=1e-12)
+    plan = fit_scaler(df, ["a", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "stddev" not in plan
