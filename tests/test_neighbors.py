@@ -300,3 +300,41 @@ def test_preparing_the_held_side_takes_little_more_than_its_result():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 2 * b.nbytes
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+@pytest.mark.parametrize("offset", [0.0, 1e7])
+def test_near_pivots_lose_none(metric, offset):
+    """One product tells which pivots are near: also far from the origin, without a bound, and beside empty cells."""
+    rng = np.random.default_rng(11)
+    pivots, rows = rng.normal(0, 5, (40, 6)) + offset, rng.normal(0, 5, (300, 6)) + offset
+    wide, outer, own = rng.uniform(0, 9, 300), rng.uniform(0, 2, 40), rng.integers(0, 40, 300)
+    if metric == "cosine":
+        wide, outer = wide / (offset + 9), outer / (offset + 9)
+    wide[::9], outer[5] = np.inf, -np.inf
+    own[own == 5] = 6
+    row, cell, lower, upper = neighbors._near_pivots(rows, pivots, wide, outer, own, metric, 2.0)
+    x, y = (neighbors.unit(rows), neighbors.unit(pivots)) if metric == "cosine" else (rows, pivots)
+    true = neighbors.exact(x[:, None, :], y[None, :, :], "manhattan" if metric == "manhattan" else "euclidean", 2.0)
+    wanted = true <= wide[:, None] + outer[None, :]
+    wanted[np.arange(300), own], wanted[:, 5] = False, False
+    found = np.zeros_like(wanted)
+    found[row, cell] = True
+    assert not (wanted & ~found).any() and not found[:, 5].any() and not found[np.arange(300), own].any()
+    assert (lower <= true[row, cell] * (1 + 1e-9)).all() and (true[row, cell] <= upper * (1 + 1e-9)).all()
+    if not offset:
+        assert found.sum() == wanted.sum()
+
+
+def test_copies_are_sorted_by_a_hash(spark):
+    """-0.0 and 0.0 are copies, and the sort for them starts with a number, not with the vectors."""
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [5.0, 1.0]), (4, [5.0, 1.5])], "id long, vec array<double>")
+    written = []
+    keep = neighbors.durable
+    try:
+        neighbors.durable = lambda table, name: (written.append(table._jdf.queryExecution().optimizedPlan().toString()), keep(table, name))[1]
+        got = {(r["id"], r["neighbor_id"]): r["distance"] for r in neighbors.knn(df, 1).collect()}
+    finally:
+        neighbors.durable = keep
+    assert got == {(1, 2): 0.0, (2, 1): 0.0, (3, 4): 0.5, (4, 3): 0.5}
+    assert "xxhash64" in written[0] and "lambdafunction(coalesce" not in written[0]

@@ -111,3 +111,15 @@ def test_threshold_metrics(spark):
 def test_security_level(spark):
     value = spark.range(1).select(security_level(F.lit(1.0), F.lit(2.0), F.lit(4.0))).first()[0]
     assert value == pytest.approx(0.6 + 0.5 + 0.6)
+
+
+def test_rebalanced_table_that_is_read_once_is_not_written(spark, monkeypatch):
+    from netloom.plans import workflows
+
+    written, keep = [], workflows.durable
+    monkeypatch.setattr(workflows, "durable", lambda table, name: (written.append(name), keep(table, name))[1])
+    rows = [(i, "a", "b", float(i % 7), float(i), int(i < 12), "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "flow_id long, IPV4_SRC_ADDR string, IPV4_DST_ADDR string, u double, v double, Label long, Attack string")
+    once, twice = workflows.rebalance(df, "flow_id", k=3, stored=False), workflows.rebalance(df, "flow_id", k=3)
+    assert written == ["clean", "clean", "balanced"]
+    assert once.count() == 96 and once.exceptAll(twice).count() == 0
