@@ -338,3 +338,39 @@ def test_copies_are_sorted_by_a_hash(spark):
         neighbors.durable = keep
     assert got == {(1, 2): 0.0, (2, 1): 0.0, (3, 4): 0.5, (4, 3): 0.5}
     assert "xxhash64" in written[0] and "lambdafunction(coalesce" not in written[0]
+
+
+def _exchanged_files(spark):
+    """Bytes of the exchanges on this machine's disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+
+def test_a_large_join_leaves_no_exchange_on_disk(spark, monkeypatch):
+    """Groups take turns: what a turn exchanged is gone when the next begins, and no turn moves much more than asked for."""
+    vectors = np.random.default_rng(12).normal(size=(3000, 8))
+    df = table_of(spark, vectors)
+    moved, left, write, some = [], [], neighbors.durable, neighbors._joined
+
+    def spy_write(table, name):
+        out = write(table, name)
+        left.append(_exchanged_files(spark))
+        return out
+
+    def spy_join(asking, held, blocks, compare, layout):
+        groups = F.filter("groups", lambda g: g.isin(*blocks))
+        moved.append(asking.select(F.sum(F.size(groups))).first()[0] + sum(layout.held[g] * b for g, b in blocks.items()))
+        return some(asking, held, blocks, compare, layout)
+
+    monkeypatch.setattr(neighbors, "durable", spy_write)
+    monkeypatch.setattr(neighbors, "_joined", spy_join)
+    monkeypatch.setattr(neighbors, "WAVE_BYTES", 0)
+    monkeypatch.setattr(neighbors, "WAVE", 1)
+    before = _exchanged_files(spark)
+    want = brute_knn(vectors, np.arange(3000), 3, "euclidean")
+    same(found_knn(neighbors.knn(df, 3, pivots=30, block_rows=100)), want)
+    # One group may pass the share: it has at most 3000 / GROUPS rows, visited by at most all.
+    assert len(moved) > 6 and max(moved) <= 3000 + 3000 * (1 + 1 / neighbors.GROUPS) + 100
+    # Only counts of a few bytes, collected without a write, remain of what was exchanged.
+    assert max(left) - before < 100_000
