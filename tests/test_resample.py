@@ -123,3 +123,33 @@ def test_rebalanced_table_that_is_read_once_is_not_written(spark, monkeypatch):
     once, twice = workflows.rebalance(df, "flow_id", k=3, stored=False), workflows.rebalance(df, "flow_id", k=3)
     assert written == ["clean", "clean", "balanced"]
     assert once.count() == 96 and once.exceptAll(twice).count() == 0
+
+
+def test_steps_from_file_to_file_leave_their_files_only(spark):
+    """What a step wrote to scratch is gone when its result is written, and CSV files are packed, none of them large."""
+    from pathlib import Path
+
+    from netloom.catalogue import join_queries
+    from netloom.plans.sizing import checkpoint_root
+
+    root = Path(checkpoint_root(spark).removeprefix("file:"), "netloom")
+    before = set(root.iterdir()) if root.exists() else set()
+    rows = join_queries.files_end_to_end(spark, "/root/testdata/sf0.001").count()
+    made = {p.name.rpartition("-")[0]: p for p in set(root.iterdir()) - before}
+    assert set(made) == {"raw-csv", "resampled", "engineered"}
+    packed = [p for name in ("raw-csv", "resampled") for p in made[name].rglob("part-*")]
+    assert packed and all(p.name.endswith(".csv.gz") for p in packed)
+    again = spark.read.option("header", True).csv(str(made["resampled"]) + "/*")
+    assert again.count() == rows
+
+
+def test_a_step_keeps_the_tables_of_the_step_around_it(spark):
+    from netloom.plans.sizing import durable, step
+
+    with step():
+        outer = durable(spark.range(7))
+        with step():
+            inner = durable(spark.range(3))
+        assert outer.count() == 7
+        with pytest.raises(Exception):
+            spark.read.parquet(inner.inputFiles()[0])
