@@ -170,6 +170,148 @@ class _Sums:
         return (value.astype(float) ** (1 / self.power) * (1 + 1e-6) + self._room(rows, cols)) * self.scale
 
 
+# By power p: half period, and the numbers of a + b u^2 - sum(c cos(m pi u / period)) with the multiples m. Nowhere above |u|^p.
+_UNDER = {
+    1: (2.3, 1.10986, 0.0, ((1, 0.93433), (3, 0.11105), (5, 0.06449))),
+    3: (2.4, -3.6547, 3.65651, ((1, -3.61084),)),
+}
+# What the k-th neighbour's mean |u|^p is about, if differences u are of standard deviation 1: it sets the scale.
+_NEAR = {1: 0.55, 3: 0.6}
+
+
+def under(u: np.ndarray, power: int) -> np.ndarray:
+    """A sum of products of functions of x and of y, where u = x - y, that is at most |u|^power."""
+    period, first, square, waves = _UNDER[power]
+    return first + square * u * u - sum(c * np.cos(m * np.pi / period * u) for m, c in waves)
+
+
+class _Waves:
+    """Lower bounds of sums of |x - y|^p over the features: ``under`` is one matrix product, with its worst-case rounding error inside.
+
+    A feature's scale follows its spread and the distances asked for, in powers of two. ``ready`` keeps what
+    is made of ``b`` at a scale. ``finer`` compares what the bound does not tell apart.
+    """
+
+    strip, tile_size, least, common = 256, TILE, 512, 0.125
+
+    def __init__(self, a, b, power, reach, ready, finer):
+        self.power, self.finer, self.dense = power, finer, 6
+        if "spread" not in ready:
+            ready["centre"] = b.mean(0)
+            squares = sum(np.square(b[s : s + _STEP] - ready["centre"]).sum(0) for s in range(0, len(b), _STEP))
+            ready["spread"] = np.sqrt(2 * squares / len(b))
+        spread = ready["spread"]
+        self.used = np.flatnonzero(spread > 1e-9 * spread.max(initial=0))
+        wide, known = spread[self.used], reach[np.isfinite(reach) & (reach > 0)]
+        share = (np.median(known) ** power / (_NEAR[power] * (wide**power).sum())) ** (1 / power) if len(known) and len(wide) else 1.0
+        scale = wide * 2.0 ** np.ceil(np.log2(min(share, 1.0))) if share > 0 else wide
+        top = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+        # Outside these sizes single precision would overflow.
+        self.fit = len(scale) > 0 and scale.min() > 1e-9 and top < 1e9 and top / scale.min() < 1e6
+        if not self.fit:
+            return
+        self.left, self.sizes, self.more = self._made(a, ready["centre"], scale, True)
+        if ready.get("scale") is None or not np.array_equal(ready["scale"], scale):
+            ready.update(scale=scale, right=self._made(b, ready["centre"], scale, False))
+        self.right, self.other_sizes, self.other_more = ready["right"]
+        self.first = _UNDER[power][1] * (scale**power).sum()
+        self.slack = 4 * (self.left.shape[1] + 8) * float(np.finfo(np.float32).eps)
+
+    def _made(self, vectors, centre, scale, asking: bool):
+        """Factors in single precision, their lengths, and per row what rounding of the arguments may change."""
+        period, _, square, waves = _UNDER[self.power]
+        weight, width = scale ** (self.power / 2), len(scale)
+        out = np.ones((len(vectors), width * (2 * len(waves) + bool(square)) + bool(square)), np.float32)
+        sizes, more = np.empty(len(vectors)), np.empty(len(vectors))
+        if asking:
+            self.own = np.zeros(len(vectors))
+        for start in range(0, len(vectors), _STEP):
+            some = slice(start, start + _STEP)
+            u = (vectors[some][:, self.used] - centre[self.used]) / scale
+            turn, at = np.exp(1j * np.pi / period * u), 0
+            for m, c in waves:
+                part = turn**m * (np.sqrt(abs(c)) * weight)
+                sign = -np.sign(c) if asking else 1.0
+                out[some, at : at + width], out[some, at + width : at + 2 * width] = sign * part.real, sign * part.imag
+                at += 2 * width
+            if square:
+                size = square * ((weight * u) ** 2).sum(1)
+                out[some, at : at + width] = (-2 if asking else 1) * square ** (1 if asking else 0) * weight * u
+                if asking:
+                    self.own[some] = size
+                else:
+                    out[some, -1] = size
+            sizes[some] = np.sqrt(np.square(out[some].astype(float)).sum(1))
+            turned = sum(abs(c) * m for m, c in waves) * np.pi / period
+            more[some] = 64 * _EPS * ((turned + 1) * weight**2 * (1 + np.abs(vectors[some][:, self.used] / scale) + np.abs(centre[self.used] / scale)) ** (2 if square else 1)).sum(1)
+        return out, sizes, more
+
+    def tile(self, rows, cols):
+        return self.left[_run(rows)] @ self.right[_run(cols)].T
+
+    def limit(self, rows, cols, reach):
+        cols = _run(cols)
+        room = self.slack * self.sizes[rows] * self.other_sizes[cols].max() + self.more[rows] + self.other_more[cols].max()
+        with np.errstate(over="ignore"):
+            most = reach**self.power * (1 + 1e-9) - self.first - self.own[rows] + room + 1e-12 * (abs(self.first) + self.own[rows])
+            return np.nextafter(most.astype(np.float32), np.float32(np.inf))
+
+
+class _Ranges:
+    """Pairs that differ by no more than a reach in every feature, from one bit a pair, feature and level.
+
+    ``ready`` keeps, of each feature of ``b``, sets of the rows up to each of LEVELS levels, a block of rows at a time.
+    """
+
+    strip, least, common, LEVELS, BLOCK = 256, 1024, 0.125, 64, 8192
+
+    def __init__(self, a, b, ready, finer):
+        self.a, self.b, self.finer, self.ready = a, b, finer, ready
+        if "edges" not in ready:
+            some = b[:: max(1, len(b) // 16384)]
+            ready["edges"] = np.quantile(some, np.arange(1, self.LEVELS) / self.LEVELS, axis=0, method="lower").T.copy()
+
+    def _levels(self, values):
+        """Of each feature the number of edges below a value, by feature."""
+        return np.stack([np.searchsorted(edges, v) for edges, v in zip(self.ready["edges"], values.T)])
+
+    def _sets(self, block):
+        """By feature and level: rows of the block whose level is lower, a bit each."""
+        if block not in self.ready:
+            levels = self._levels(self.b[block * self.BLOCK : (block + 1) * self.BLOCK])
+            sets = np.zeros((len(levels), self.LEVELS + 1, self.BLOCK // 64), np.uint64)
+            for own, level in zip(sets.view(np.uint8), levels):
+                lower = np.zeros((self.LEVELS + 1, self.BLOCK), bool)
+                lower[:, : len(level)] = level < np.arange(self.LEVELS + 1)[:, None]
+                own[:] = np.packbits(lower, axis=1, bitorder="little")
+            self.ready[block] = sets
+        return self.ready[block]
+
+    def chunks(self, rows, cols):
+        blocks = np.unique(cols // self.BLOCK)
+        for start in range(0, len(rows), self.strip):
+            for block in blocks:
+                yield rows[start : start + self.strip], block
+
+    def close(self, rows, block, cols, reach):
+        """(row, column) of the pairs in a block."""
+        sets, values = self._sets(block), self.a[rows]
+        room = (reach * (1 + 1e-12))[:, None] + 4 * _EPS * np.abs(values)
+        upto, below = self._levels(values + room) + 1, self._levels(values - room)
+        wanted = np.zeros(self.BLOCK, bool)
+        wanted[cols[cols // self.BLOCK == block] - block * self.BLOCK] = True
+        left = np.repeat(np.packbits(wanted, bitorder="little").view(np.uint64)[None], len(rows), axis=0)
+        part, lower = np.empty_like(left), np.empty_like(left)
+        for own, top, bottom in zip(sets, upto, below):
+            np.take(own, top, axis=0, out=part, mode="clip")
+            np.take(own, bottom, axis=0, out=lower, mode="clip")
+            np.bitwise_xor(part, lower, out=part)
+            np.bitwise_and(left, part, out=left)
+        row, word = np.nonzero(left)
+        at, bit = np.nonzero(np.unpackbits(left[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        return rows[row[at]], block * self.BLOCK + word[at] * 64 + bit
+
+
 class _Direct:
     """The distances themselves."""
 
@@ -232,26 +374,62 @@ class Nearest:
         self.distances = np.full((len(a), k), np.inf)
         self.ids = np.full((len(a), k), np.iinfo(np.int64).max)
         self.bounds = _bounds(a, b, metric, p, ready)
+        # Sums are told apart faster where most rows know a reach and there are many to compare with.
+        quick = isinstance(self.bounds, _Sums) and len(b) >= _Waves.least and np.isfinite(self.reach).mean() > 0.5
+        ready = {} if ready is None else ready
+        if quick and metric == "chebyshev":
+            self.bounds = _Ranges(a, b, ready, self.bounds)
+        elif quick and self.bounds.power in _UNDER:
+            waves = _Waves(a, b, self.bounds.power, self.reach, ready, self.bounds)
+            self.bounds = waves if waves.fit else self.bounds
+
+        # Share of some rows that must ask for a column for all of them to be compared with it.
+        self.common = getattr(self.bounds, "common", 0.5)
 
     def offer(self, rows: np.ndarray, cols: np.ndarray):
         """Compare rows of ``a`` with rows of ``b``, a bounded number of pairs at a time. No pair may come twice."""
+        if isinstance(self.bounds, (_Waves, _Ranges)):
+            fresh = np.isinf(self.reach[rows]) | (len(cols) < self.bounds.least)
+            self._offer(self.bounds.finer, rows[fresh], cols)
+            (self._offer_ranges if isinstance(self.bounds, _Ranges) else self._offer_waves)(rows[~fresh], cols)
+        else:
+            self._offer(self.bounds, rows, cols)
+
+    def _offer_waves(self, rows, cols):
         for rows, some in _chunks(self.bounds, rows, cols):
-            value, reach = self.bounds.tile(rows, some), self.reach[rows]
+            value = self.bounds.tile(rows, some)
+            i, j = _hits(value, self.bounds.limit(rows, some, self.reach[rows]))
+            if len(i) > value.size // self.bounds.dense:
+                self._offer(self.bounds.finer, rows, some)
+            elif len(i):
+                self._compare(rows[i], some[j])
+
+    def _offer_ranges(self, rows, cols):
+        for rows, block in self.bounds.chunks(rows, cols):
+            i, j = self.bounds.close(rows, block, cols, self.reach[rows])
+            if len(i):
+                self._compare(i, j)
+
+    def _compare(self, i, j):
+        d = _exact_pairs(self.a, self.b, i, j, *self.how)
+        keep = d <= self.reach[i]
+        self._merge(i[keep], self.b_ids[j[keep]], d[keep])
+
+    def _offer(self, bounds, rows, cols):
+        for rows, some in _chunks(bounds, rows, cols):
+            value, reach = bounds.tile(rows, some), self.reach[rows]
             fresh = np.flatnonzero(np.isinf(reach))
             if len(fresh) and len(some) >= self.k:
                 kth = np.partition(value[fresh], self.k - 1, axis=1)[:, self.k - 1]
-                reach[fresh] = self.bounds.upper(rows[fresh], some, kth)
-            i, j = _hits(value, self.bounds.limit(rows, some, reach))
+                reach[fresh] = bounds.upper(rows[fresh], some, kth)
+            i, j = _hits(value, bounds.limit(rows, some, reach))
             if len(i) > max(value.size // 32, 3 * self.k * len(rows)) and len(some) >= self.k:
                 # The tile itself tells a shorter reach, which costs less than that many distances.
                 kth = np.partition(value, self.k - 1, axis=1)[:, self.k - 1]
-                reach = np.minimum(reach, self.bounds.upper(rows, some, kth))
-                i, j = _hits(value, self.bounds.limit(rows, some, reach))
+                reach = np.minimum(reach, bounds.upper(rows, some, kth))
+                i, j = _hits(value, bounds.limit(rows, some, reach))
             if len(i):
-                i, j = rows[i], some[j]
-                d = _exact_pairs(self.a, self.b, i, j, *self.how)
-                keep = d <= self.reach[i]
-                self._merge(i[keep], self.b_ids[j[keep]], d[keep])
+                self._compare(rows[i], some[j])
 
     def _merge(self, i, ids, d):
         touched = np.unique(i)

@@ -41,6 +41,8 @@ TRAIN_ROUNDS = 6
 PROBES = 8
 # Bytes of vectors in a group of cells, groups that a small table is cut into, rows of a task that choose their rings together.
 GROUP_BYTES, GROUPS, STRIP_ROWS = 32 << 20, 8, 256
+# Cells of the held group that rows of a strip may come from, to be compared with the rest of the group together.
+MOST_OWN = 8
 # Tasks of a join from which on a task takes more visiting rows than a group has rows, up to LONGER times as many.
 TASKS, LONGER = 128, 4
 # Vectors that a join exchanges at a time: WAVE_BYTES, or WAVE times the table if that is more.
@@ -389,10 +391,19 @@ def _nearest_in(held: _Held, batch: pa.RecordBatch, mode: str, layout: _Layout,
             offer(order[0])
             order = order[1:]
         wanted = (gaps[:, order] <= _space(search.reach[rows], metric)[:, None]) & (gaps[:, order] < np.inf)
-        # What half of the strip visits is compared with all of it.
-        common = (wanted.mean(0) >= 0.5) & (gaps[:, order] < np.inf).all(0)
-        if common.any():
-            search.offer(rows, held.rows(np.sort(order[common])))
+        # What half of the strip visits (less, if comparing is cheap) is compared with all of it. Rows of a cell of this group,
+        # which lie together, take the same without their own.
+        common, apart = wanted.mean(0) >= search.common, np.isinf(gaps[:, order])
+        here = np.unique(cell[rows][apart.any(1)])
+        if mode != "bound" or len(here) > MOST_OWN:
+            common &= ~apart.any(0)
+            here = here[:0]
+        some = np.sort(order[common])
+        for home in [None, *here] if common.any() else []:
+            at = ~np.isin(cell[rows], here) if home is None else cell[rows] == home
+            units = some if home is None else some[held.cell[some] != home]
+            if at.any() and len(units):
+                search.offer(rows[at], held.rows(units))
         for u in order[wanted.any(0) & ~common]:
             offer(u)
     return [search.found(batch["id"].to_numpy())]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions.blocks import Nearest, Within, exact
+from netloom.functions.blocks import Nearest, Within, exact, under
 from netloom.functions.distance import METRICS, distance
 from netloom.operators import neighbors
 
@@ -374,3 +374,61 @@ def test_a_large_join_leaves_no_exchange_on_disk(spark, monkeypatch):
     assert len(moved) > 6 and max(moved) <= 3000 + 3000 * (1 + 1 / neighbors.GROUPS) + 100
     # Only counts of a few bytes, collected without a write, remain of what was exchanged.
     assert max(left) - before < 100_000
+
+
+@pytest.mark.parametrize("power", [1, 3])
+def test_waves_lie_under_the_power(power):
+    u = np.arange(0, 12, 1e-4)  # between two of them a sum of waves bends by less than 1e-6
+    assert (u**power - under(u, power)).min() > 1e-6
+    assert under(np.array([50.0]), power)[0] < 50.0**power
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e4, 1e12])
+@pytest.mark.parametrize("kind", ["plain", "clusters", "grid", "far", "offset", "flat", "copies"])
+@pytest.mark.parametrize("metric", ["manhattan", "minkowski", "chebyshev"])
+def test_quick_bounds_lose_no_neighbour(metric, kind, scale):
+    """Nearest rows of rows that know how far these are at most, with ties, clusters, outliers and features without spread."""
+    rng = np.random.default_rng(17)
+    b, a = rng.normal(size=(2600, 9)), rng.normal(size=(90, 9))
+    if kind == "clusters":
+        centres = rng.normal(size=(5, 9)) * 50
+        a, b = a * 0.01 + centres[rng.integers(0, 5, 90)], b * 0.01 + centres[rng.integers(0, 5, 2600)]
+    if kind == "grid":
+        a, b = np.round(a), np.round(b)
+    if kind == "far":
+        b[:3] *= 1e5
+        a[0] *= 1e7
+    if kind == "offset":
+        a, b = a + 1e5, b + 1e5
+    if kind == "flat":
+        a[:, 2], b[:, 2], b[:, 5] = 7.0, 3.0, 0.0
+    if kind == "copies":
+        b[:1500] = b[0]
+        a[5] = b[0]
+    a, b, ids, ready = a * scale, b * scale, rng.permutation(2600) * 2, {}
+    for some in (np.arange(90), np.arange(0, 90, 2)):
+        true = np.stack([exact(b, x[None], metric, 3.0) for x in a[some]])
+        reach = np.partition(true[:, :300], 4, axis=1)[:, 4] * (1 + 1e-9)
+        reach[::11] = np.inf
+        search = Nearest(a[some], b, ids, 5, metric, 3.0, reach, ready)
+        search.offer(np.arange(len(some)), np.arange(700, 2600))
+        search.offer(np.arange(len(some)), np.arange(0, 700))
+        for i in range(len(some)):
+            order = np.lexsort((ids, true[i]))[:5]
+            assert search.ids[i].tolist() == ids[order].tolist()
+            assert search.distances[i].tolist() == true[i][order].tolist()
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "minkowski", "chebyshev"])
+def test_few_pairs_without_clusters_are_compared_in_full(metric):
+    """Of 200 x 20 000 pairs a few hundred a row, and no tile is summed feature by feature."""
+    rng = np.random.default_rng(18)
+    a, b = rng.normal(size=(200, 64)), rng.normal(size=(20_000, 64))
+    true = np.stack([exact(b[:2000], x[None], metric, 3.0) for x in a])
+    search = Nearest(a, b, np.arange(20_000), 6, metric, 3.0, np.partition(true, 5, axis=1)[:, 5])
+    assert search.bounds.finer is not None
+    search.bounds.finer.tile = None  # would fail if it were called
+    compared, compare = [], search._compare
+    search._compare = lambda i, j: (compared.append(len(i)), compare(i, j))
+    search.offer(np.arange(200), np.arange(20_000))
+    assert 6 * 200 <= sum(compared) <= 600 * 200
