@@ -495,8 +495,8 @@ def _joined(left: DataFrame, right: DataFrame, blocks: dict, compare, layout: _L
                             [pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(distances, pa.float64())],
                             names=["id", "other", "distance"])
 
-    # More partitions than tasks, as few share one.
-    spread = a.unionByName(b).repartition(min(2 * int(first[-1]), 4000), "task")
+    # Partitions are numbered, not hashed: none is empty while another holds two tasks.
+    spread = a.unionByName(b).repartitionById(min(int(first[-1]), 4000), F.col("task"))
     return spread.sortWithinPartitions("task", "side", "cell", "off").mapInArrow(run, _SCHEMA)
 
 

@@ -432,3 +432,17 @@ def test_few_pairs_without_clusters_are_compared_in_full(metric):
     search._compare = lambda i, j: (compared.append(len(i)), compare(i, j))
     search.offer(np.arange(200), np.arange(20_000))
     assert 6 * 200 <= sum(compared) <= 600 * 200
+
+
+def test_each_task_of_a_join_has_its_own_partition(spark, monkeypatch):
+    seen, some = [], neighbors._joined
+
+    def spy(asking, held, blocks, compare, layout):
+        out = some(asking, held, blocks, compare, layout)
+        seen.append((out.rdd.getNumPartitions(), sum(blocks.values())))
+        return out
+
+    monkeypatch.setattr(neighbors, "_joined", spy)
+    vectors = np.random.default_rng(19).normal(size=(900, 4))
+    same(found_knn(neighbors.knn(table_of(spark, vectors), 3, pivots=12, block_rows=100)), brute_knn(vectors, np.arange(900), 3, "euclidean"))
+    assert len(seen) == 2 and all(made == wanted for made, wanted in seen)
